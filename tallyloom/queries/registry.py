@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import p3_differences
+from . import p1_nested, p2_drift, p3_differences
 
-MODULES = (p3_differences,)
+MODULES = (p1_nested, p2_drift, p3_differences)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
