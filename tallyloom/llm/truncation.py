@@ -14,25 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged, table
 
-SUPPORT = 150  # occurrences that a form needs to decide
-ENDS_AT_MOST = 0.004  # share of its occurrences at ends below which a form shows a cut
-CLOSED = 0.05  # followers per occurrence below which few words can follow two others
+SUPPORT = 300  # occurrences that a form needs to decide
+ENDS_AT_MOST = 0.004  # share of its occurrences at ends, one apart, up to which a form shows a cut
+COMMON, CLOSED = 0.01, 0.9  # few words can follow two others if followers of this share make up so much of all
 STRANGE = 0.002  # share of the occurrences of its predecessors below which a follower is a half word
 SPIKE, SPIKE_LEAST, SPIKE_NEAR = 5, 6, 25  # a limit: so many times its neighbours' mean, so many texts, so near
 # What exports leave behind a break, and white space.
-MARKS = r"(\.\.\.|…|\ufffd+|\\(?:u[0-9a-fA-F]{0,3})?|\[truncated\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|\(continued\)|<truncated>)$"
+MARKS = r"(\.\.\.|…|\ufffd+|\\(?:u[0-9a-fA-F]{0,3})?|\[truncated\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|\(continued\)|&#?[A-Za-z0-9]{0,5}|<truncated>)$"
 BLANKS = " \t\n\r\f\u000b\u0085\u00a0\u2028\u2029\u3000\ufeff\u200b"
-NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.,][0-9]+)*"
+NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.][0-9]+)*"
 HAN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 # A token: an ideograph or kana, a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign.
-TOKEN = rf"[{HAN}]|[\p{{L}}\p{{M}}_&&[^{HAN}]][\p{{L}}\p{{M}}0_&&[^{HAN}]]*(?:-[\p{{L}}\p{{M}}0_&&[^{HAN}]]*)*|0(?:[\p{{L}}_]+0*)*(?:-[\p{{L}}0_]+)*|[\n\t]|\S"
-WORD = r"[\p{L}\p{M}_]+"
+TOKEN = rf"[{HAN}]|[\p{{L}}\p{{M}}_&&[^{HAN}]][\p{{L}}\p{{M}}0_&&[^{HAN}]]*(?:-[\p{{L}}\p{{M}}0_&&[^{HAN}]]*)*|0[\p{{L}}0_]*(?:-[\p{{L}}0_]*)*|[\n\t]|\S"
+WORD = r"^[\p{L}\p{M}_]"
 PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD}
 
-# Forms of a trigram by specificity: among whose texts it is counted (its source's or all), and which of its words are
-# kept; the others become their shapes.
-PAIRS, SINGLES = ["110", "101", "011"], ["100", "010", "001"]
-LEVELS = [[("source", "111")], [("source", f) for f in PAIRS], [("''", "111")], [("''", f) for f in PAIRS], [("source", f) for f in SINGLES], [("''", f) for f in SINGLES], [("source", "000")]]
+# Forms of a trigram from the most to the least specific: among whose texts it is counted (its source's or all), and
+# which of its words are kept; the others become their shapes. What precedes the last word says more about a cut than
+# the last word itself, so forms that keep it come first.
+FORMS = [(among, form) for among, forms in (("source", "111 110"), ("''", "111 110"), ("source", "011 101 100 010"), ("''", "011 101 100 010"), ("source", "001 000")) for form in forms.split()]
 
 
 def _words(spark: SparkSession, texts: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         LEFT JOIN {limits} b ON b.source = w.source AND b.unit = 'bytes' AND b.size = w.n_bytes""",
         words=words, limits=limits,
     )
-    shape = lambda c: f"regexp_replace({c}, :word, '@')"
+    shape = lambda c: f"CASE WHEN {c} RLIKE :word THEN '@' WHEN {c} LIKE '0%' THEN '0' ELSE {c} END"
     trigrams = spark.sql(
         f"""
         WITH placed AS (SELECT source, free, inline(transform(sequence(3, size(words)), i -> struct(words[i - 3] AS a, words[i - 2] AS b, words[i - 1] AS c, i = size(words) AS last))) FROM {{free}}),
@@ -89,10 +89,15 @@ def find_truncated(texts: DataFrame) -> DataFrame:
     )
     trigrams = staged(trigrams, "p10-trigrams")
     key = lambda among, form: f"xxhash64({among}, {among if among == 'source' else 1}, '{form}', " + ", ".join(x if keep == "1" else f"s{x}" for x, keep in zip("abc", form)) + ")"
-    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {key(*f)} AS k)" for level, fs in enumerate(LEVELS) for f in fs) + "))"
+    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {key(*f)} AS k)" for level, f in enumerate(FORMS)) + "))"
     counts = spark.sql(f"SELECT k, sum(inside) AS inside, sum(ends) AS ends FROM (SELECT inside, ends, {fan} FROM {{t}}) GROUP BY k", t=trigrams)
     context = "xxhash64(source, a, b)"
-    followers = spark.sql(f"SELECT {context} AS k, sum(inside + ends) AS n, count_if(inside + ends > 0) AS kinds FROM {{t}} GROUP BY 1", t=trigrams)
+    followers = spark.sql(
+        f"""
+        WITH f AS (SELECT {context} AS k, inside + ends AS m FROM {{t}}), n AS (SELECT k, sum(m) AS n FROM f GROUP BY k HAVING sum(m) >= {SUPPORT})
+        SELECT k, any_value(n) AS n, sum(CASE WHEN m >= {COMMON} * n THEN m ELSE 0 END) AS common FROM f JOIN n USING (k) GROUP BY k""",
+        t=trigrams,
+    )
     # A final trigram is judged without its own end, which is one of the ends if that text's length is free; where it is
     # not, none is taken off.
     judged = spark.sql(
@@ -100,11 +105,11 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         WITH finals AS (SELECT source, a, b, c, inside, ends, {context} AS ctx, {fan} FROM {{t}} WHERE all_ends > 0),
         met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.inside AS n_inside, greatest(n.ends - least(f.ends, 1), 0) AS n_ends FROM finals f JOIN {{counts}} n ON n.k = f.k),
         forms AS (SELECT source, a, b, c, first(ctx) AS ctx, first(inside) AS inside, first(ends) AS ends,
-            collect_list(struct(level, n_ends / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends >= {SUPPORT} AS enough)) AS forms
+            collect_list(struct(level, (n_ends - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends >= {SUPPORT} AS enough)) AS forms
           FROM met GROUP BY source, a, b, c),
         best AS (SELECT source, a, b, c, ctx, inside, ends, array_min(filter(forms, f -> f.enough)) AS decides FROM forms)
         SELECT source, a, b, c, coalesce(decides.share <= {ENDS_AT_MOST}, false)
-            OR (n.n >= {SUPPORT} AND n.kinds <= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n) AS cut
+            OR coalesce(n.common >= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n, false) AS cut
         FROM best LEFT JOIN {{followers}} n ON n.k = best.ctx""",
         t=trigrams, counts=counts, followers=followers,
     )
