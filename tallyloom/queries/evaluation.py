@@ -65,7 +65,7 @@ book.sql(
 book.sql("proj13_expansion_allowance", "SELECT item_id, codec_id, compressed_bytes - original_bytes AS expansion, compressed_bytes - original_bytes <= 64 + original_bytes * 0.001 AS allowed FROM {medians}")
 book.sql(
     "proj14_savings_and_costs",
-    "SELECT m.item_id, m.codec_id, greatest(0, r.compressed_bytes - m.compressed_bytes) AS available_savings, round(m.compression_ns / CAST(1000000000 AS DOUBLE) * 12500000, 1) AS false_positive_cost FROM {medians} m JOIN (SELECT item_id, compressed_bytes FROM {medians} WHERE codec_id = 'zstd-9') r ON r.item_id = m.item_id",
+    "SELECT m.item_id, m.codec_id, greatest(0, r.compressed_bytes - m.compressed_bytes) AS available_savings, CAST(m.compression_ns AS DOUBLE) / 80 AS false_positive_cost FROM {medians} m JOIN (SELECT item_id, compressed_bytes FROM {medians} WHERE codec_id = 'zstd-9') r ON r.item_id = m.item_id",
 )
 book.sql("proj15_weighted_ratio", "SELECT codec_id, round(sum(compressed_bytes / CAST(original_bytes AS DOUBLE) * original_bytes) / sum(original_bytes), 9) AS weighted_ratio FROM {medians} WHERE original_bytes > 0 GROUP BY codec_id")
 
