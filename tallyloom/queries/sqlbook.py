@@ -43,10 +43,10 @@ class Book:
 
     def sql(self, name: str, text: str, other: str | None = None) -> None:
         """The same text for both engines, or ``other`` for DuckDB where their dialects differ."""
-        named = set(re.findall(r"\{(\w+)\}", text))
+        named = set(re.findall(r"(?<!\{)\{([a-z_]\w*)\}(?!\})", text))
         makers = {n: DERIVED[n][0] if n in DERIVED else partial(table, name=n) for n in named}
         self.queries[name] = lambda spark, sf_dir: spark.sql(text, **{n: f(spark, sf_dir) for n, f in makers.items()})
-        self.oracles[name] = (other or text).format(**{x: x for x in TABLES}, **{n: q for n, (_, q) in DERIVED.items()})
+        self.oracles[name] = (other or text).format(**{x: x for x in TABLES}, **{n: q for n, (_, q) in DERIVED.items()}).replace("count_if(", "count(*) FILTER (WHERE ")
 
     def frame(self, name: str, oracle: str | None = None):
         """Decorator for a DataFrame query with its SQL equivalent, if there is one."""
@@ -54,7 +54,7 @@ class Book:
         def keep(f):
             self.queries[name] = f
             if oracle is not None:
-                self.oracles[name] = oracle
+                self.oracles[name] = oracle.replace("count_if(", "count(*) FILTER (WHERE ")
             return f
 
         return keep
