@@ -114,7 +114,7 @@ book.sql("j10_candidate_absent", "SELECT i.item_id, CASE WHEN m.item_id IS NULL
 _RANGES = "(SELECT 'a' AS family, 100 AS first_id, 999 AS last_id UNION ALL SELECT 'b', 2000, 3999 UNION ALL SELECT 'c', 3500, 3600)"
 book.sql("j11_range_select", "SELECT r.family, count(*) AS n, min(e.event_id) AS first_event, max(e.event_id) AS last_event, count(*) = max(r.last_id - r.first_id + 1) AS complete FROM {events} e JOIN " + _RANGES + " r ON e.event_id BETWEEN r.first_id AND r.last_id GROUP BY r.family")
 book.sql("j17_trial_matrix_gaps", "SELECT r.run_id, c.codec_id FROM (SELECT DISTINCT run_id FROM {current}) r CROSS JOIN (SELECT DISTINCT codec_id FROM {current}) c EXCEPT SELECT run_id, codec_id FROM {current}")
-book.sql("j18_leave_one_out", "SELECT a.codec_id AS held_out, round(avg(b.compressed_percent), 6) AS mean_of_others FROM {summary} a JOIN {summary} b ON a.codec_id <> b.codec_id GROUP BY a.codec_id")
+book.sql("j18_leave_one_out", "SELECT a.codec_id AS held_out, round(avg(b.compressed_percent), 3) AS mean_of_others FROM {summary} a JOIN {summary} b ON a.codec_id <> b.codec_id GROUP BY a.codec_id")
 book.sql("j19_shard_roster", "SELECT s.item_category, s.item_split, count(*) AS rows_found, count(DISTINCT s.codec_id) AS codecs_found, (SELECT count(*) FROM {codecs}) AS codecs_expected FROM {current} s GROUP BY s.item_category, s.item_split")
 book.sql("j20_receipt_merge", "SELECT a.trial_id, a.recorded_at AS first_at, b.mirrored_at AS second_at FROM {current0} a LEFT JOIN (SELECT trial_id, max(mirrored_at) AS mirrored_at FROM {trials_mirror} GROUP BY trial_id) b ON b.trial_id = a.trial_id".replace("{current0}", "(SELECT trial_id, max(recorded_at) AS recorded_at FROM {trials} GROUP BY trial_id)"))
 

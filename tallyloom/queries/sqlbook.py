@@ -32,8 +32,15 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.codec_summary(medians(spark, sf_dir))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt to all tasks by doc_id: what is later cut out of a text stays in its task, so windows and
+    aggregates by doc_id (and anything finer) need no shuffle of the many small rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 # Relations that queries name like tables: the operator that makes them, and their SQL.
-DERIVED = {"current": (current, _CURRENT), "medians": (medians, _MEDIANS), "summary": (summary, _SUMMARY)}
+DERIVED = {"current": (current, _CURRENT), "medians": (medians, _MEDIANS), "summary": (summary, _SUMMARY), "texts": (texts, "documents")}
 
 
 class Book:

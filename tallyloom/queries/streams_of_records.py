@@ -182,7 +182,7 @@ def store_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Tokens, dictionaries and features.
-_TOKENS = "(SELECT doc_id, pos, token FROM (SELECT doc_id, posexplode(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}', 0)) AS (pos, token) FROM {documents}) t0)"
+_TOKENS = "(SELECT doc_id, pos, token FROM (SELECT doc_id, posexplode(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}', 0)) AS (pos, token) FROM {texts}) t0)"
 _TOKENS_DUCK = "(SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}') AS w FROM {documents})))"
 
 
@@ -205,7 +205,7 @@ tokens_sql("m14_quarter_repeats", "SELECT doc_id, quarter, count_if(nth > 1) AS
 tokens_sql("o09_first_pair", "SELECT doc_id, min(pair) AS pair, max(n) AS n FROM (SELECT doc_id, pair, n, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS place FROM (SELECT doc_id, concat(token, ' ', nxt) AS pair, count(*) AS n FROM (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM <tokens> t) p WHERE nxt IS NOT NULL GROUP BY doc_id, concat(token, ' ', nxt)) c) r WHERE place = 1 GROUP BY doc_id")
 
 # --- Bytes.
-_BYTES = "(SELECT doc_id, pos, b FROM (SELECT doc_id, posexplode(regexp_extract_all(hex(encode(text, 'UTF-8')), '..', 0)) AS (pos, b) FROM {documents}) b0)"
+_BYTES = "(SELECT doc_id, pos, b FROM (SELECT doc_id, posexplode(regexp_extract_all(hex(encode(text, 'UTF-8')), '..', 0)) AS (pos, b) FROM {texts}) b0)"
 _BYTES_DUCK = "(SELECT doc_id, i - 1 AS pos, w[i] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS w FROM {documents} WHERE text <> '')))"
 
 
@@ -219,7 +219,7 @@ bytes_sql("w12_prequential_order1", "SELECT doc_id, round(sum(-ln((nth - 1 + CAS
 bytes_sql("m01_order3_loss", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(0.5 AS DOUBLE)) / (seen - 1 + CAST(128 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, c3, b ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, c3 ORDER BY pos) AS seen FROM (SELECT doc_id, pos, b, concat(lag(b, 3, '') OVER w, lag(b, 2, '') OVER w, lag(b, 1, '') OVER w) AS c3 FROM <bytes> t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) l) r GROUP BY doc_id")
 bytes_sql("o10_dense_lane_cost", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(1 AS DOUBLE)) / (pos + CAST(256 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS nth FROM <bytes> t) r GROUP BY doc_id")
 bytes_sql("w16_hot_regions", "SELECT doc_id, region, n_digits FROM (SELECT doc_id, region, n_digits, row_number() OVER (PARTITION BY doc_id ORDER BY n_digits DESC, region) AS place FROM (SELECT doc_id, CAST(floor(pos / 64.0) AS BIGINT) AS region, count_if(b BETWEEN '30' AND '39') AS n_digits FROM <bytes> t GROUP BY doc_id, CAST(floor(pos / 64.0) AS BIGINT)) c) r WHERE place <= 3")
-_HEX8 = "WITH h AS (SELECT doc_id, hex(encode(text, 'UTF-8')) AS x FROM {documents} WHERE octet_length(text) >= 8), g AS (SELECT doc_id, p, substring(x, 2 * p + 1, 16) AS gram FROM (SELECT doc_id, x, explode(sequence(0, CAST(length(x) / 2 AS INT) - 8)) AS p FROM h) e)"
+_HEX8 = "WITH h AS (SELECT doc_id, hex(encode(text, 'UTF-8')) AS x FROM {texts} WHERE octet_length(text) >= 8), g AS (SELECT doc_id, posexplode(transform(sequence(0, CAST(length(x) / 2 AS INT) - 8), p -> substring(x, 2 * p + 1, 16))) AS (p, gram) FROM h)"
 _HEX8_DUCK = "WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM {documents} WHERE strlen(text) >= 8), g AS (SELECT doc_id, p, substring(x, 2 * p + 1, 16) AS gram FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 7)) AS p FROM h) e)"
 for _name, _rest in (
     ("j16_match_seeds", ", s AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id, gram ORDER BY p) AS distance FROM g) SELECT doc_id, count(*) AS positions, count_if(distance <= 65536) AS seeds FROM s GROUP BY doc_id"),
@@ -246,7 +246,7 @@ def class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Lines.
-_LINE_ROWS = "(SELECT doc_id, pos, line FROM (SELECT doc_id, posexplode(split(text, char(10), -1)) AS (pos, line) FROM {documents} WHERE text IS NOT NULL) l0)"
+_LINE_ROWS = "(SELECT doc_id, pos, line FROM (SELECT doc_id, posexplode(split(text, char(10), -1)) AS (pos, line) FROM {texts} WHERE text IS NOT NULL) l0)"
 _LINE_ROWS_DUCK = "(SELECT doc_id, i - 1 AS pos, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {documents} WHERE text IS NOT NULL)))"
 
 
@@ -430,7 +430,7 @@ def numeric_block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Bundles, neighbourhoods, grammars and codecs.
 book.sql("r16_extension_lanes", "SELECT regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) AS lane, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM {corpus_items} GROUP BY regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)")
 book.sql("r17_wiki_lanes", "SELECT regexp_extract(path, '^([^/]+)/', 1) AS lane, count(*) AS pages, CAST(max(doc_id) - min(doc_id) AS BIGINT) AS id_span FROM {documents} GROUP BY regexp_extract(path, '^([^/]+)/', 1)")
-_WIN = f"(SELECT doc_id, n_len, md5(substring(text, CAST(at AS INT) + 1, 48)) AS f FROM (SELECT doc_id, text, length(text) AS n_len, explode({_offsets('length(text)', 48, 16)}) AS at FROM {{documents}} WHERE length(text) >= 48) w0)"
+_WIN = f"(SELECT doc_id, n_len, md5(substring(text, CAST(at AS INT) + 1, 48)) AS f FROM (SELECT doc_id, text, length(text) AS n_len, explode({_offsets('length(text)', 48, 16)}) AS at FROM {{texts}} WHERE length(text) >= 48) w0)"
 _WIN_DUCK = "(SELECT doc_id, n AS n_len, md5(substring(text, CAST(i * (n - 48) // greatest(least(16, n // 48) - 1, 1) AS INT) + 1, 48)) AS f FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, least(16, length(text) // 48))) AS i FROM {documents} WHERE length(text) >= 48))"
 
 
