@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import value_ranks
 from ..operators.versions import current_rows
 from ..session import staged, table
 
 
 def group_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, rank, n): the mean rank of each distinct value within its group, and the group's size.
-
-    Works for groups of any size: distinct values are counted with map-side combining and range-partitioned by (group,
-    value); a running count inside each range plus the counts of the ranges before it gives the rank. No task ever
-    holds more than one range, and the offsets are at most one row per group and range. Nulls must be filtered out.
-    """
-    counted = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranges = staged(counted.repartitionByRange(*group, value).withColumn("_range", F.spark_partition_id()), "ranks")
-    sizes = ranges.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_offset"), F.sum("_m").over(Window.partitionBy(*group)).alias("n"))
-    inside = Window.partitionBy("_range", *group).orderBy(value)
-    run = ranges.withColumn("_upto", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.join(offsets, [*group, "_range"]).select(*group, value, (F.col("_offset") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank"), "n")
+    """(group, value, rank, n): the mean rank of each distinct non-null value within its group, and the group's size.
+    Groups may be of any size; see ``ordered.value_ranks``."""
+    ranks = value_ranks(df, group, value)
+    return ranks.select(*group, value, (F.col("n_upto") - F.col("n_equal") + (F.col("n_equal") + 1) / 2).alias("rank"), "n")
 
 
 def first_component(moments: list[list[float]]) -> np.ndarray:
