@@ -75,7 +75,7 @@ def fused_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.struct((-F.col("projection")).alias("p"), "codec"))
+    first = F.min(F.struct((-F.round("projection", 9)).alias("p"), "codec"))
     return fused_census(spark, sf_dir).groupBy("census_id").agg(first.alias("first")).select("census_id", "first.codec")
 
 
