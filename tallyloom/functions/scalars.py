@@ -15,8 +15,9 @@ def slug(c: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """The extension of the last path part in lower case; empty for none and for dot files without another dot."""
-    return F.lower(F.regexp_extract(path, r"[^/.][^/]*[.]([^./]+)$", 1))
+    """The extension of the last path part with its dot in lower case; empty for none, for a name that only starts with
+    a dot and for one that ends in it."""
+    return F.lower(F.regexp_extract(path, r"(?:^|/)[^/]+([.][^./]+)$", 1))
 
 
 def namespace(title: Column) -> Column:

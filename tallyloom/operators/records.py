@@ -10,6 +10,7 @@ import bz2
 import gzip
 import json
 import lzma
+import re
 import struct
 from collections.abc import Callable, Iterator
 from json.decoder import scanstring
@@ -138,49 +139,96 @@ def json_skeletons(df: DataFrame, key: str, text: str) -> DataFrame:
     return per_text(df, key, text, "rec_no int, skeleton string, n_values int", rows)
 
 
-def zero_runs(residual: bytes) -> int:
-    """Bytes of a residual when each run of zeros costs two."""
-    size, i = 0, 0
-    while i < len(residual):
-        j = i
-        while j < len(residual) and residual[j] == 0:
-            j += 1
-        size += 2 if j > i else 1
-        i = j if j > i else i + 1
-    return size
+def varint_size(n: int) -> int:
+    return max(1, -(-n.bit_length() // 7))
 
 
-def length_references(df: DataFrame, key: str, text: str, window: int = 16) -> DataFrame:
-    """(key, rec_no, referenced, n_bytes, residual_bytes): each line against the best of the last ``window`` lines of
-    its byte length, by the size of their XOR with zero runs collapsed; raw where none is smaller."""
+_RUNS = re.compile(rb"\0{2,}|(?:[^\0]|\0(?!\0))+")
+
+
+def residual_size(residual: bytes) -> int:
+    """Bytes of a residual in commands of at most 128 bytes: one for a run of two zeros or more, one and itself for
+    anything else."""
+    size = spare = 0  # a zero left over from full commands joins the next literal
+    for m in _RUNS.finditer(residual):
+        n = m.end() - m.start()
+        if residual[m.start()] == 0 and n > 1:
+            size += n // 128 + (n % 128 > 1)
+            spare = n % 128 == 1
+        else:
+            n += spare
+            size += n + -(-n // 128)
+            spare = 0
+    return size + 2 * spare
+
+
+def _xor(a: bytes, b: bytes) -> bytes:
+    return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).to_bytes(len(a), "big")
+
+
+def length_references(df: DataFrame, key: str, text: str, window: int = 8) -> DataFrame:
+    """(key, rec_no, referenced, n_bytes, residual_bytes): each line against the last ``window`` lines of its byte
+    length, the best by the size of their XOR; raw where that with its mode is no smaller."""
 
     def rows(t: str):
         last: dict[int, list[bytes]] = {}
         for no, line in enumerate(lines_of(t), 1):
             data = line.encode()
             known = last.setdefault(len(data), [])
-            best = min((zero_runs(bytes(x ^ y for x, y in zip(data, k))) for k in known), default=len(data))
-            yield no, best < len(data), len(data), min(best, len(data))
-            known.append(data)
-            del known[:-window]
+            best = min((residual_size(_xor(data, k)) for k in known), default=None)
+            referenced = best is not None and best + 1 < len(data)
+            yield no, referenced, len(data), best if referenced else 0
+            known.insert(0, data)
+            del known[window:]
 
     return per_text(df, key, text, "rec_no int, referenced boolean, n_bytes int, residual_bytes int", rows)
 
 
-def splice_residuals(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rec_no, prefix, suffix, spliced): what each line shares with the one before it; spliced if the middle and
-    two counts are shorter than the line."""
+SLOTS, LARGEST = 1024, 32 * 1024
+
+
+def slot_references(df: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``length_references``, against the one line last kept in the slot of its length modulo SLOTS; a line of
+    another length in the slot is no reference but takes its place, and lines above LARGEST neither look nor stay."""
 
     def rows(t: str):
-        before = ""
+        slots: dict[int, bytes] = {}
         for no, line in enumerate(lines_of(t), 1):
-            n = min(len(before), len(line))
-            p = next((i for i in range(n) if before[i] != line[i]), n)
-            s = next((i for i in range(n - p) if before[-1 - i] != line[-1 - i]), n - p)
-            yield no, p, s, no > 1 and len(line) - p - s + 2 < len(line)
-            before = line
+            data = line.encode()
+            kept = slots.get(len(data) % SLOTS) if len(data) <= LARGEST else None
+            size = residual_size(_xor(data, kept)) if kept is not None and len(kept) == len(data) else 0
+            referenced = 0 < size < len(data)
+            yield no, referenced, len(data), size if referenced else 0
+            if len(data) <= LARGEST:
+                slots[len(data) % SLOTS] = data
 
-    return per_text(df, key, text, "rec_no int, prefix int, suffix int, spliced boolean", rows)
+    return per_text(df, key, text, "rec_no int, referenced boolean, n_bytes int, residual_bytes int", rows)
+
+
+def shared_edges(a: bytes, b: bytes) -> tuple[int, int]:
+    """Bytes of the common prefix and, behind it, of the common suffix."""
+    n = min(len(a), len(b))
+    prefix = next((i for i in range(n) if a[i] != b[i]), n)
+    return prefix, next((i for i in range(n - prefix) if a[-1 - i] != b[-1 - i]), n - prefix)
+
+
+def splice_residuals(df: DataFrame, key: str, text: str, largest: int = 1 << 20) -> DataFrame:
+    """(key, rec_no, prefix, suffix, spliced, n_bytes): what each line, with its end of any kind, shares with the one
+    before it; spliced where the middle with its three counts is smaller than the line with its one."""
+
+    def rows(t: str):
+        before = None
+        for no, data in enumerate(t.encode().splitlines(keepends=True), 1):
+            size, p, s, spliced = 1 + varint_size(len(data)) + len(data), 0, 0, False
+            if before is not None and max(len(before), len(data)) <= largest:
+                p, s = shared_edges(before, data)
+                middle = len(data) - p - s
+                other = 1 + varint_size(p) + varint_size(s) + varint_size(middle) + middle
+                spliced, size = other < size, min(other, size)
+            yield no, p, s, spliced, size
+            before = data
+
+    return per_text(df, key, text, "rec_no int, prefix int, suffix int, spliced boolean, n_bytes int", rows)
 
 
 def move_to_front(codes: list[int]) -> list[int]:
@@ -303,7 +351,6 @@ def class_losses(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def pack_dictionary(text: str, cap: int) -> list[tuple[str, int]]:
     """(token, gain) taken greedily by gain while their bytes fit the cap; a token that doesn't fit is passed over."""
-    import re
     from collections import Counter
 
     counts = Counter(re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,63}", text))
@@ -511,8 +558,6 @@ def wiki_template_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def python_tokens(text: str) -> list[tuple[int, str, str]]:
     """(position, kind, spelling) of the names, numbers, strings and signs of source text; comments and space are trivia."""
-    import re
-
     pattern = re.compile(r"(?P<trivia>[ \t\r\n\f]+|#[^\n]*)|(?P<string>\"[^\"\n]*\"|'[^'\n]*')|(?P<number>0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?)|(?P<name>[^\W\d]\w*)|(?P<sign>.)", re.S)
     return [(n, m.lastgroup, m.group()) for n, m in enumerate(m for m in pattern.finditer(text) if m.lastgroup != "trivia")]
 

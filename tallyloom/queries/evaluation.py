@@ -18,12 +18,12 @@ M, S, C = (DERIVED[n][1] for n in ("medians", "summary", "current"))
 
 @book.frame(
     "scoreboard_pareto",
-    f"""WITH s AS {S} SELECT codec_id, items, compressed_percent, compression_mbps, decompression_mbps FROM s c WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.compressed_percent <= c.compressed_percent
-    AND o.compression_mbps >= c.compression_mbps AND o.decompression_mbps >= c.decompression_mbps AND (o.compressed_percent < c.compressed_percent OR o.compression_mbps > c.compression_mbps OR o.decompression_mbps > c.decompression_mbps))""",
+    f"""WITH s AS {S} SELECT codec_id, items, compressed_percent, compression_mbps, decompression_mbps FROM s c WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.compressed_bytes <= c.compressed_bytes
+    AND o.compression_mbps >= c.compression_mbps AND o.decompression_mbps >= c.decompression_mbps AND (o.compressed_bytes < c.compressed_bytes OR o.compression_mbps > c.compression_mbps OR o.decompression_mbps > c.decompression_mbps))""",
 )
 def scoreboard_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = staged(summary(spark, sf_dir), "summary")
-    return t.pareto_frontier(s, ["codec_id"], [], ["compressed_percent"], ["compression_mbps", "decompression_mbps"]).select("codec_id", "items", "compressed_percent", "compression_mbps", "decompression_mbps")
+    return t.pareto_frontier(s, ["codec_id"], [], ["compressed_bytes"], ["compression_mbps", "decompression_mbps"]).select("codec_id", "items", "compressed_percent", "compression_mbps", "decompression_mbps")
 
 
 book.sql("a01_trial_medians", "SELECT * FROM {medians}")
@@ -134,8 +134,20 @@ book.sql(
 book.sql("a05_repetition_summary", "SELECT repetition, codec_id, count(*) AS trials, CAST(sum(compressed_bytes) AS BIGINT) AS compressed_bytes, CAST(sum(original_bytes) AS BIGINT) AS original_bytes FROM {current} WHERE roundtrip_ok AND repetition > 0 GROUP BY repetition, codec_id")
 
 
-@book.frame(
+_REPS = "SELECT codec_id, repetition, CASE WHEN sum(original_bytes) > 0 THEN 100 * CAST(sum(compressed_bytes) AS DOUBLE) / sum(original_bytes) ELSE 0 END AS compressed_percent, CASE WHEN sum(compression_ns) > 0 THEN sum(original_bytes) / CAST(1000000 AS DOUBLE) / (sum(compression_ns) / CAST(1000000000 AS DOUBLE)) ELSE 0 END AS compression_mbps, CASE WHEN sum(decompression_ns) > 0 THEN sum(original_bytes) / CAST(1000000 AS DOUBLE) / (sum(decompression_ns) / CAST(1000000000 AS DOUBLE)) ELSE 0 END AS decompression_mbps FROM {current} WHERE roundtrip_ok AND repetition > 0 GROUP BY codec_id, repetition"
+book.sql(
     "a06_metric_distribution",
+    "WITH r AS (" + _REPS + "), v AS (SELECT codec_id, 'compressed_percent' AS metric, compressed_percent AS value FROM r UNION ALL SELECT codec_id, 'compression_mbps', compression_mbps FROM r UNION ALL SELECT codec_id, 'decompression_mbps', decompression_mbps FROM r) SELECT codec_id, metric, count(*) AS repetitions, round(median(value), 6) AS median, round(coalesce(CASE WHEN avg(value) <> 0 THEN 100 * stddev_samp(value) / avg(value) END, 0), 5) AS cv_percent, round(min(value), 6) AS least, round(max(value), 6) AS most FROM v GROUP BY codec_id, metric",
+)
+book.sql(
+    "a04_oracle_totals",
+    "WITH c AS (SELECT item_id, codec_id, bw, (compression_ns + decompression_ns + floor(compressed_bytes * 8000 / CAST(bw AS DOUBLE))) / CAST(1000000 AS DOUBLE) AS ms FROM {medians} CROSS JOIN (SELECT 10 AS bw UNION ALL SELECT 100 UNION ALL SELECT 1000) b WHERE compressed_bytes IS NOT NULL AND compression_ns IS NOT NULL AND decompression_ns IS NOT NULL), o AS (SELECT bw, sum(best) AS oracle_ms FROM (SELECT bw, item_id, min(ms) AS best FROM c GROUP BY bw, item_id) x GROUP BY bw), f AS (SELECT bw, codec_id, ms, row_number() OVER (PARTITION BY bw ORDER BY ms, codec_id) AS place FROM (SELECT bw, codec_id, (compression_ns + decompression_ns + floor(compressed_bytes * 8000 / CAST(bw AS DOUBLE))) / CAST(1000000 AS DOUBLE) AS ms FROM {summary} CROSS JOIN (SELECT 10 AS bw UNION ALL SELECT 100 UNION ALL SELECT 1000) b) y) SELECT o.bw, f.codec_id AS best_fixed_codec, round(o.oracle_ms, 3) AS oracle_ms, round(f.ms, 3) AS best_fixed_ms, round(100 * (1 - o.oracle_ms / f.ms), 6) AS gain_percent FROM o JOIN f ON f.bw = o.bw AND f.place = 1",
+)
+book.sql("j07_pareto_pairs", "SELECT a.codec_id, b.codec_id AS dominated FROM {summary} a JOIN {summary} b ON a.codec_id <> b.codec_id AND a.compressed_bytes <= b.compressed_bytes AND a.compression_mbps >= b.compression_mbps AND a.decompression_mbps >= b.decompression_mbps AND (a.compressed_bytes < b.compressed_bytes OR a.compression_mbps > b.compression_mbps OR a.decompression_mbps > b.decompression_mbps)")
+
+
+@book.frame(
+    "a06_trial_distribution",
     f"""WITH v AS (SELECT codec_id, unnest(['compression_ns', 'decompression_ns']) AS metric, unnest([compression_ns, decompression_ns]) AS value FROM {C} WHERE roundtrip_ok AND repetition > 0)
     SELECT codec_id, metric, count(value) AS n, min(value) AS least, max(value) AS most, round(coalesce(CASE WHEN avg(value) <> 0 THEN stddev_samp(value) / avg(value) * 100 END, 0), 4) AS cv_percent, quantile_cont(value, 0.5) AS median FROM v WHERE value IS NOT NULL GROUP BY codec_id, metric""",
 )

@@ -17,7 +17,7 @@ _SUMMARY = f"""(SELECT *, round(CASE WHEN original_bytes <> 0 THEN 100.0::double
   round(CASE WHEN compression_ns > 0 THEN (original_bytes / 1e6) / (compression_ns / 1e9) ELSE 0 END, 6) AS compression_mbps,
   round(CASE WHEN decompression_ns > 0 THEN (original_bytes / 1e6) / (decompression_ns / 1e9) ELSE 0 END, 6) AS decompression_mbps
   FROM (SELECT codec_id, count(*) AS items, sum(original_bytes)::bigint AS original_bytes, sum(compressed_bytes)::bigint AS compressed_bytes, sum(compression_ns)::bigint AS compression_ns,
-    sum(decompression_ns)::bigint AS decompression_ns, max(compression_peak_rss_bytes) AS max_rss_bytes, count_if(compressed_bytes > original_bytes) AS expanded_items FROM {_MEDIANS} GROUP BY codec_id))"""
+    sum(decompression_ns)::bigint AS decompression_ns, max(compression_peak_rss_bytes) AS max_rss_bytes, count(*) FILTER (WHERE compressed_bytes > original_bytes) AS expanded_items, round(CASE WHEN sum(compression_ns) <> 0 THEN 100.0::double * coalesce(sum(selector_ns), 0) / sum(compression_ns) ELSE 0 END, 6) AS selector_time_percent FROM {_MEDIANS} GROUP BY codec_id))"""
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:

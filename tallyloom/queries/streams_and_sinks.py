@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import gates
+from ..plans import gates, reports
 from ..session import shared_dir, table
 from ..sources import files, sinks
 from ..streaming import events as e
@@ -91,4 +91,20 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.wiki_pages(spark, path).select("page_id", "title")
 
 
+@book.frame("k02_overwrite", "SELECT r_name FROM region")
+def overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    sinks.overwrite(table(spark, sf_dir, "nation").select(F.col("n_name").alias("r_name")), path)
+    sinks.overwrite(table(spark, sf_dir, "region").select("r_name"), path)
+    return spark.read.parquet(path)
+
+
+@book.frame("k08_scorecard")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered scoreboard, one row per line."""
+    lines = reports.markdown_table(summary(spark, sf_dir).orderBy("compressed_percent", "codec_id")).splitlines()
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, line string")
+
+
+book.sql("g02_ordered_segments", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM {events}")
 QUERIES, ORACLES = book.queries, book.oracles

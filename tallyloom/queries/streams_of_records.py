@@ -146,7 +146,7 @@ book.sql("s29_codec_registry", "SELECT k.id, k.available, coalesce(k.version, ''
 
 # --- Text predicates.
 book.sql("f05_structured_text", "SELECT doc_id, length(regexp_replace(text, '[^ -~]', '')) >= 0.85 * length(text) AND size(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}', 0)) >= 8 AS structured FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, length(regexp_replace(text, '[^ -~]', '', 'g')) >= 0.85 * length(text) AND len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}')) >= 8 AS structured FROM {documents} WHERE text IS NOT NULL")
-book.sql("f06_json_documents", "SELECT doc_id, substring(ltrim(text), 1, 1) IN ('{{', '[') AS is_json FROM {documents} WHERE text IS NOT NULL")
+book.sql("f06_json_documents", "SELECT doc_id, substring(regexp_replace(substring(text, 1, 4096), '^[ \t\n\r]+', ''), 1, 1) IN ('{{', '[') AS is_json FROM {documents} WHERE text IS NOT NULL")
 
 
 @book.frame("f07_numeric_lexemes", f"SELECT doc_id, count(*) AS n_cells, count_if(regexp_full_match(cells[col_no + 1], '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)')) AS n_numeric FROM {_CELLS_DUCK} GROUP BY doc_id")
@@ -191,15 +191,28 @@ def tokens_sql(name: str, text: str) -> None:
 
 
 tokens_sql("a12_token_frequency", "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM <tokens> t GROUP BY token")
-tokens_sql("a13_token_entropy", "SELECT doc_id, round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE)) / ln(2)), 6) AS bits, count(*) AS dictionary FROM (SELECT doc_id, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM <tokens> t GROUP BY doc_id, token) c GROUP BY doc_id")
+tokens_sql("a13_token_entropy", "SELECT doc_id, round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE)) / ln(2)), 6) AS bits, round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE))) / ln(greatest(2, count(*))), 6) AS normalized, count(*) AS dictionary FROM (SELECT doc_id, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM <tokens> t GROUP BY doc_id, token) c GROUP BY doc_id")
 tokens_sql("a14_top_shares", "SELECT doc_id, round(sum(CASE WHEN place = 1 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 9) AS top1, round(sum(CASE WHEN place <= 4 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 9) AS top4 FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n FROM <tokens> t GROUP BY doc_id, token) c) p GROUP BY doc_id")
-tokens_sql("a15_repeat_rate", "SELECT doc_id, round(avg(CASE WHEN token = before THEN 1.0 ELSE 0.0 END), 9) AS repeat_rate FROM (SELECT doc_id, token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <tokens> t) r GROUP BY doc_id".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
+tokens_sql("a15_repeat_rate", "SELECT doc_id, round(sum(CASE WHEN token = before THEN 1.0 ELSE 0.0 END) / greatest(1, count(*) - 1), 9) AS repeat_rate FROM (SELECT doc_id, token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <tokens> t) r GROUP BY doc_id".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
 _GAIN = "n * (length(token) - 2) - length(token) - 1"
-tokens_sql("w11_dictionary_rank", f"SELECT doc_id, token, n, gain, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n, {_GAIN.replace('n *', 'count(*) *')} AS gain FROM <tokens> t GROUP BY doc_id, token) c WHERE n >= 2 AND gain > 0) r WHERE place <= 128")
-tokens_sql("t10_dictionary_limit", f"SELECT doc_id, count(*) AS entries FROM (SELECT doc_id, token, {_GAIN.replace('n *', 'count(*) *')} AS gain, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY {_GAIN.replace('n *', 'count(*) *')} DESC, count(*) DESC, token) AS place FROM <tokens> t GROUP BY doc_id, token) c WHERE place <= 16 AND n >= 2 GROUP BY doc_id")
-tokens_sql("r05_dictionary_savings", f"SELECT doc_id, count(*) AS entries, CAST(sum(gain) AS BIGINT) AS saved, CAST(sum(n) AS BIGINT) AS replaced FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n, {_GAIN.replace('n *', 'count(*) *')} AS gain FROM <tokens> t GROUP BY doc_id, token) c WHERE n >= 2 AND gain > 0) r WHERE place <= 128 GROUP BY doc_id")
+tokens_sql("w11_dictionary_rank", f"SELECT doc_id, token, n, gain, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n, {_GAIN.replace('n *', 'count(*) *')} AS gain FROM <tokens> t GROUP BY doc_id, token) c WHERE n >= 2 AND gain > 0) r WHERE place <= 254")
+_LIMIT = "CASE WHEN <octets>(text) < 65536 THEN 16 WHEN substring(regexp_replace(substring(text, 1, 4096), '^[ \t\n\r]+', ''), 1, 1) IN ('{{', '[') THEN 128 ELSE 254 END"
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n, {_GAIN.replace('n *', 'count(*) *')} AS gain FROM <tokens> t GROUP BY doc_id, token) c WHERE n >= 2 AND gain > 0"
+_LIMITED = f"SELECT r.doc_id, r.token, r.n, r.gain FROM ({_RANKED}) r JOIN (SELECT doc_id, {_LIMIT} AS most FROM <texts> WHERE text IS NOT NULL) l ON l.doc_id = r.doc_id AND r.place <= l.most"
+for _name, _what in (("t10_dictionary_limit", "doc_id, count(*) AS entries"), ("r05_dictionary_savings", "doc_id, count(*) AS entries, CAST(sum(gain) AS BIGINT) AS saved, CAST(sum(n) AS BIGINT) AS replaced")):
+    _text = f"SELECT {_what} FROM ({_LIMITED}) x GROUP BY doc_id".replace("<texts>", "{texts}")
+    book.sql(_name, _text.replace("<tokens>", _TOKENS).replace("<octets>", "octet_length"), _text.replace("<tokens>", _TOKENS_DUCK).replace("<octets>", "strlen"))
 tokens_sql("r06_code_sequence", "SELECT t.doc_id, t.pos, c.code FROM <tokens> t JOIN (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS code FROM (SELECT doc_id, token, count(*) AS n FROM <tokens> t1 GROUP BY doc_id, token) c0) c ON c.doc_id = t.doc_id AND c.token = t.token")
-tokens_sql("a32_feature_vector", "SELECT f.doc_id, f.tokens, f.dictionary, round(f.dictionary / CAST(f.tokens AS DOUBLE), 9) AS utilization FROM (SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS dictionary FROM <tokens> t GROUP BY doc_id) f")
+tokens_sql(
+    "a32_feature_vector",
+    """WITH w AS (SELECT doc_id, token, count(*) AS n FROM <tokens> t GROUP BY doc_id, token),
+    k AS (SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place, sum(n) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS kinds FROM w),
+    r AS (SELECT doc_id, count(*) AS tokens, count_if(token = before) AS repeats FROM (SELECT doc_id, token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <tokens> t2) l GROUP BY doc_id),
+    f AS (SELECT doc_id, sum(CASE WHEN place = 1 THEN n ELSE 0 END) / CAST(max(total) AS DOUBLE) AS top1, sum(CASE WHEN place <= 4 THEN n ELSE 0 END) / CAST(max(total) AS DOUBLE) AS top4,
+      -sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE))) / ln(greatest(2, max(kinds))) AS entropy, sum((place - 1) * n) / CAST(max(total) AS DOUBLE) / greatest(1, max(kinds) - 1) AS mean_code, max(kinds) AS dictionary FROM k GROUP BY doc_id)
+    SELECT f.doc_id, r.tokens, f.dictionary, round(f.top1, 6) AS top1_share, round(f.top4, 6) AS top4_share, round(f.entropy, 6) AS entropy, round(f.mean_code, 6) AS mean_code, round(r.repeats / CAST(greatest(1, r.tokens - 1) AS DOUBLE), 6) AS repeat_rate
+    FROM f JOIN r ON r.doc_id = f.doc_id""",
+)
 tokens_sql("m04_seen_before", "SELECT doc_id, count(*) AS tokens, count_if(nth > 1) AS repeats FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS nth FROM <tokens> t) r GROUP BY doc_id")
 tokens_sql("m14_quarter_repeats", "SELECT doc_id, quarter, count_if(nth > 1) AS repeats FROM (SELECT doc_id, ntile(4) OVER (PARTITION BY doc_id ORDER BY pos) AS quarter, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS nth FROM <tokens> t) r GROUP BY doc_id, quarter")
 tokens_sql("o09_first_pair", "SELECT doc_id, min(pair) AS pair, max(n) AS n FROM (SELECT doc_id, pair, n, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS place FROM (SELECT doc_id, concat(token, ' ', nxt) AS pair, count(*) AS n FROM (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM <tokens> t) p WHERE nxt IS NOT NULL GROUP BY doc_id, concat(token, ' ', nxt)) c) r WHERE place = 1 GROUP BY doc_id")
@@ -216,6 +229,12 @@ def bytes_sql(name: str, text: str) -> None:
 bytes_sql("a11_byte_histogram", "SELECT b, count(*) AS n FROM <bytes> t GROUP BY b")
 bytes_sql("w12_prequential_order0", "SELECT doc_id, round(sum(-ln((nth - 1 + 0.5) / (pos + 128.0)) / ln(2)), 3) AS bits FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS nth FROM <bytes> t) r GROUP BY doc_id".replace("0.5)", "CAST(0.5 AS DOUBLE))").replace("128.0", "CAST(128 AS DOUBLE)"))
 bytes_sql("w12_prequential_order1", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(0.5 AS DOUBLE)) / (seen - 1 + CAST(128 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, before, b ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, before ORDER BY pos) AS seen FROM (SELECT doc_id, pos, b, lag(b, 1, '') OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <bytes> t) l) r GROUP BY doc_id")
+bytes_sql(
+    "w12_prequential_mixed",
+    """SELECT doc_id, round(sum(-ln((CAST(0.25 AS DOUBLE) * (nth - 1 + CAST(0.5 AS DOUBLE)) / (pos + CAST(128 AS DOUBLE))) + (CAST(0.75 AS DOUBLE) * (cnth - 1 + CAST(0.5 AS DOUBLE)) / (cseen - 1 + CAST(128 AS DOUBLE)))) / ln(2)), 3) AS bits FROM
+    (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, class, b ORDER BY pos) AS cnth, row_number() OVER (PARTITION BY doc_id, class ORDER BY pos) AS cseen FROM
+      (SELECT doc_id, pos, b, lag(CASE WHEN b BETWEEN '61' AND '7A' THEN 1 WHEN b BETWEEN '41' AND '5A' THEN 2 WHEN b BETWEEN '30' AND '39' THEN 3 WHEN b IN ('20', '09') THEN 4 WHEN b IN ('0A', '0D') THEN 5 WHEN b < '80' THEN 6 ELSE 7 END, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS class FROM <bytes> t) c) r GROUP BY doc_id""",
+)
 bytes_sql("m01_order3_loss", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(0.5 AS DOUBLE)) / (seen - 1 + CAST(128 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, c3, b ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, c3 ORDER BY pos) AS seen FROM (SELECT doc_id, pos, b, concat(lag(b, 3, '') OVER w, lag(b, 2, '') OVER w, lag(b, 1, '') OVER w) AS c3 FROM <bytes> t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) l) r GROUP BY doc_id")
 bytes_sql("o10_dense_lane_cost", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(1 AS DOUBLE)) / (pos + CAST(256 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS nth FROM <bytes> t) r GROUP BY doc_id")
 bytes_sql("w16_hot_regions", "SELECT doc_id, region, n_digits FROM (SELECT doc_id, region, n_digits, row_number() OVER (PARTITION BY doc_id ORDER BY n_digits DESC, region) AS place FROM (SELECT doc_id, CAST(floor(pos / 64.0) AS BIGINT) AS region, count_if(b BETWEEN '30' AND '39') AS n_digits FROM <bytes> t GROUP BY doc_id, CAST(floor(pos / 64.0) AS BIGINT)) c) r WHERE place <= 3")
@@ -268,7 +287,7 @@ book.oracles["o06_template_slots"] = book.oracles["o06_template_slots"].replace(
 @book.frame("w07_splice")
 def splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.splice_residuals(docs(spark, sf_dir), "doc_id", "text")
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count_if("spliced").alias("n_spliced"), F.sum(F.col("prefix") + F.col("suffix")).alias("shared"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count_if("spliced").alias("n_spliced"), F.sum(F.col("prefix") + F.col("suffix")).alias("shared"), F.sum("n_bytes").alias("n_bytes"))
 
 
 book.queries["r09_splice_counts"] = lambda spark, d: splice(spark, d).agg(F.sum("n_records").alias("n_records"), F.sum("n_spliced").alias("n_spliced"))
@@ -281,6 +300,7 @@ def length_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 book.queries["r08_xor_residuals"] = lambda spark, d: length_reference(spark, d).agg(F.sum("n_records").alias("n_records"), F.sum("n_referenced").alias("n_referenced"), F.sum("residual_bytes").alias("residual_bytes"))
+book.queries["r08_slot_residuals"] = lambda spark, d: r.slot_references(docs(spark, d), "doc_id", "text").agg(F.count("*").alias("n_records"), F.count_if("referenced").alias("n_referenced"), F.sum("residual_bytes").alias("residual_bytes"))
 book.queries["w08_zero_runs"] = lambda spark, d: r.length_references(docs(spark, d), "doc_id", "text").groupBy("referenced").agg(F.count("*").alias("n"), F.sum("residual_bytes").alias("n_bytes"))
 
 # --- JSON.
@@ -430,6 +450,7 @@ def numeric_block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Bundles, neighbourhoods, grammars and codecs.
 book.sql("r16_extension_lanes", "SELECT regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) AS lane, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM {corpus_items} GROUP BY regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)")
 book.sql("r17_wiki_lanes", "SELECT regexp_extract(path, '^([^/]+)/', 1) AS lane, count(*) AS pages, CAST(max(doc_id) - min(doc_id) AS BIGINT) AS id_span FROM {documents} GROUP BY regexp_extract(path, '^([^/]+)/', 1)")
+# Windows of 48 bytes: at 0 for texts no longer than that, else evenly spaced, at most 16 of them.
 _WIN = f"(SELECT doc_id, n_len, md5(substring(text, CAST(at AS INT) + 1, 48)) AS f FROM (SELECT doc_id, text, length(text) AS n_len, explode({_offsets('length(text)', 48, 16)}) AS at FROM {{texts}} WHERE length(text) >= 48) w0)"
 _WIN_DUCK = "(SELECT doc_id, n AS n_len, md5(substring(text, CAST(i * (n - 48) // greatest(least(16, n // 48) - 1, 1) AS INT) + 1, 48)) AS f FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, least(16, length(text) // 48))) AS i FROM {documents} WHERE length(text) >= 48))"
 
@@ -441,14 +462,19 @@ def windows_sql(name: str, text: str) -> None:
 windows_sql("a17_fingerprint_frequency", "SELECT f, count(DISTINCT doc_id) AS n_docs FROM <windows> w GROUP BY f")
 windows_sql("f17_frequency_band", "SELECT f, n_docs FROM (SELECT f, count(DISTINCT doc_id) AS n_docs FROM <windows> w GROUP BY f) c WHERE n_docs BETWEEN 2 AND (SELECT greatest(2, ceil(count(*) / 100.0)) FROM {documents})")
 windows_sql("a18_minhash", "SELECT doc_id, min(md5(concat('1', f))) AS h1, min(md5(concat('2', f))) AS h2, min(md5(concat('3', f))) AS h3, min(md5(concat('4', f))) AS h4 FROM <windows> w GROUP BY doc_id")
-windows_sql("t02_neighbour_order", "SELECT doc_id, h1, h2, length(bin(n_len)) AS size_class FROM (SELECT doc_id, max(n_len) AS n_len, min(md5(concat('1', f))) AS h1, min(md5(concat('2', f))) AS h2 FROM <windows> w GROUP BY doc_id) m")
+windows_sql(
+    "t02_neighbour_order",
+    """WITH w AS (SELECT DISTINCT doc_id, n_len, f FROM <windows> w0), c AS (SELECT f, count(*) AS n_docs FROM w GROUP BY f), n AS (SELECT greatest(2, ceil(count(*) / CAST(100 AS DOUBLE))) AS most FROM {documents}),
+    m AS (SELECT w.doc_id, w.n_len, w.f, c.n_docs BETWEEN 2 AND n.most AS band, max(CASE WHEN c.n_docs BETWEEN 2 AND n.most THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id) AS any_band FROM w JOIN c ON c.f = w.f CROSS JOIN n)
+    SELECT doc_id, min(md5(concat('1', f))) AS h1, min(md5(concat('2', f))) AS h2, min(md5(concat('3', f))) AS h3, min(md5(concat('4', f))) AS h4, length(bin(max(n_len))) AS size_class FROM m WHERE band OR any_band = 0 GROUP BY doc_id""",
+)
 
 
 @book.frame("r18_neighbourhoods")
 def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's place in an order by minhashes, by range partitions."""
     h = book.queries["t02_neighbour_order"](spark, sf_dir)
-    return ordered.running_total(h, [], ["h1", "h2", "size_class", "doc_id"], F.lit(1), "place").select("doc_id", "place")
+    return ordered.running_total(h, [], ["h1", "h2", "h3", "h4", "size_class", "doc_id"], F.lit(1), "place").select("doc_id", "place")
 
 
 @book.frame("r19_template_columns")
@@ -564,7 +590,7 @@ book.sql("m18_projected_gain", "SELECT source, count(*) AS n, CAST(sum(octet_len
 # --- Scalar functions.
 
 
-@book.frame("x_path_functions", "SELECT id, lower(regexp_extract(path, '[^/.][^/]*[.]([^./]+)$', 1)) AS extension, lower(regexp_replace(regexp_replace(dataset, '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM corpus_items")
+@book.frame("x01_path_functions", "SELECT id, lower(regexp_extract(path, '(?:^|/)[^/]+([.][^./]+)$', 1)) AS extension, lower(regexp_replace(regexp_replace(dataset, '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM corpus_items")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "corpus_items").select("id", x.extension(F.col("path")).alias("extension"), x.slug(F.col("dataset")).alias("slug"))
 
@@ -589,6 +615,49 @@ book.sql("x20_map_get", "SELECT id, coalesce(provenance['generator'], '') AS gen
 book.sql("u06_missing_fields", "SELECT id FROM {corpus_items} WHERE sha256 IS NULL OR content IS NULL OR split IS NULL")
 
 
+@book.frame("x04_common_edges")
+def common_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = r.splice_residuals(docs(spark, sf_dir), "doc_id", "text")
+    return s.groupBy("prefix", "suffix").agg(F.count("*").alias("n"))
+
+
+@book.frame("x05_sizes", "SELECT text, CASE text WHEN '16MiB' THEN 16777216 WHEN '512k' THEN 524288 WHEN '7' THEN 7 END AS n_bytes FROM (SELECT unnest(['16MiB', '512k', '7', 'unlimited']) AS text)")
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([("16MiB",), ("512k",), ("7",), ("unlimited",)], "text string")
+    return t.select("text", x.size_bytes(F.col("text")).alias("n_bytes"))
+
+
+book.sql("x03_namespaces", "SELECT doc_id, lower(regexp_extract(path, '^([^/]{{1,64}})/', 1)) AS namespace FROM {documents}")
+book.sql("x08_case_collisions", "SELECT lower(codec) AS folded, count(DISTINCT codec) AS spellings FROM {codec_census} GROUP BY lower(codec) HAVING count(DISTINCT codec) > 1")
+tokens_sql("x09_identifiers", "SELECT doc_id, count(*) AS n, min(token) AS first_token, max(length(token)) AS longest FROM <tokens> t GROUP BY doc_id")
+book.sql("x15_integer_math", "SELECT trial_id, length(bin(original_bytes)) AS bits, CAST(floor(sqrt(CAST(original_bytes AS DOUBLE))) AS BIGINT) AS root, least(greatest(repetition, 0), 5) AS clamped FROM (SELECT DISTINCT trial_id, original_bytes, repetition FROM {trials} WHERE original_bytes > 0) t")
+
+
+@book.frame("x16_exact_decimals")
+def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many digits after the point give each price back bit by bit."""
+    import json
+
+    def digits(t: str):
+        v = json.loads(t)
+        yield (next((d for d in range(18) if float(f"{v:.{d}f}") == v), None),)
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_retailprice").alias("v"))).alias("j")).select("p_partkey", F.get_json_object("j", "$.v").alias("text"))
+    return r.per_text(p, "p_partkey", "text", "digits int", digits)
+
+
+@book.frame("x19_merged_ranges", "WITH r AS (SELECT doc_id, unnest([0, CAST(floor(length(text) / 2.0::double) AS BIGINT) - 60, length(text) - 120]) AS a FROM documents WHERE length(text) > 120), o AS (SELECT doc_id, greatest(a, 0) AS a, greatest(a, 0) + 120 AS b FROM r), g AS (SELECT doc_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM o), i AS (SELECT doc_id, a, b, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT doc_id, island::bigint AS island, min(a)::bigint AS first_at, max(b)::bigint AS end_at FROM i GROUP BY doc_id, island")
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, middle and last sample of each text, overlapping ones merged."""
+    n = F.length("text")
+    d = docs(spark, sf_dir).filter(n > 120).select("doc_id", F.explode(F.array(F.lit(0).cast("bigint"), F.floor(n / 2) - 60, (n - 120).cast("bigint"))).alias("a"))
+    o = d.select("doc_id", F.greatest("a", F.lit(0)).alias("a")).withColumn("b", F.col("a") + 120)
+    w = Window.partitionBy("doc_id").orderBy("a", "b")
+    g = o.withColumn("fresh", F.when(F.col("a") <= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    i = g.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return i.groupBy("doc_id", "island").agg(F.min("a").alias("first_at"), F.max("b").alias("end_at"))
+
+
 # --- Generators.
 
 

@@ -9,7 +9,7 @@ def one(spark, column, **values):
 
 def test_text(spark):
     assert one(spark, x.slug(F.col("a")), a="--My file (2).TXT ") == "my-file-2-.txt"
-    assert [one(spark, x.extension(F.col("a")), a=p) for p in ("a/b.tar.GZ", ".bashrc", "a/.x.py", "none")] == ["gz", "", "py", ""]
+    assert [one(spark, x.extension(F.col("a")), a=p) for p in ("a/b.tar.GZ", ".bashrc", "a/.x.py", "none", "end.")] == [".gz", "", ".py", "", ""]
     assert [one(spark, x.namespace(F.col("a")), a=p) for p in ("Talk:Axiom", "Axiom", ":x")] == ["talk", "", ""]
     assert [one(spark, x.size_bytes(F.col("a")), a=p) for p in ("16MiB", "4096", "unlimited", "2g")] == [16 << 20, 4096, None, 2 << 30]
     assert one(spark, x.repeat_to(F.col("a"), 5), a="ab") == "ababa" and one(spark, x.repeat_to(F.col("a"), 5), a="") == ""
