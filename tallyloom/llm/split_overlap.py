@@ -13,6 +13,7 @@ SHINGLE = 3  # words of a shingle
 SIMILAR = 0.7  # least Jaccard similarity of the shingle sets
 CUT_MASK = 3  # a cut before every fourth word on average
 LEAST_OVERLAP = 0.3  # least share of both records, in words, that lies in shared chunks
+LENGTH_BITS = 20  # of a packed chunk: its words, below the upper bits of its digest
 HOT_SHARE = 10_000  # a digest with more than one in so many of all chunks is hot; there are at most so many such digests
 
 
@@ -21,7 +22,8 @@ def words_of(content: Column) -> Column:
 
 
 def chunked(classes: DataFrame) -> DataFrame:
-    """Adds ``shingles`` (distinct hashes of SHINGLE consecutive words) and ``chunks`` (digest, words) to ``words``.
+    """Adds ``shingles`` (distinct hashes of SHINGLE consecutive words) and ``chunks`` to ``words``: the distinct chunks,
+    each packed into one number of its digest and its words.
 
     A rolling hash of two neighbouring words cuts before the second, so cuts depend on content only and an edit moves
     no cut but its own."""
@@ -32,13 +34,23 @@ def chunked(classes: DataFrame) -> DataFrame:
     cuts = F.filter(inner, lambda i: F.shiftrightunsigned(rolled(i), 17).bitwiseAND(F.lit(CUT_MASK)) == 0)
     h = h.withColumn("bounds", F.concat(F.array(F.lit(0)), cuts, F.array(F.size("words"))))
     part = lambda j: F.slice("hashes", F.element_at("bounds", j) + 1, F.element_at("bounds", j + 1) - F.element_at("bounds", j))
-    chunk = lambda j: F.struct(F.xxhash64(part(j)).alias("d"), (F.element_at("bounds", j + 1) - F.element_at("bounds", j)).alias("len"))
+    low = (1 << LENGTH_BITS) - 1
+    n = lambda j: F.least(F.element_at("bounds", j + 1) - F.element_at("bounds", j), F.lit(low))
+    chunk = lambda j: F.xxhash64(part(j)).bitwiseAND(F.lit(~low)).bitwiseOR(n(j).cast("bigint"))
     shingle = lambda i: F.xxhash64(F.slice("hashes", i, SHINGLE))
-    return h.withColumn("chunks", F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), chunk)).withColumn(
+    return h.withColumn("chunks", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), chunk))).withColumn(
         "shingles", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), shingle))
     ).drop("hashes", "bounds")
 
 
+def chunk_words(chunk: Column) -> Column:
+    return chunk.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+
+
+def total_words(chunks: Column) -> Column:
+    return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + chunk_words(c))
+
+
 def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of equal content and their near-same pairs across the two sides.
 
@@ -47,7 +59,8 @@ def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     outside it; a class with both is paired with itself. Records with fewer than SHINGLE words, null or empty content
     have no shingles and are in no pair.
 
-    Copies collapse into classes before anything is compared. Chunk digests are counted; each class looks for partners
+    Copies collapse into classes before anything is compared. A record's chunks are a set, weighted by their words, as
+    its shingles are a set. Chunk digests are counted; each class looks for partners
     only by its rarest chunks, those that hold more than 1 - LEAST_OVERLAP of its words: two records that share at
     least LEAST_OVERLAP of the longer one must share one of these. So chunks of notices that many records hold
     generate no pairs unless they fill most of a record. Sizes that rule the similarity out are dropped in the join.
@@ -59,11 +72,11 @@ def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = r.withColumn("cls", F.md5(F.concat_ws(" ", "words")))
     members = r.select("cls", "key", "train")
     classes = r.groupBy("cls").agg(F.any_value("words").alias("words"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_other"))
-    classes = staged(chunked(classes).select("cls", "in_train", "in_other", F.size("words").alias("n_words"), "chunks", "shingles"), "p5-classes")
+    classes = chunked(classes).withColumn("n_words", total_words(F.col("chunks")))
+    classes = staged(classes.select("cls", "in_train", "in_other", "n_words", "chunks", "shingles"), "p5-classes")
 
-    held = classes.select("cls", "in_train", "in_other", "n_words", F.size("shingles").alias("n"), F.inline("chunks"))
-    held = held.groupBy("cls", "in_train", "in_other", "n_words", "n", "d").agg(F.sum("len").alias("len"))
-    held = staged(held, "p5-chunks")
+    held = classes.select("cls", "in_train", "in_other", "n_words", F.size("shingles").alias("n"), F.explode("chunks").alias("d"))
+    held = staged(held.withColumn("len", chunk_words(F.col("d"))), "p5-chunks")
     counts = staged(held.groupBy("d").agg(F.count("*").alias("f")), "p5-counts")
     total = counts.agg(F.sum("f")).first()[0] or 0
     hot = F.broadcast(counts.filter(F.col("f") * HOT_SHARE > total).withColumnRenamed("f", "hot_f"))
@@ -80,8 +93,8 @@ def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     side = lambda x, name: classes.select(F.col("cls").alias(name), F.col("chunks").alias(f"{x}_chunks"), F.col("shingles").alias(f"{x}_shingles"), F.col("n_words").alias(f"{x}_words"))
     both = met.join(side("a", "train_cls"), "train_cls").join(side("b", "other_cls"), "other_cls")
-    shared = lambda x, y: F.aggregate(F.filter(f"{x}_chunks", lambda c: F.array_contains(F.transform(f"{y}_chunks", lambda o: o["d"]), c["d"])), F.lit(0), lambda s, c: s + c["len"]) / F.col(f"{x}_words")
-    both = both.withColumn("overlap_train", shared("a", "b")).withColumn("overlap_other", shared("b", "a"))
+    shared = total_words(F.array_intersect("a_chunks", "b_chunks"))
+    both = both.withColumn("overlap_train", shared / F.col("a_words")).withColumn("overlap_other", shared / F.col("b_words"))
     both = both.filter(f"overlap_train >= {LEAST_OVERLAP} AND overlap_other >= {LEAST_OVERLAP}")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     near = both.withColumn("similarity", common / (F.size("a_shingles") + F.size("b_shingles") - common)).filter(F.col("similarity") >= SIMILAR - 1e-12)
