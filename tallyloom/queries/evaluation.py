@@ -77,7 +77,16 @@ book.sql("f04_failures", "SELECT item_id, codec_id, repetition, error FROM {curr
 book.sql("f14_execution_validity", "SELECT trial_id, CASE WHEN coalesce(roundtrip_ok, false) AND coalesce(source_sha256 = restored_sha256, false) AND coalesce(compressed_bytes > 0, false) AND coalesce(compression_ns > 0, false) AND coalesce(decompression_ns > 0, false) THEN 'valid' ELSE 'invalid' END AS execution FROM {current}")
 book.sql("f15_available_codecs", "SELECT id, family, CASE WHEN available THEN 'available' ELSE 'unavailable' END AS class FROM {codecs}")
 book.sql("f19_digest_violations", "SELECT id, sha256 FROM {corpus_items} WHERE sha256 IS NULL OR NOT (length(sha256) = 64 AND length(regexp_replace(sha256, '[0-9a-f]', '')) = 0)", "SELECT id, sha256 FROM {corpus_items} WHERE sha256 IS NULL OR NOT (length(sha256) = 64 AND length(regexp_replace(sha256, '[0-9a-f]', '', 'g')) = 0)")
-book.sql("f20_undersized_interior", "SELECT run_id, trial_id, original_bytes FROM (SELECT run_id, trial_id, original_bytes, lead(trial_id) OVER (PARTITION BY run_id ORDER BY order_index, trial_id) AS nxt FROM {current}) x WHERE nxt IS NOT NULL AND original_bytes < 65536")
+
+
+@book.frame("f20_undersized_interior", f"SELECT run_id, trial_id, original_bytes FROM (SELECT run_id, trial_id, original_bytes, lead(trial_id) OVER (PARTITION BY run_id ORDER BY order_index, trial_id) AS nxt FROM {C}) x WHERE nxt IS NOT NULL AND original_bytes < 65536")
+def undersized_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small segments that are not the last of their run: those that some row has before it."""
+    rows = current(spark, sf_dir).select("run_id", "order_index", "trial_id", "original_bytes")
+    run = ordered.with_previous(rows, ["run_id"], ["order_index", "trial_id"], {"trial_id": "before", "original_bytes": "n_before"})
+    return run.filter("before IS NOT NULL AND n_before < 65536").select("run_id", F.col("before").alias("trial_id"), F.col("n_before").alias("original_bytes"))
+
+
 
 # --- Joins.
 book.sql("j01_trial_grid", "SELECT i.id AS item_id, c.id AS codec_id FROM {corpus_items} i CROSS JOIN {codecs} c WHERE c.available")
@@ -238,6 +247,13 @@ def segment_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.groupBy("run_id", F.expr("(upto - n_bytes) div 16777216").alias("segment")).agg(F.count("*").alias("records"), F.min("order_index").alias("first_index"))
 
 
-book.sql("w19_budgeted_sweep", "SELECT codec_id, item_id, CASE WHEN position <= 10 THEN 'run' ELSE 'skipped_budget_cap' END AS status FROM (SELECT codec_id, item_id, row_number() OVER (PARTITION BY codec_id ORDER BY item_id) AS position FROM {medians}) x")
+
+
+@book.frame("w19_budgeted_sweep", f"SELECT codec_id, item_id, CASE WHEN position <= 10 THEN 'run' ELSE 'skipped_budget_cap' END AS status FROM (SELECT codec_id, item_id, row_number() OVER (PARTITION BY codec_id ORDER BY item_id) AS position FROM {M}) x")
+def budgeted_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = ordered.running_total(medians(spark, sf_dir).select("codec_id", "item_id"), ["codec_id"], ["item_id"], F.lit(1), "position")
+    return run.select("codec_id", "item_id", F.when(F.col("position") <= 10, "run").otherwise("skipped_budget_cap").alias("status"))
+
+
 
 QUERIES, ORACLES = book.queries, book.oracles

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..plans import gates, reports
 from ..session import shared_dir, table
 from ..sources import files, sinks
@@ -106,5 +107,12 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, line string")
 
 
-book.sql("g02_ordered_segments", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM {events}")
+
+
+@book.frame("g02_ordered_segments", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM events")
+def ordered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return ordered.running_total(rows, ["user_id"], ["event_id"], F.lit(1), "position")
+
+
 QUERIES, ORACLES = book.queries, book.oracles

@@ -354,35 +354,75 @@ def segment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 book.sql("r01_event_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM {events} GROUP BY event_type", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM {events} GROUP BY event_type")
-book.sql("m03_typed_deltas", "SELECT user_id, length(bin(abs(event_id - before))) AS delta_bits, count(*) AS n FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events}) l WHERE before IS NOT NULL GROUP BY user_id, length(bin(abs(event_id - before)))", "SELECT user_id, length(bin(abs(event_id - before))) AS delta_bits, count(*) AS n FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events}) l WHERE before IS NOT NULL GROUP BY user_id, length(bin(abs(event_id - before)))")
-book.sql("o07_typed_lanes", "SELECT event_type, count_if(event_id > before) AS id_hits, count_if(event_id = before + 1) AS unit_steps, count_if(before IS NULL) AS armed FROM (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM {events}) l GROUP BY event_type")
+@book.frame("m03_typed_deltas", "SELECT user_id, length(bin(abs(event_id - before)))::bigint AS delta_bits, count(*) AS n FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) l WHERE before IS NOT NULL GROUP BY ALL")
+def typed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ordered.with_previous(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], {"event_id": "before"})
+    return e.filter("before IS NOT NULL").groupBy("user_id", F.length(F.bin(F.abs(F.col("event_id") - F.col("before")))).cast("bigint").alias("delta_bits")).agg(F.count("*").alias("n"))
+
+
+@book.frame("o07_typed_lanes", "SELECT event_type, count_if(event_id > before) AS id_hits, count_if(event_id = before + 1) AS unit_steps, count_if(before IS NULL) AS armed FROM (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) l GROUP BY event_type")
+def typed_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ordered.with_previous(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], {"event_id": "before"})
+    return e.groupBy("event_type").agg(F.count_if(F.col("event_id") > F.col("before")).alias("id_hits"), F.count_if(F.col("event_id") == F.col("before") + 1).alias("unit_steps"), F.count_if(F.col("before").isNull()).alias("armed"))
+
+
 book.sql("m13_field_conditioned", "SELECT event_type, k, n, round(-ln(n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)) / ln(2), 6) AS bits FROM (SELECT event_type, get_json_object(props, '$.k') AS k, count(*) AS n FROM {events} GROUP BY event_type, get_json_object(props, '$.k')) c", "SELECT event_type, k, n, round(-ln(n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)) / ln(2), 6) AS bits FROM (SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM {events} GROUP BY ALL) c")
 
 # --- Deltas and numeric codes.
-_D32 = "SELECT l_suppkey, l_orderkey, l_linenumber, ((l_orderkey - lag(l_orderkey, 1, 0) OVER w) % 4294967296 + 4294967296) % 4294967296 AS delta FROM {lineitem} WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)"
-book.sql("w01_delta32", _D32.replace("lag(l_orderkey, 1, 0)", "lag(l_orderkey, 1, CAST(0 AS BIGINT))"))
-book.sql("r10_byte_planes", "SELECT plane, b, count(*) AS n FROM (SELECT p.plane, CAST(floor(delta / p.unit) AS BIGINT) % 256 AS b FROM (" + _D32.replace("lag(l_orderkey, 1, 0)", "lag(l_orderkey, 1, CAST(0 AS BIGINT))") + ") d CROSS JOIN (SELECT 0 AS plane, 1.0 AS unit UNION ALL SELECT 1, 256.0 UNION ALL SELECT 2, 65536.0 UNION ALL SELECT 3, 16777216.0) p) x GROUP BY plane, b")
+_D32 = "SELECT l_suppkey, l_orderkey, l_linenumber, ((l_orderkey - lag(l_orderkey, 1, 0) OVER w) % 4294967296 + 4294967296) % 4294967296 AS delta FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)"
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of order keys along each supplier's lines modulo 2**32, the first against 0."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    run = ordered.with_previous(li, ["l_suppkey"], ["l_orderkey", "l_linenumber"], {"l_orderkey": "before"})
+    return run.select("l_suppkey", "l_orderkey", "l_linenumber", F.pmod(F.col("l_orderkey") - F.coalesce("before", F.lit(0)), F.lit(1 << 32)).alias("delta"))
+
+
+@book.frame("w01_delta32", _D32)
+def delta32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deltas(spark, sf_dir)
+
+
+@book.frame("r10_byte_planes", "SELECT plane, b, count(*) AS n FROM (SELECT p.plane, CAST(floor(delta / p.unit) AS BIGINT) % 256 AS b FROM (" + _D32 + ") d CROSS JOIN (SELECT 0 AS plane, 1.0 AS unit UNION ALL SELECT 1, 256.0 UNION ALL SELECT 2, 65536.0 UNION ALL SELECT 3, 16777216.0) p) x GROUP BY plane, b")
+def byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = F.inline(F.array(*[F.struct(F.lit(k).alias("plane"), F.call_function("shiftright", F.col("delta"), F.lit(8 * k)).bitwiseAND(F.lit(255)).alias("b")) for k in range(4)]))
+    return _deltas(spark, sf_dir).select(planes).groupBy("plane", "b").agg(F.count("*").alias("n"))
 
 
 @book.frame("w02_inverse_sums", "SELECT l_suppkey, l_orderkey, l_linenumber, l_orderkey % 4294967296 AS restored FROM lineitem")
 def inverse_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums of the deltas give the values back."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", F.col("l_linenumber"))
-    d = li.withColumn("delta", F.pmod(F.col("l_orderkey") - F.lag("l_orderkey", 1, 0).over(w), F.lit(1 << 32)))
+    d = staged(_deltas(spark, sf_dir), "deltas")
     run = ordered.running_total(d, ["l_suppkey"], ["l_orderkey", "l_linenumber"], "delta", "upto")
     return run.select("l_suppkey", "l_orderkey", "l_linenumber", F.pmod("upto", F.lit(1 << 32)).alias("restored"))
 
 
-book.sql("w03_byte_delta", "SELECT l_suppkey, count(*) AS n, CAST(sum(((l_linenumber - before) % 256 + 256) % 256) AS BIGINT) AS delta_sum FROM (SELECT l_suppkey, l_linenumber, lag(l_linenumber, 1, 0) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS before FROM {lineitem}) l GROUP BY l_suppkey")
-book.sql("w05_zigzag_deltas", "SELECT doc_id, bundle_id, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS code FROM (SELECT doc_id, bundle_id, doc_id - lag(doc_id, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY bundle_id ORDER BY path, doc_id) AS d FROM {documents}) x")
+@book.frame("w03_byte_delta", "SELECT l_suppkey, count(*) AS n, CAST(sum(((l_linenumber - before) % 256 + 256) % 256) AS BIGINT) AS delta_sum FROM (SELECT l_suppkey, l_linenumber, lag(l_linenumber, 1, 0) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS before FROM lineitem) l GROUP BY l_suppkey")
+def byte_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    run = ordered.with_previous(li, ["l_suppkey"], ["l_orderkey", "l_linenumber"], {"l_linenumber": "before"})
+    return run.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.pmod(F.col("l_linenumber") - F.coalesce("before", F.lit(0)), F.lit(256))).cast("bigint").alias("delta_sum"))
+
+
+
+
+def _bundle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("bundle_id", "path", "doc_id")
+    return ordered.with_previous(d, ["bundle_id"], ["path", "doc_id"], {"path": "path_before", "doc_id": "id_before"})
+
+
+@book.frame("w05_zigzag_deltas", "SELECT doc_id, bundle_id, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS code FROM (SELECT doc_id, bundle_id, doc_id - lag(doc_id, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY bundle_id ORDER BY path, doc_id) AS d FROM documents) x")
+def zigzag_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bundle_order(spark, sf_dir).select("doc_id", "bundle_id", x.zigzag(F.col("doc_id") - F.coalesce("id_before", F.lit(0))).alias("code"))
+
+
 _FRONT = "SELECT bundle_id, path, before FROM (SELECT bundle_id, path, lag(path, 1, '') OVER (PARTITION BY bundle_id ORDER BY path, doc_id) AS before FROM documents)"
 
 
 @book.frame("w06_front_coding", f"SELECT bundle_id, path, len(list_filter(range(1, least(length(path), length(before)) + 1), lambda i: substring(path, 1, i) = substring(before, 1, i)))::bigint AS prefix FROM ({_FRONT})")
 def front_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("bundle_id").orderBy("path", "doc_id")
-    return docs(spark, sf_dir).select("bundle_id", "path", x.common_prefix(F.col("path"), F.lag("path", 1, "").over(w)).cast("bigint").alias("prefix"))
+    return _bundle_order(spark, sf_dir).select("bundle_id", "path", x.common_prefix(F.col("path"), F.col("path_before")).cast("bigint").alias("prefix"))
 
 
 _CODES = "(SELECT vec_id, label, pos, CAST(floor(CAST(e AS DOUBLE) * 16) AS BIGINT) AS code FROM (SELECT vec_id, label, posexplode(embedding) AS (pos, e) FROM {embeddings}) e0)"
@@ -400,7 +440,15 @@ codes_sql("r11_matrix_dictionary", "SELECT code, n, dense_rank() OVER (ORDER BY
 codes_sql("r12_ideal_code_length", "SELECT pos, round(sum(-n * ln(n / CAST(total AS DOUBLE)) / ln(2)), 3) AS bits FROM (SELECT pos, before, code, count(*) AS n, sum(count(*)) OVER (PARTITION BY pos, before) AS total FROM (SELECT vec_id, pos, code, lag(code, 1, CAST(-99 AS BIGINT)) OVER (PARTITION BY vec_id ORDER BY pos) AS before FROM <codes> c) l GROUP BY pos, before, code) t GROUP BY pos")
 codes_sql("t03_decimal_order", "SELECT code, row_number() OVER (ORDER BY code) AS place FROM (SELECT DISTINCT code FROM <codes> c) d")
 codes_sql("f10_matrix_shape", "SELECT count(DISTINCT vec_id) AS n_rows, max(width) AS n_cols, min(width) = max(width) AS rectangular FROM (SELECT vec_id, count(*) AS width FROM <codes> c GROUP BY vec_id) w".replace("count(DISTINCT vec_id) AS n_rows", "count(*) AS n_rows"))
-codes_sql("r13_lane_code_length", "SELECT pos, round(sum(-ln((nth - 1 + CAST(1 AS DOUBLE)) / (seen - 1 + CAST(64 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT pos, row_number() OVER (PARTITION BY pos, code ORDER BY vec_id) AS nth, row_number() OVER (PARTITION BY pos ORDER BY vec_id) AS seen FROM <codes> c) r GROUP BY pos")
+@book.frame("r13_lane_code_length", "SELECT pos, round(sum(-ln((nth - 1 + CAST(1 AS DOUBLE)) / (seen - 1 + CAST(64 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT pos, row_number() OVER (PARTITION BY pos, code ORDER BY vec_id) AS nth, row_number() OVER (PARTITION BY pos ORDER BY vec_id) AS seen FROM <codes> c) r GROUP BY pos".replace("<codes>", _CODES_DUCK).format(embeddings="embeddings"))
+def lane_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive code length of each lane, from running counts of its symbols and of all."""
+    c = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e")).select("vec_id", "pos", F.floor(F.col("e").cast("double") * 16).alias("code"))
+    seen = ordered.running_total(c, ["pos"], ["vec_id"], F.lit(1), "seen")
+    both = ordered.running_total(seen, ["pos", "code"], ["vec_id"], F.lit(1), "nth")
+    return both.groupBy("pos").agg(F.round(F.sum(-F.log2((F.col("nth") - 1 + 1.0) / (F.col("seen") - 1 + 64.0))), 3).alias("bits"))
+
+
 
 
 @book.frame("w04_move_to_front")
@@ -437,8 +485,9 @@ def xor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.frame("r15_numeric_block_modes")
 def numeric_block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest representation of each block of values: of embeddings by vector, of prices by 1024 per supplier."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    prices = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", ((F.row_number().over(w) - 1) / 1024).cast("int").alias("block"), F.row_number().over(w).alias("n"))
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    run = ordered.running_total(li, ["l_suppkey"], ["l_orderkey", "l_linenumber"], F.lit(1), "n")
+    prices = run.select("l_suppkey", "l_extendedprice", F.expr("(n - 1) div 1024").alias("block"), "n")
     blocks = prices.groupBy(F.concat(F.lit("price-"), "l_suppkey", F.lit("-"), "block").alias("block_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_extendedprice"))), lambda s: s["l_extendedprice"])).alias("text"))
     both = blocks.unionByName(_vectors(spark, sf_dir).select(F.concat(F.lit("vector-"), "vec_id").alias("block_id"), "text"))
     import json

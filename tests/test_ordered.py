@@ -36,3 +36,15 @@ def test_value_ranks_count_ties(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 1, 2, 3, 3)], "g string, v long")
     got = {r.v: (r.n_equal, r.n_upto, r.n) for r in ordered.value_ranks(df, ["g"], "v").collect()}
     assert got == {1: (2, 2, 5), 2: (1, 3, 5), 3: (2, 5, 5)}
+
+
+def test_previous_rows_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i, rng.randint(0, 9)) for i in rng.sample(range(5000), 1500)] + [(None, 1, 1), (None, 2, 2)]
+    got = {(r.g, r.o): r.before for r in ordered.with_previous(spark.createDataFrame(rows, "g string, o long, w long"), ["g"], ["o"], {"w": "before"}).collect()}
+    last, want = {}, {}
+    for g, o, w in sorted(rows, key=lambda r: r[1]):
+        want[g, o] = last.get(g)
+        last[g] = w
+    assert got == want
+    assert ordered.with_previous(spark.createDataFrame([], "g string, o long, w long"), ["g"], ["o"], {"w": "before"}).count() == 0
