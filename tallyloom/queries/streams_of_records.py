@@ -191,7 +191,7 @@ def tokens_sql(name: str, text: str) -> None:
 
 
 tokens_sql("a12_token_frequency", "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM <tokens> t GROUP BY token")
-tokens_sql("a13_token_entropy", "SELECT doc_id, round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE)) / ln(2)), 6) AS bits, round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE))) / ln(greatest(2, count(*))), 6) AS normalized, count(*) AS dictionary FROM (SELECT doc_id, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM <tokens> t GROUP BY doc_id, token) c GROUP BY doc_id")
+tokens_sql("a13_token_entropy", "SELECT doc_id, abs(round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE)) / ln(2)), 6)) AS bits, abs(round(-sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE))) / ln(greatest(2, count(*))), 6)) AS normalized, count(*) AS dictionary FROM (SELECT doc_id, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM <tokens> t GROUP BY doc_id, token) c GROUP BY doc_id")
 tokens_sql("a14_top_shares", "SELECT doc_id, round(sum(CASE WHEN place = 1 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 9) AS top1, round(sum(CASE WHEN place <= 4 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 9) AS top4 FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place FROM (SELECT doc_id, token, count(*) AS n FROM <tokens> t GROUP BY doc_id, token) c) p GROUP BY doc_id")
 tokens_sql("a15_repeat_rate", "SELECT doc_id, round(sum(CASE WHEN token = before THEN 1.0 ELSE 0.0 END) / greatest(1, count(*) - 1), 9) AS repeat_rate FROM (SELECT doc_id, token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <tokens> t) r GROUP BY doc_id".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
 _GAIN = "n * (length(token) - 2) - length(token) - 1"
@@ -210,7 +210,7 @@ tokens_sql(
     r AS (SELECT doc_id, count(*) AS tokens, count_if(token = before) AS repeats FROM (SELECT doc_id, token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM <tokens> t2) l GROUP BY doc_id),
     f AS (SELECT doc_id, sum(CASE WHEN place = 1 THEN n ELSE 0 END) / CAST(max(total) AS DOUBLE) AS top1, sum(CASE WHEN place <= 4 THEN n ELSE 0 END) / CAST(max(total) AS DOUBLE) AS top4,
       -sum(n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE))) / ln(greatest(2, max(kinds))) AS entropy, sum((place - 1) * n) / CAST(max(total) AS DOUBLE) / greatest(1, max(kinds) - 1) AS mean_code, max(kinds) AS dictionary FROM k GROUP BY doc_id)
-    SELECT f.doc_id, r.tokens, f.dictionary, round(f.top1, 6) AS top1_share, round(f.top4, 6) AS top4_share, round(f.entropy, 6) AS entropy, round(f.mean_code, 6) AS mean_code, round(r.repeats / CAST(greatest(1, r.tokens - 1) AS DOUBLE), 6) AS repeat_rate
+    SELECT f.doc_id, r.tokens, f.dictionary, round(f.top1, 6) AS top1_share, round(f.top4, 6) AS top4_share, abs(round(f.entropy, 6)) AS entropy, round(f.mean_code, 6) AS mean_code, round(r.repeats / CAST(greatest(1, r.tokens - 1) AS DOUBLE), 6) AS repeat_rate
     FROM f JOIN r ON r.doc_id = f.doc_id""",
 )
 tokens_sql("m04_seen_before", "SELECT doc_id, count(*) AS tokens, count_if(nth > 1) AS repeats FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS nth FROM <tokens> t) r GROUP BY doc_id")
