@@ -2,19 +2,21 @@
 
 Documents are loaded as path-value maps with raw types (``path_values``). Type statistics by file and path show what
 was added, removed or changed its type (``field_changes``); renames are found by value: a path that is gone and a new
-one whose values have the same signature over the runs that both files hold. ``typed_runs`` and ``cast_report`` project
-typed columns and report every value that failed its cast.
+one whose values have the same signature over the runs that both files hold. ``typed_runs`` and ``typed_summary`` project
+all fields to typed columns along their chains of renames; ``cast_report`` has every value that failed its cast.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .nested import strict_json
 
 # JSON types as bits, so that the types of a path in a file are one integer that merges by OR. Nulls have none.
@@ -168,65 +170,160 @@ def field_changes(paths: DataFrame) -> DataFrame:
     )
 
 
-# The consistent table: column -> (path of the first files, type).
-RUN_COLUMNS = {
-    "schema_version": ("schema_version", "bigint"),
-    "repetitions": ("config.repetitions", "bigint"),
-    "warmups": ("config.warmups", "bigint"),
-    "timeout_seconds": ("config.timeout_seconds", "bigint"),
-    "order_seed": ("config.order_seed", "bigint"),
-    "confidence_level": ("config.confidence_level", "double"),
-    "bootstrap_samples": ("config.bootstrap_samples", "bigint"),
-    "execution_mode": ("config.execution_mode", "string"),
-    "max_batch_iterations": ("config.max_batch_iterations", "bigint"),
-    "minimum_trial_time_ms": ("config.minimum_trial_time_ms", "bigint"),
-}
+NAMES = "lane string, path string, from_no bigint, to_no bigint, field string"
 
 
-def canonical_names(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """(lane, file_no, path, column): where each column of the consistent table is found in each file.
+def lane_names(changes: list[tuple[int, str, str, str]]) -> list[tuple[str, int, int | None, str]]:
+    """(path, from_no, to_no, field): the field that a path of one lane stands for, from a file on and before another,
+    wherever that isn't the path itself. ``changes`` are (file_no, kind, path, prior path).
 
-    A rename in a file holds from that file on until the new name goes again; renames of renames are followed.
-    Renames are few by nature (they come from the aggregated report), so the chains are resolved by one self-join per
-    step over the report, at most eight steps.
+    A field is named by the path at the start of its chain of renames, of any length. A name that is gone and comes back
+    is its old field again, unless another path holds that field by then; then it is a field of its own.
     """
-    base = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("column")) for c, (p, _) in RUN_COLUMNS.items()])
-    lanes = paths.select("lane").distinct()
-    names = lanes.select("lane", F.inline(base)).withColumn("from_no", F.lit(-(1 << 62)).cast("bigint"))
-    renames = changes.filter("change_kind = 'renamed'").select("lane", F.col("file_no").alias("at_no"), F.col("prior_path").alias("path"), F.col("field_path").alias("new_path"))
-    every, step = names, names
-    for _ in range(8):
-        step = step.join(renames, ["lane", "path"]).filter("at_no > from_no").select("lane", F.col("new_path").alias("path"), "column", F.col("at_no").alias("from_no"))
-        every = every.unionByName(step)
-    return every.distinct()
+    now: dict[str, tuple[int, str]] = {}
+    holder: dict[str, str] = {}
+    out: list[tuple[str, int, int | None, str]] = []
+
+    def close(path: str, no: int) -> str:
+        if path not in now:
+            return path
+        from_no, field = now.pop(path)
+        out.append((path, from_no, no, field))
+        return field
+
+    def held(field: str, path: str) -> bool:
+        return holder.get(field, path) != path
+
+    for no in sorted({c[0] for c in changes}):
+        here = sorted(c[1:] for c in changes if c[0] == no)
+        for _, path, _ in (c for c in here if c[0] == "removed"):
+            field = now[path][1] if path in now else path
+            if holder.get(field) == path:
+                del holder[field]
+        moves = [(path, close(prior, no)) for kind, path, prior in here if kind == "renamed"]
+        for path, field in moves:
+            close(path, no)
+            now[path], holder[field] = (no, field), path
+        for _, path, _ in (c for c in here if c[0] == "added"):
+            field = now[path][1] if path in now else path
+            if held(field, path):
+                close(path, no)
+                field = next(f for k in range(2, len(changes) + 3) if not held(f := f"{path}#{k}", path))
+                now[path] = (no, field)
+            holder[field] = path
+    return out + [(path, from_no, None, field) for path, (from_no, field) in now.items()]
+
+
+def field_names(changes: DataFrame) -> DataFrame:
+    """``lane_names`` of every lane. A task holds the changes of one lane: no values, and few by nature, as they come
+    from the aggregated report."""
+
+    def chains(lane: pa.Table) -> pa.Table:
+        names = lane_names(list(zip(*(lane.column(c).to_pylist() for c in ("file_no", "change_kind", "field_path", "prior_path")))))
+        of_lane = lane.column("lane")[0].as_py()
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        columns = zip(*((of_lane, *n) for n in names)) if names else [[]] * 5
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["lane", "path", "from_no", "to_no", "field"])
+
+    return changes.filter("change_kind <> 'type'").select("lane", "file_no", "change_kind", "field_path", "prior_path").groupBy("lane").applyInArrow(chains, NAMES)
+
+
+VALUES = "lane string, file_no bigint, run_id string, field string, element bigint, kind int, raw string"
+
+
+def field_values(paths: DataFrame, changes: DataFrame) -> DataFrame:
+    """(lane, file_no, run_id, field, element, kind, raw): every value of every path under its field's name; element is
+    its place in the list section, or -1. ``raw`` is the text of a string, else JSON. Documents that parse have one row
+    without a field each, list elements are told apart by their place."""
+    n, p = field_names(changes).alias("n"), paths.filter("path <> '' OR value = 'parsed'").alias("p")
+    at = (F.col("p.lane") == F.col("n.lane")) & (F.col("p.path") == F.col("n.path")) & (F.col("p.file_no") >= F.col("n.from_no")) & (F.col("n.to_no").isNull() | (F.col("p.file_no") < F.col("n.to_no")))
+    named = p.join(n, at, "left").select("p.lane", "p.file_no", "p.run_id", F.when(F.col("p.path") != "", F.coalesce("n.field", "p.path")).alias("field"), "p.value")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for lane, no, run, field, value in zip(*(c.to_pylist() for c in b.columns)):
+                values = [[-1, None]] if field is None else json.loads(value) if field.startswith(LIST_SECTION + ".") else [[-1, json.loads(value)]]
+                for element, v in values:
+                    raw = v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
+                    for c, x in zip(out, (lane, no, run, field, element, _kind(v), raw)):
+                        c.append(x)
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["lane", "file_no", "run_id", "field", "element", "kind", "raw"])
+
+    return named.mapInArrow(split, VALUES)
+
 
+_NUMERIC = r"^-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$"
+RESERVED = ("lane", "file_no", "run_id", "element")
 
-def _plain(value: Column) -> Column:
-    return F.regexp_replace(value, r'^"|"$', "")
 
+def table_columns(values: DataFrame) -> list[tuple[str, str, str, str]]:
+    """(section, field, column, type) of all fields, from the types of their values.
 
-def projected(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """(lane, file_no, run_id, column, raw, kinds): the values of the consistent table's columns under their names of
-    the time. Where two names of a column are present, the latest name counts."""
-    names = canonical_names(paths, changes)
-    hit = paths.filter("path <> ''").join(names, ["lane", "path"]).filter("file_no >= from_no")
-    # a renamed name is the column only until the field moved on; the latest rename at or before the file counts
-    return hit.groupBy("lane", "file_no", "run_id", "column").agg(F.max_by(F.struct(_plain(F.col("value")).alias("raw"), "kinds"), F.struct("from_no", "path")).alias("v")).select("lane", "file_no", "run_id", "column", "v.raw", "v.kinds")
+    The type is that of most values. Strings that spell numbers, booleans or arrays count as such where the field has
+    values of that type. Numbers are integers if all are. Only this list, the schema of the tables, comes to the driver.
+    """
+    is_string, raw = F.col("kind") == STRING, F.col("raw")
+    spelled = {NUMBER: raw.rlike(_NUMERIC), BOOLEAN: F.lower(raw).isin("true", "false"), ARRAY: raw.rlike(r"^\[.*\]$")}
+    counts = [F.count_if(F.col("kind") == k).alias(f"n{k}") for k in (STRING, NUMBER, BOOLEAN, ARRAY)]
+    counts += [F.count_if(is_string & e).alias(f"s{k}") for k, e in spelled.items()]
+    numeric = (F.col("kind") == NUMBER) | (is_string & spelled[NUMBER])
+    found = values.filter("field IS NOT NULL").groupBy("field").agg(*counts, F.count_if(numeric & raw.try_cast("bigint").isNull()).alias("n_broken")).collect()
+    out, used = [], {s: set(RESERVED) for s in ("config", LIST_SECTION)}
+    for r in sorted(found, key=lambda r: r["field"]):
+        score = {k: r[f"n{k}"] and r[f"n{k}"] + r[f"s{k}"] for k in (NUMBER, BOOLEAN, ARRAY)}
+        score[STRING] = r[f"n{STRING}"] - sum(r[f"s{k}"] for k in spelled if r[f"n{k}"])
+        best = max((NUMBER, BOOLEAN, STRING, ARRAY), key=lambda k: score[k])
+        kind = {NUMBER: "double" if r["n_broken"] else "bigint", BOOLEAN: "boolean", STRING: "string", ARRAY: "array<string>"}[best] if score[best] else "string"
+        section = LIST_SECTION if r["field"].startswith(LIST_SECTION + ".") else "config"
+        name = plain = re.sub(r"[^0-9A-Za-z_]", "_", r["field"].removeprefix(section + "."))
+        k = 2
+        while name.lower() in used[section]:
+            name, k = f"{plain}_{k}", k + 1
+        used[section].add(name.lower())
+        out.append((section, r["field"], name, kind))
+    return out
+
+
+def _cast(raw: Column, kind: str) -> Column:
+    """The value under its type, null where it has none. Arrays in columns of strings are their JSON."""
+    if kind == "array<string>":
+        return F.when(raw.startswith("["), F.from_json(raw, kind))
+    return raw.try_cast(kind)
+
+
+def _typed(values: DataFrame, columns: list[tuple[str, str, str, str]], section: str, keys: list[str]) -> DataFrame:
+    # a run without any field still has its row
+    of_section = values.filter(F.col("field").isNull() | ~F.col("field").startswith(LIST_SECTION + ".")) if section == "config" else values.filter(F.col("field").startswith(LIST_SECTION + "."))
+    wide = [_cast(F.max(F.when(F.col("field") == f, F.col("raw"))), t).alias(c) for s, f, c, t in columns if s == section]
+    return of_section.groupBy(*keys).agg(*wide) if wide else of_section.select(*keys).distinct()
 
 
 def typed_runs(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per run and file with typed columns; a value that fails its cast is null."""
-    v = projected(paths, changes)
-    columns = [F.max(F.when(F.col("column") == c, F.col("raw"))).try_cast(t).alias(c) for c, (_, t) in RUN_COLUMNS.items()]
-    return v.withColumn("raw", F.when(F.col("kinds") != 0, F.col("raw"))).groupBy("lane", "file_no", "run_id").agg(*columns)
+    """One row per run and file with a typed column for every field outside the list section; a value that fails its
+    cast is null."""
+    values = staged(field_values(paths, changes), "p2-values")
+    return _typed(values, table_columns(values), "config", ["lane", "file_no", "run_id"])
+
+
+def typed_summary(paths: DataFrame, changes: DataFrame) -> DataFrame:
+    """The child table of ``typed_runs``: one row per run, file and element of the list section."""
+    values = staged(field_values(paths, changes), "p2-values")
+    return _typed(values, table_columns(values), LIST_SECTION, ["lane", "file_no", "run_id", "element"])
 
 
 def cast_report(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """(lane, file_no, column, n_values, n_failed, sample): values that could not be cast, by file and column."""
-    v = projected(paths, changes).filter("kinds <> 0")
-    failed = F.coalesce(*[F.when(F.col("column") == c, F.col("raw").try_cast(t).isNull()) for c, (_, t) in RUN_COLUMNS.items()])
+    """(lane, file_no, section, column, n_values, n_failed, sample): values of either table that could not be cast, by
+    file and column."""
+    values = staged(field_values(paths, changes), "p2-values")
+    columns = table_columns(values)
+    types = values.sparkSession.createDataFrame(columns, "section string, field string, column string, type string")
+    v = values.filter("field IS NOT NULL AND kind <> 0").join(F.broadcast(types), "field")
+    kinds = sorted({t for *_, t in columns} | {"string"})
+    failed = F.coalesce(*[F.when(F.col("type") == t, _cast(F.col("raw"), t).isNull()) for t in kinds])
     return (
-        v.groupBy("lane", "file_no", "column")
+        v.groupBy("lane", "file_no", "section", "column")
         .agg(F.count("*").alias("n_values"), F.count_if(failed).alias("n_failed"), F.min(F.when(failed, F.col("raw"))).alias("sample"))
         .filter("n_failed > 0")
     )

@@ -22,6 +22,11 @@ def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.typed_runs(paths, staged(drift.field_changes(paths), "p2-changes"))
 
 
+def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _paths(spark, sf_dir)
+    return drift.typed_summary(paths, staged(drift.field_changes(paths), "p2-changes"))
+
+
 def p2_cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _paths(spark, sf_dir)
     return drift.cast_report(paths, staged(drift.field_changes(paths), "p2-changes"))
@@ -32,5 +37,5 @@ def p2_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("path").agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n_values"), F.count_if(F.col("kinds") == 0).alias("n_null"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p2_cast_failures": p2_cast_failures, "p2_path_types": p2_path_types}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p2_summary": p2_summary, "p2_cast_failures": p2_cast_failures, "p2_path_types": p2_path_types}
 ORACLES: dict[str, str] = {}
