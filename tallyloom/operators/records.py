@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import heapq
 import json
 import lzma
 import re
@@ -494,29 +495,63 @@ def block_mode(values: list[float]) -> tuple[str, int]:
     return best, sizes[best]
 
 
-def repair_grammar(symbols: list[int], rules: int = 16) -> tuple[int, int]:
+RULE_BUDGET = 32768
+
+
+def repair_grammar(symbols: list[int], rules: int = RULE_BUDGET) -> tuple[int, int]:
     """(rules made, symbols left): replace the most frequent adjacent pair (least pair among equals), left to right
-    without overlaps, until none occurs twice or the rules are used up."""
-    made, fresh = 0, max(symbols, default=0) + 1
-    while made < rules:
-        counts: dict[tuple[int, int], int] = {}
-        for pair in zip(symbols, symbols[1:]):
-            counts[pair] = counts.get(pair, 0) + 1
-        if not counts:
-            break
-        pair = min(counts, key=lambda p: (-counts[p], p))
-        if counts[pair] < 2:
-            break
-        out, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                out.append(fresh)
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols, fresh, made = out, fresh + 1, made + 1
-    return made, len(symbols)
+    without overlaps, until none occurs twice or the rules are used up.
+
+    Pairs are counted once and kept up to date over a linked list. The heap holds at least one entry of each pair with
+    no less than its count; an entry that is too high is put back with the count of now.
+    """
+    n, made, fresh = len(symbols), 0, max(symbols, default=0) + 1
+    width = (fresh + rules).bit_length()
+    both, low = 2 * width, (1 << width) - 1
+    pairs = (1 << both) - 1
+    sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    places: dict[int, list[int]] = {}
+    for i in range(n - 1):
+        places.setdefault(sym[i] << width | sym[i + 1], []).append(i)
+    counts = {p: len(at) for p, at in places.items()}
+    heap = [p - (c << both) for p, c in counts.items() if c > 1]
+    heapq.heapify(heap)
+    left = n
+    while heap and made < rules:
+        top = heapq.heappop(heap)
+        pair = top & pairs
+        count = counts[pair]
+        if count != -(top >> both):
+            if count > 1:
+                heapq.heappush(heap, pair - (count << both))
+            continue
+        a, b, grown = pair >> width, pair & low, set()
+        for i in sorted(places.pop(pair)):
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            h, k = before[i], after[j]
+            counts[pair] -= 1
+            if h >= 0:
+                counts[sym[h] << width | a] -= 1
+                new = sym[h] << width | fresh
+                counts[new] = counts.get(new, 0) + 1
+                places.setdefault(new, []).append(h)
+                grown.add(new)
+            if k < n:
+                counts[b << width | sym[k]] -= 1
+                new = fresh << width | sym[k]
+                counts[new] = counts.get(new, 0) + 1
+                places.setdefault(new, []).append(i)
+                grown.add(new)
+                before[k] = i
+            sym[i], sym[j], after[i] = fresh, -1, k
+            left -= 1
+        for p in grown:
+            if counts[p] > 1:
+                heapq.heappush(heap, p - (counts[p] << both))
+        fresh, made = fresh + 1, made + 1
+    return made, left
 
 
 def wiki_templates(text: str) -> list[tuple[int, int, int, str, str, int, str]]:

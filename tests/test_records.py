@@ -135,3 +135,32 @@ def test_texts_with_nulls_and_extremes(spark):
     assert r.splice_residuals(df, "doc_id", "text").count() == 2
     assert r.text_codec_sizes(df, "doc_id", "text").filter("codec = 'store'").count() == 3
     assert r.mtf_ranks(df.limit(0), "doc_id", "text").count() == 0
+
+
+def naive_grammar(symbols, rules):
+    made, fresh = 0, max(symbols, default=0) + 1
+    while made < rules:
+        counts = {}
+        for pair in zip(symbols, symbols[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+        pair = min(counts, key=lambda p: (-counts[p], p), default=None)
+        if pair is None or counts[pair] < 2:
+            break
+        out, i = [], 0
+        while i < len(symbols):
+            hit = tuple(symbols[i : i + 2]) == pair
+            out.append(fresh if hit else symbols[i])
+            i += 2 if hit else 1
+        symbols, fresh, made = out, fresh + 1, made + 1
+    return made, len(symbols)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=120), st.sampled_from([1, 5, 1 << 15]))
+def test_grammars_equal_rescans(symbols, rules):
+    assert r.repair_grammar(symbols, rules) == naive_grammar(symbols, rules)
+
+
+def test_grammars_are_not_cut_at_few_rules():
+    text = b"".join(b"%d:%d;" % (i % 37, i % 11) for i in range(400))
+    assert r.repair_grammar(list(text)) == naive_grammar(list(text), 1 << 15) and r.repair_grammar(list(text))[0] > 16
