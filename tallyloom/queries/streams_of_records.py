@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as x
 from ..operators import ordered
 from ..operators import records as r
+from ..operators import rules
 from ..session import staged, table
 from .sqlbook import Book
 
@@ -633,6 +634,16 @@ _RULE_ROWS = "(SELECT doc_id, length(text) AS size, source = 'service-log' AS wi
 _RULES = "(SELECT 100 * k AS line FROM (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8 UNION ALL SELECT 16) k0)"
 book.sql("m19_rule_costs", f"SELECT line, count_if(wins AND size <= line) AS misses, count_if(NOT wins AND size > line) AS false_positives FROM {_RULE_ROWS} r CROSS JOIN {_RULES} t GROUP BY line")
 book.sql("m19_best_rule", f"SELECT line, cost FROM (SELECT line, cost, row_number() OVER (ORDER BY cost, line) AS place FROM (SELECT line, count_if(wins AND size <= line) + count_if(NOT wins AND size > line) AS cost FROM {_RULE_ROWS} r CROSS JOIN {_RULES} t GROUP BY line) c) p WHERE place = 1")
+
+
+@book.frame("m19_learned_rules")
+def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rule of up to two predicates over all sources, and one for each source left out. Channels pay off on
+    long items only: an item is the texts of a source with 4,096 consecutive ids, so no task holds a source."""
+    texts = docs(spark, sf_dir).filter("source IS NOT NULL AND text IS NOT NULL").groupBy("source", F.floor(F.col("doc_id") / 4096).alias("item")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    return rules.learned_rules(rules.family_rows(texts.select("source", F.array_join("t.text", "\n").alias("text")), "source", "text"))
+
+
 book.sql("m20_frozen_rule", f"SELECT wins, size > 800 AS predicted, count(*) AS n FROM {_RULE_ROWS} r GROUP BY wins, size > 800")
 book.sql("m18_projected_gain", "SELECT source, count(*) AS n, CAST(sum(octet_length(text)) AS BIGINT) AS n_bytes, round(avg(octet_length(text)), 6) AS mean, round(avg(octet_length(text)) + 2 * stddev_pop(octet_length(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source", "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, round(avg(strlen(text)), 6) AS mean, round(avg(strlen(text)) + 2 * stddev_pop(strlen(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source")
 
