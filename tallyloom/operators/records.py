@@ -599,3 +599,73 @@ def python_tokens(text: str) -> list[tuple[int, str, str]]:
 
 def python_token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return per_text(df, key, text, "position int, kind string, spelling string", python_tokens)
+
+
+MAX_ENTRIES, MAX_BYTES, LEAST_COUNT = 8192, 524288, 4
+WIKI_MARKUP = ("{{", "}}", "[[", "]]", "<!--", "-->", "<ref", "</ref>", "<br", "==", "&nbsp;")
+
+
+def pack_entries(entries: list[tuple[str, int]], base: int, max_entries: int = MAX_ENTRIES, max_bytes: int = MAX_BYTES) -> list[str]:
+    """The tokens of (token, bytes) in order that fit both limits, the count of entries included; one that doesn't fit
+    is passed over."""
+    out, used = [], 0
+    for token, size in entries:
+        if len(out) < max_entries and base + len(_varint(len(out) + 1)) + used + size <= max_bytes:
+            out.append(token)
+            used += size
+    return out
+
+
+def byte_totals(df: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, value, n): how often each byte occurs, summed in every task before the shuffle."""
+    import numpy as np
+
+    def count(batches):
+        totals: dict = {}
+        for b in batches:
+            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                totals[g] = totals.get(g, 0) + np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
+        rows = [(g, v, int(n)) for g, c in totals.items() for v, n in enumerate(c)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], [group, "value", "n"])
+
+    return df.filter(F.col(text).isNotNull()).select(group, text).mapInArrow(count, f"{group} string, value int, n bigint").groupBy(group, "value").agg(F.sum("n").alias("n"))
+
+
+def _varint_size(v):
+    return F.ceil(F.greatest(F.lit(1), F.length(F.bin(v))) / 7).cast("int")
+
+
+def _root(n):
+    """1 + the integer square root."""
+    return 1 + F.floor(F.sqrt(n.cast("double"))).cast("bigint")
+
+
+def source_dictionaries(df: DataFrame, wiki: str = "wikitext-dump") -> DataFrame:
+    """(source, place, token, n, gain): one dictionary per source, packed greedily by gain under the limits of entries and
+    serialized bytes, from the token counts of all its texts.
+
+    Entries of one size are taken from the front, as an entry is passed over when it doesn't fit and the room only shrinks.
+    So no more than the first ``MAX_ENTRIES`` of each source and size can be taken, and a task packs these."""
+    from pyspark.sql import Window
+
+    is_wiki = F.col("source") == wiki
+    words = F.when(is_wiki, F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_'\-]{2,63}"), 0)).otherwise(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,63}"), 0))
+    texts = df.filter("source IS NOT NULL AND text IS NOT NULL").select("source", "text")
+    counts = texts.select("source", F.explode(words).alias("token")).groupBy("source", "token").agg(F.count("*").alias("n"))
+    length = F.length("token")
+    learned = counts.filter(F.col("n") >= LEAST_COUNT).withColumn("gain", F.col("n") * (length - 2) - length - _varint_size(length)).filter("gain > 0").withColumn("forced", F.lit(0))
+    markup = texts.filter(is_wiki).select("source").distinct().select("source", F.explode(F.array(*map(F.lit, WIKI_MARKUP))).alias("token"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("gain"), F.lit(1).alias("forced"))
+    size = _varint_size(length) + length + _varint_size(_root(F.col("n")))
+    order = [F.desc("forced"), F.desc("gain"), F.desc("n"), F.asc("token")]
+    candidates = learned.select("source", "token", "n", "gain", "forced").unionByName(markup).withColumn("size", size)
+    candidates = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size").orderBy(*order))).filter(F.col("nth") <= MAX_ENTRIES)
+    base = byte_totals(texts, "source", "text").groupBy("source").agg(F.sum(_varint_size(_root(F.col("n")))).alias("base"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda x: (-x["forced"], -x["gain"], -x["n"], x["token"]))
+        known = {x["token"]: x for x in rows}
+        kept = pack_entries([(x["token"], x["size"]) for x in rows], 6 + rows[0]["base"])
+        columns = [[rows[0]["source"]] * len(kept), range(1, len(kept) + 1), kept, [known[k]["n"] for k in kept], [known[k]["gain"] for k in kept]]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["source", "place", "token", "n", "gain"])
+
+    return candidates.join(base, "source").groupBy("source").applyInArrow(pack, "source string, place int, token string, n bigint, gain bigint")

@@ -580,7 +580,7 @@ tokens_sql("t04_bytewise_order", "SELECT token, row_number() OVER (PARTITION BY
 
 @book.frame("t09_greedy_packing")
 def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.per_text(docs(spark, sf_dir), "doc_id", "text", "token string, gain bigint", lambda t: r.pack_dictionary(t, 48))
+    return r.source_dictionaries(docs(spark, sf_dir))
 
 
 def _mixtures(spark: SparkSession, sf_dir: str, all_arms: bool) -> DataFrame:

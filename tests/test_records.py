@@ -164,3 +164,18 @@ def test_grammars_equal_rescans(symbols, rules):
 def test_grammars_are_not_cut_at_few_rules():
     text = b"".join(b"%d:%d;" % (i % 37, i % 11) for i in range(400))
     assert r.repair_grammar(list(text)) == naive_grammar(list(text), 1 << 15) and r.repair_grammar(list(text))[0] > 16
+
+
+def test_dictionaries_pool_the_texts_of_a_source(spark):
+    long = " ".join(f"name_{i:04d}_long" for i in range(60))
+    df = spark.createDataFrame([("s", long)] * 4 + [("t", long)] * 3 + [("wikitext-dump", "it's it's"), ("wikitext-dump", "it's it's"), ("s", None), (None, long)], "source string, text string")
+    got = r.source_dictionaries(df).collect()
+    assert sorted(x.token for x in got if x.source == "s") == sorted(set(long.split()))
+    assert not [x for x in got if x.source == "t"]  # three uses are too few
+    wiki = {x.token: (x.n, x.gain) for x in got if x.source == "wikitext-dump"}
+    assert set(wiki) == {*r.WIKI_MARKUP, "it's"} and wiki["it's"] == (4, 3)
+
+
+def test_packing_passes_over_what_does_not_fit():
+    assert r.pack_entries([("a", 5), ("b", 9), ("c", 4)], 0, max_bytes=11) == ["a", "c"]
+    assert r.pack_entries([("a", 1), ("b", 1), ("c", 1)], 0, max_entries=2) == ["a", "b"]
