@@ -252,6 +252,14 @@ _ISO = "[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.]
 book.sql("o03_timestamp_overlay", "SELECT doc_id, length(text) - length(regexp_replace(text, '" + _ISO + "', '')) AS n_bytes FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, length(text) - length(regexp_replace(text, '" + _ISO + "', '', 'g')) AS n_bytes FROM {documents} WHERE text IS NOT NULL")
 book.sql("o04_hex_overlay", "SELECT doc_id, size(filter(regexp_extract_all(text, '[0-9A-Fa-f]+', 0), x -> length(x) >= 16)) AS hex_runs FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[0-9A-Fa-f]+'), lambda x: length(x) >= 16)) AS hex_runs FROM {documents} WHERE text IS NOT NULL")
 
+# A hex run lies inside one alphanumeric run, so the union of both marks is a sum over these.
+_ID_BYTES = "CASE WHEN length(x) >= 20 AND regexp_like(x, '[0-9]') AND regexp_like(x, '[A-Za-z]') THEN length(x) ELSE length(x) - length(regexp_replace(x, '[0-9A-Fa-f]{{16,}}', '')) END"
+book.sql(
+    "o04_id_overlay",
+    f"SELECT doc_id, aggregate(transform(regexp_extract_all(text, '[0-9A-Za-z]{{{{16,}}}}', 0), x -> {_ID_BYTES}), CAST(0 AS BIGINT), (a, b) -> a + b) AS n_bytes FROM {{documents}} WHERE text IS NOT NULL",
+    f"SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[0-9A-Za-z]{{{{16,}}}}'), lambda x: {_ID_BYTES.replace('regexp_like', 'regexp_matches').replace(', ' + repr('') + ')', ', ' + repr('') + ', ' + repr('g') + ')')})), 0) AS BIGINT) AS n_bytes FROM {{documents}} WHERE text IS NOT NULL",
+)
+
 
 @book.frame("o01_byte_classes")
 def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,12 @@ def test_dictionaries_pool_the_texts_of_a_source(spark):
 def test_packing_passes_over_what_does_not_fit():
     assert r.pack_entries([("a", 5), ("b", 9), ("c", 4)], 0, max_bytes=11) == ["a", "c"]
     assert r.pack_entries([("a", 1), ("b", 1), ("c", 1)], 0, max_entries=2) == ["a", "b"]
+
+
+def test_id_overlay_is_the_union_of_both_marks(spark, tmp_path):
+    from tallyloom.queries.streams_of_records import book
+
+    texts = {1: "deadbeefdeadbeef", 2: "zz deadbeefdeadbeefzz", 3: "Session0Identifier99", 4: "abcdefghijklmnopqrstuvwxyz", 5: "short1 99", 6: "x" * 19 + "1 0123456789012345678901"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.n_bytes for x in book.queries["o04_id_overlay"](spark, str(tmp_path)).collect()}
+    assert got == {1: 16, 2: 16, 3: 20, 4: 0, 5: 0, 6: 42}
