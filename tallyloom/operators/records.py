@@ -7,10 +7,12 @@ scan in Arrow batches; nothing is shuffled and no group is gathered.
 from __future__ import annotations
 
 import bz2
+import functools
 import gzip
 import heapq
 import json
 import lzma
+import math
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -631,6 +633,100 @@ def byte_totals(df: DataFrame, group: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(group, text).mapInArrow(count, f"{group} string, value int, n bigint").groupBy(group, "value").agg(F.sum("n").alias("n"))
 
 
+@functools.cache
+def _raw_class(value: int, wiki: bool) -> int:
+    """The class of a byte that is coded raw; 0 is the start and 1 a token, 2 a token of markup. Low lines are letters
+    in sources and signs in wiki texts."""
+    if (value == 95 and not wiki) or 65 <= value <= 90 or 97 <= value <= 122:
+        return 3
+    if 48 <= value <= 57:
+        return 4
+    if value in (9, 32):
+        return 5
+    if value in (10, 13):
+        return 6
+    return 7 if 33 <= value <= 47 or 58 <= value <= 64 or 91 <= value <= 96 or 123 <= value <= 126 else 8
+
+
+def predictor_bits(symbols: list[tuple[int, int]], prior: dict[int, int], alphabet: int) -> tuple[float, float]:
+    """Bits of (symbol, class) by all counts so far alone, and by them and those after the class before, at 1 to 3.
+    ``prior`` are counts to start with; every symbol has half a count besides."""
+    counts: dict[int, int] = {}
+    inside: dict[tuple[int, int], int] = {}
+    totals = [0] * 9
+    total, half, before, alone, mixed = sum(prior.values()), alphabet / 2, 0, 0.0, 0.0
+    for symbol, kind in symbols:
+        n, m = counts.get(symbol, 0), inside.get((before, symbol), 0)
+        p = (prior.get(symbol, 0) + n + 0.5) / (total + half)
+        alone -= math.log2(p)
+        mixed -= math.log2(0.25 * p + 0.75 * (m + 0.5) / (totals[before] + half))
+        counts[symbol], inside[before, symbol] = n + 1, m + 1
+        total += 1
+        totals[before] += 1
+        before = kind
+    return alone, mixed
+
+
+def mixed_symbols(data: bytes, ids: dict[bytes, int], scanner: re.Pattern, wiki: bool) -> list[tuple[int, int]]:
+    """(symbol, class): the tokens of a dictionary as one symbol each, everything else byte by byte."""
+    out, at = [], 0
+    for m in scanner.finditer(data):
+        if m.group() in ids:
+            out += [(v, _raw_class(v, wiki)) for v in data[at : m.start()]]
+            out.append((256 + ids[m.group()], 2 if m.group().decode() in WIKI_MARKUP else 1))
+            at = m.end()
+    return out + [(v, _raw_class(v, wiki)) for v in data[at:]]
+
+
+def predictor_rows(df: DataFrame, dictionaries: DataFrame, weights: DataFrame, wiki: str = "wikitext-dump") -> DataFrame:
+    """(source, n_bytes, p0, p1, p2): bits per byte of each text by bytes (P0), by bytes and classes (P1) and by the
+    tokens of its source's dictionary, bytes and classes (P2).
+
+    The dictionaries, at most ``MAX_BYTES`` for each source, and the byte weights come to the driver and go to all tasks."""
+    ids: dict[str, dict[bytes, int]] = {}
+    prior: dict[str, dict[int, int]] = {}
+    for x in weights.collect():
+        prior.setdefault(x["source"], {})[x["value"]] = 1 + math.isqrt(x["n"])
+    for x in dictionaries.collect():
+        ids.setdefault(x["source"], {})[x["token"].encode()] = x["place"] - 1
+        prior[x["source"]][255 + x["place"]] = 1 + math.isqrt(x["n"])
+    source_words = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{2,63}")
+    markup = b"|".join(re.escape(m.encode()) for m in sorted(WIKI_MARKUP, key=lambda m: (-len(m), m)))
+    wiki_words = re.compile(b"(?:" + markup + rb"|[A-Za-z][A-Za-z0-9_'\-]{2,63})")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = text.encode()
+                p0, p1 = predictor_bits([(v, _raw_class(v, source == wiki)) for v in data], {}, 256)
+                known = ids.get(source, {})
+                _, p2 = predictor_bits(mixed_symbols(data, known, wiki_words if source == wiki else source_words, source == wiki), prior[source], 256 + len(known))
+                out.append((source, len(data), *(p / len(data) for p in (p0, p1, p2))))
+            types = [pa.string(), pa.int64(), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["source", "n_bytes", "p0", "p1", "p2"])
+
+    texts = df.filter("source IS NOT NULL AND text <> ''")
+    dealt = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("source", "text")
+    return dealt.mapInArrow(run, "source string, n_bytes bigint, p0 double, p1 double, p2 double")
+
+
+def projected_gains(rows: DataFrame, dictionaries: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, variant, n_texts, n_bytes, mean_bpb, upper_bpb, projected_bytes, gain): the bytes of each source by the
+    mean plus two standard errors, with 65,536 bytes to start and the dictionary of P2, and the gain over P0."""
+    size = F.length("token") + _varint_size(F.length("token")) + _varint_size(_root(F.col("n")))
+    entries = dictionaries.groupBy("source").agg(F.sum(size).alias("entries"), F.count("*").alias("k"))
+    base = weights.groupBy("source").agg(F.sum(_varint_size(_root(F.col("n")))).alias("base"))
+    held = base.join(entries, "source", "left").select("source", (6 + F.col("base") + F.coalesce("entries", F.lit(0)) + _varint_size(F.coalesce("k", F.lit(0)))).alias("dictionary"))
+    long = rows.select("source", "n_bytes", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("P0", "P1", "P2"))), F.array("p0", "p1", "p2"))).alias("variant", "bpb"))
+    found = long.groupBy("source", "variant").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"), F.avg("bpb").alias("mean"), F.stddev_pop("bpb").alias("sd"))
+    found = found.join(held, "source").withColumn("upper", F.col("mean") + 2 * F.col("sd") / F.sqrt("n_texts"))
+    projected = F.ceil(F.round(F.col("upper") * F.col("n_bytes") / 8, 6)) + 65536 + F.when(F.col("variant") == "P2", F.col("dictionary")).otherwise(0)
+    found = found.withColumn("projected_bytes", projected)
+    first = found.filter("variant = 'P0'").select("source", F.col("projected_bytes").alias("p0_bytes"))
+    return found.join(first, "source").select("source", "variant", "n_texts", "n_bytes", F.round("mean", 6).alias("mean_bpb"), F.round("upper", 6).alias("upper_bpb"), "projected_bytes", (F.col("p0_bytes") - F.col("projected_bytes")).alias("gain"))
+
+
 def _varint_size(v):
     return F.ceil(F.greatest(F.lit(1), F.length(F.bin(v))) / 7).cast("int")
 
@@ -669,3 +765,91 @@ def source_dictionaries(df: DataFrame, wiki: str = "wikitext-dump") -> DataFrame
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["source", "place", "token", "n", "gain"])
 
     return candidates.join(base, "source").groupBy("source").applyInArrow(pack, "source string, place int, token string, n bigint, gain bigint")
+
+
+def _zstd(data: bytes, level: int) -> int:
+    return len(pa.Codec("zstd", compression_level=level).compress(data, asbytes=True))
+
+
+def _varint(v: int) -> bytes:
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    return bytes(out) + bytes([v])
+
+
+def columns_of(data: bytes, delimiter: bytes) -> bytes:
+    """The fields of the records column by column: counts of fields, then of each column the lengths and the bytes."""
+    rows = [line.split(delimiter) for line in data.split(b"\n")]
+    out = [_varint(len(rows)), *(_varint(len(x)) for x in rows)]
+    for j in range(max(map(len, rows))):
+        column = [x[j] for x in rows if j < len(x)]
+        out += [*(_varint(len(v)) for v in column), *column]
+    return b"".join(out)
+
+
+def rows_of_columns(form: bytes, delimiter: bytes) -> bytes:
+    """The inverse of ``columns_of``."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        v = shift = 0
+        while True:
+            v |= (form[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if form[at - 1] < 128:
+                return v
+
+    widths = [number() for _ in range(number())]
+    rows: list[list[bytes]] = [[] for _ in widths]
+    for j in range(max(widths)):
+        here = [x for x, w in zip(rows, widths) if j < w]
+        for x, n in zip(here, [number() for _ in here]):
+            x.append(form[at : at + n])
+            at += n
+    return b"\n".join(delimiter.join(x) for x in rows)
+
+
+SAMPLE_BYTES = 1 << 20
+
+
+def table_backend(data: bytes) -> tuple[str, int, str, int]:
+    """(backend, level, reason, bytes) of a delimited table: columns where they win clearly on a sample and also beat the
+    direct form of the whole; a higher level for very dense columns; store where nothing helps."""
+    third = SAMPLE_BYTES // 3
+    sample = data if len(data) <= SAMPLE_BYTES else data[:third] + data[len(data) // 2 - third // 2 :][:third] + data[-third:]
+    delimiter = max((b",", b";", b"\t", b"|"), key=sample.count)
+    direct, column = _zstd(sample, 3), _zstd(columns_of(sample, delimiter), 3)
+    reason, backend, level, size = "direct or ambiguous", "direct", 9, None
+    if column < direct * 0.98:
+        level, reason = (16, "extreme column ratio") if column / max(1, len(sample)) < 0.05 else (9, "ordinary column ratio")
+        backend, size = "column", _zstd(columns_of(data, delimiter), level)
+        whole = min(_zstd(data, 3), len(data))
+        if size >= whole:
+            backend, level, reason, size = "direct", 3, "full direct fallback", whole
+    else:
+        size = _zstd(data, 9)
+    return (backend, level, reason, size) if backend == "column" or size < len(data) else ("store", 0, reason, len(data))
+
+
+def identifier_ranks(text: str) -> list[tuple[int, int, bool, int]]:
+    """(position, lexicon id, first, rank) of the names of source text: ids in order of first use, and the place of each
+    later use in a move-to-front list; a first use goes to the front and has rank -1."""
+    import keyword
+
+    lexicon: dict[str, int] = {}
+    recent: list[int] = []
+    out = []
+    for position, kind, name in python_tokens(text):
+        if kind != "name" or keyword.iskeyword(name):
+            continue
+        first = name not in lexicon
+        i = lexicon.setdefault(name, len(lexicon))
+        rank = -1 if first else recent.index(i)
+        if not first:
+            recent.pop(rank)
+        recent.insert(0, i)
+        out.append((position, i, first, rank))
+    return out

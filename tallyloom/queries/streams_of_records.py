@@ -550,6 +550,13 @@ def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("spelling").alias("n_distinct"))
 
 
+@book.frame("r20_identifier_ranks")
+def identifier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon id and the move-to-front rank of every name, text by text."""
+    t = docs(spark, sf_dir).filter("source = 'source-bundle'")
+    return r.per_text(t, "doc_id", "text", "position int, lexicon_id int, first boolean, rank int", r.identifier_ranks, spread=True)
+
+
 @book.frame("j15_scope_bindings")
 def scope_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names used in a function after the last definition above them: (doc_id, name, defined_at, uses)."""
@@ -571,7 +578,13 @@ def recipe_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.recipe_choices(docs(spark, sf_dir), "doc_id", "text").groupBy("recipe", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
 
 
-book.queries["r04_table_backend"] = lambda spark, d: r.recipe_choices(docs(spark, d).filter("source = 'csv-export'"), "doc_id", "text").groupBy("recipe").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
+@book.frame("r04_table_backend")
+def table_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct, columns or store for each delimited table, with the reason and the level."""
+    b = r.per_text(docs(spark, sf_dir).filter("source = 'csv-export'"), "doc_id", "text", "backend string, level int, reason string, n_bytes bigint", lambda t: [r.table_backend(t.encode())], spread=True)
+    return b.groupBy("backend", "level", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
+
+
 book.queries["r14_matrix_backend"] = lambda spark, d: r.recipe_choices(_vectors(spark, d), "vec_id", "text").groupBy("recipe").agg(F.count("*").alias("n_vectors"), F.sum("n_bytes").alias("n_bytes"))
 
 
@@ -655,6 +668,16 @@ def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 book.sql("m20_frozen_rule", f"SELECT wins, size > 800 AS predicted, count(*) AS n FROM {_RULE_ROWS} r GROUP BY wins, size > 800")
 book.sql("m18_projected_gain", "SELECT source, count(*) AS n, CAST(sum(octet_length(text)) AS BIGINT) AS n_bytes, round(avg(octet_length(text)), 6) AS mean, round(avg(octet_length(text)) + 2 * stddev_pop(octet_length(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source", "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, round(avg(strlen(text)), 6) AS mean, round(avg(strlen(text)) + 2 * stddev_pop(strlen(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source")
 
+
+@book.frame("m18_predictor_ceiling")
+def predictor_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected bytes and gains of the predictors P0, P1 and P2 by source."""
+    d = docs(spark, sf_dir).select("doc_id", "source", "text")
+    dictionaries = staged(r.source_dictionaries(d), "m18-dictionaries")
+    weights = staged(r.byte_totals(d.filter("source IS NOT NULL"), "source", "text"), "m18-weights")
+    return r.projected_gains(r.predictor_rows(d, dictionaries, weights), dictionaries, weights)
+
+
 # --- Scalar functions.
 
 

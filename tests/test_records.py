@@ -188,3 +188,40 @@ def test_id_overlay_is_the_union_of_both_marks(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.doc_id: x.n_bytes for x in book.queries["o04_id_overlay"](spark, str(tmp_path)).collect()}
     assert got == {1: 16, 2: 16, 3: 20, 4: 0, 5: 0, 6: 42}
+
+
+@given(st.lists(st.lists(st.text("ab,;\x00é", max_size=5), min_size=1, max_size=4), min_size=1, max_size=6))
+def test_columns_round_trip(rows):
+    data = "\n".join(";".join(x) for x in rows).encode()
+    assert r.rows_of_columns(r.columns_of(data, b";"), b";") == data
+
+
+def test_a_column_backend_can_win():
+    table = "\n".join(f"{i * 7919 % 1000},{'north' if i % 3 else 'south'},{i}" for i in range(400)).encode()
+    backend, level, _, size = r.table_backend(table)
+    assert backend == "column" and level == 9 and size < len(table)
+    assert r.table_backend(b"") == ("store", 0, "direct or ambiguous", 0)
+    assert r.table_backend(b"x,y")[0] == "store"
+
+
+def test_identifier_ranks():
+    got = r.identifier_ranks("def f(a): return b + a\nf(b)")
+    assert [x[1:] for x in got] == [(0, True, -1), (1, True, -1), (2, True, -1), (1, False, 1), (0, False, 2), (2, False, 2)]
+
+
+def test_predictor_bits():
+    from math import log2
+
+    data = [(97, 3), (49, 4), (97, 3)]
+    alone, mixed = r.predictor_bits(data, {}, 256)
+    p = [0.5 / 128, 0.5 / 129, 1.5 / 130]
+    assert abs(alone + sum(map(log2, p))) < 1e-9
+    assert abs(mixed + sum(log2(0.25 * a + 0.75 * b) for a, b in zip(p, [0.5 / 128] * 3))) < 1e-9
+
+
+def test_token_predictors_gain_where_tokens_repeat(spark):
+    text = " ".join(f"identifier_{i % 40:03d}" for i in range(400))
+    d = spark.createDataFrame([(i, "s", text) for i in range(300)] + [(999, "s", None), (1000, "s", "")], "doc_id long, source string, text string")
+    dictionaries, weights = r.source_dictionaries(d), r.byte_totals(d, "source", "text")
+    got = {x.variant: x for x in r.projected_gains(r.predictor_rows(d, dictionaries, weights), dictionaries, weights).collect()}
+    assert got["P0"].gain == 0 and got["P0"].n_texts == 300 and got["P2"].gain > got["P1"].gain > 0
