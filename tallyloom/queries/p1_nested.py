@@ -30,17 +30,13 @@ def p1_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p1_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.typed_table(children(spark, sf_dir), "rounds")
-
-
-def p1_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.typed_table(children(spark, sf_dir), "gates")
+def _typed(kind: str):
+    return lambda spark, sf_dir: nested.typed_table(children(spark, sf_dir), kind)
 
 
 def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children(spark, sf_dir).groupBy("child_table", "variant").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_receipts": p1_receipts, "p1_rounds": p1_rounds, "p1_gates": p1_gates, "p1_variants": p1_variants}
+QUERIES = {"p1_found": p1_found, "p1_receipts": p1_receipts, **{f"p1_{kind}": _typed(kind) for kind in nested.SUBTYPES}, "p1_variants": p1_variants}
 ORACLES: dict[str, str] = {}

@@ -67,3 +67,11 @@ def test_typed_table(spark):
     df = spark.createDataFrame([(1, 1, 1, body)], "delivery_no long, receipt_no long, received_at long, body string")
     rows = nested.typed_table(nested.shred_receipts(df, "receipt_no", ["received_at"], "body"), "rounds").orderBy("child_key").collect()
     assert [(r.arm, r.elapsed_ns, r.peak_rss_bytes) for r in rows] == [("a", 5, 2 << 20), ("b", None, None)]
+
+
+def test_every_typed_table_is_a_query(spark, sf_dir):
+    from tallyloom.queries.p1_nested import QUERIES
+
+    for kind, fields in nested.SUBTYPES.items():
+        got = QUERIES[f"p1_{kind}"](spark, sf_dir)
+        assert set(fields) <= set(got.columns) and got.count() == QUERIES["p1_found"](spark, sf_dir).filter(f"child_table = '{kind}'").count()
