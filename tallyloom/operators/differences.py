@@ -37,7 +37,7 @@ def digest_value(c: Column) -> Column:
 
 
 def digest_shown(c: Column) -> Column:
-    return F.when(F.octet_length(c) == 32, F.lower(F.hex(c))).otherwise(F.decode(F.substring(c, 2, 1 << 20), "UTF-8"))
+    return F.when(F.octet_length(c) == 32, F.lower(F.hex(c))).otherwise(F.decode(F.substring(c, 2, (1 << 31) - 1), "UTF-8"))
 
 
 def compare_copies(left: DataFrame, right: DataFrame, key: str, fields: list[str], missing_left: str, missing_right: str, digests: tuple[str, ...] = ()) -> DataFrame:

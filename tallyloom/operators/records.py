@@ -146,23 +146,14 @@ def varint_size(n: int) -> int:
     return max(1, -(-n.bit_length() // 7))
 
 
-_RUNS = re.compile(rb"\0{2,}|(?:[^\0]|\0(?!\0))+")
+_ZERO_COMMANDS = re.compile(rb"\0{2,128}")  # of a longer run, one zero may be left over to the next literal
 
 
 def residual_size(residual: bytes) -> int:
     """Bytes of a residual in commands of at most 128 bytes: one for a run of two zeros or more, one and itself for
     anything else."""
-    size = spare = 0  # a zero left over from full commands joins the next literal
-    for m in _RUNS.finditer(residual):
-        n = m.end() - m.start()
-        if residual[m.start()] == 0 and n > 1:
-            size += n // 128 + (n % 128 > 1)
-            spare = n % 128 == 1
-        else:
-            n += spare
-            size += n + -(-n // 128)
-            spare = 0
-    return size + 2 * spare
+    literals = _ZERO_COMMANDS.split(residual)
+    return len(literals) - 1 + sum(len(x) + -(-len(x) // 128) for x in literals)
 
 
 def _xor(a: bytes, b: bytes) -> bytes:
@@ -421,7 +412,10 @@ def byte_class_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def codec_sizes(data: bytes) -> dict[str, int]:
     """Complete bytes by each standard codec that is importable here."""
-    out = {"store": len(data), "gzip-1": len(gzip.compress(data, 1, mtime=0)), "gzip-6": len(gzip.compress(data, 6, mtime=0)), "gzip-9": len(gzip.compress(data, 9, mtime=0)), "bz2-9": len(bz2.compress(data, 9)), "lzma-6": len(lzma.compress(data, preset=6))}
+    out = {"store": len(data)}
+    out |= {f"gzip-{level}": len(gzip.compress(data, level, mtime=0)) for level in (1, 6, 9)}
+    out |= {f"bz2-{level}": len(bz2.compress(data, level)) for level in (1, 9)}
+    out |= {f"lzma-{preset}": len(lzma.compress(data, preset=preset)) for preset in (0, 6, 9)}
     try:
         import zstandard
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordered
 from ..plans import gates, reports
-from ..session import shared_dir, table
+from ..session import own_path, table
 from ..sources import files, sinks
 from ..streaming import events as e
 from .sqlbook import DERIVED, Book, summary
@@ -35,7 +33,7 @@ def stream_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("k01_write_once", "SELECT r_regionkey, r_name FROM region")
 def write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     sinks.write_once(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), path)
     return spark.read.parquet(path)
 
@@ -43,7 +41,7 @@ def write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.frame("k06_immutable_rewrite", "SELECT n_nationkey, n_name FROM nation")
 def immutable_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after it was written twice with equal rows."""
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     sinks.write_immutable(nation, path)
     sinks.write_immutable(nation, path)
@@ -52,14 +50,14 @@ def immutable_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("k03_results_round_trip", f"SELECT codec_id, items, compressed_bytes FROM {DERIVED['summary'][1]}")
 def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     sinks.write_results(summary(spark, sf_dir).select("codec_id", "items", "compressed_bytes"), path)
     return spark.read.schema("codec_id string, items bigint, compressed_bytes bigint").option("header", "true").csv(f"{path}/csv")
 
 
 @book.frame("k05_manifest_round_trip", "SELECT id, path, size_bytes FROM corpus_items")
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     sinks.write_manifest(table(spark, sf_dir, "corpus_items").select("id", "path", "size_bytes"), path)
     return spark.read.schema("id string, path string, size_bytes bigint").json(path)
 
@@ -87,14 +85,14 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("source = 'wikitext-dump' AND text <> ''")
     clean = F.regexp_replace("text", r"[^\t\n\r -\uD7FF\uE000-\uFFFD]", "?")
     pages = d.select(F.col("path").alias("title"), F.lit(0).alias("ns"), F.col("doc_id").alias("id"), F.array(F.struct(F.lit(1).alias("id"), F.concat(F.lit("x"), clean).alias("text"))).alias("revision"))
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     pages.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
     return files.wiki_pages(spark, path).select("page_id", "title")
 
 
 @book.frame("k02_overwrite", "SELECT r_name FROM region")
 def overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    path = own_path(spark, "sinks", "table")
     sinks.overwrite(table(spark, sf_dir, "nation").select(F.col("n_name").alias("r_name")), path)
     sinks.overwrite(table(spark, sf_dir, "region").select("r_name"), path)
     return spark.read.parquet(path)

@@ -24,10 +24,14 @@ def manifest(spark: SparkSession, path: str, splits: list[str] | None = None) ->
     return rows.filter(F.col("split").isin(splits)) if splits else rows
 
 
-def verify_manifest(items: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, problem) of items whose file is missing or has another size or digest; no rows for an intact corpus."""
-    f = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "n_bytes", F.col("sha256").alias("found"))
-    met = items.join(f, F.regexp_extract(items["path"], "([^/]+)$", 1) == f["name"], "left")
+def verify_manifest(items: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(id, problem) of items whose file is missing or has another size or digest; no rows for an intact corpus.
+
+    Items and files meet by the path relative to ``root``, the folder of the manifest, so equal names in two folders
+    stay apart; './' and doubled slashes in a manifest make no difference."""
+    whole = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:(//)?(?=/)", ""), r"/(\./|/)+", "/")
+    f = files.select(whole(F.col("path")).alias("name"), "n_bytes", F.col("sha256").alias("found"))
+    met = items.join(f, whole(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(items["path"], r"^(\./)+", ""))) == f["name"], "left")
     problem = F.when(F.col("found").isNull(), "missing").when(F.col("n_bytes") != F.col("size_bytes"), "size").when(F.col("found") != F.lower("sha256"), "digest")
     return met.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
 

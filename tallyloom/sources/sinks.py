@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ def write_immutable(df: DataFrame, path: str) -> bool:
     try:
         known = spark.read.parquet(path)
         columns = known.columns
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         write_once(df, path)
         return True
     if sorted(columns) != sorted(df.columns) or differing_rows(known, df.select(*columns)).limit(1).count():
@@ -42,8 +45,9 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(items: DataFrame, path: str) -> None:
-    """One JSON line per item in id order."""
-    items.orderBy("id").coalesce(1).write.mode("errorifexists").json(path)
+    """One JSON line per item in id order, in parts that are ranges of ids: the parts in order of their names are the
+    manifest."""
+    items.repartitionByRange("id").sortWithinPartitions("id").write.mode("errorifexists").json(path)
 
 
 def write_results(summary: DataFrame, path: str) -> None:

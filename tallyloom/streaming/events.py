@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import own_path
 
 
 def _places(spark: SparkSession, label: str) -> tuple[str, str]:
-    base = f"{shared_dir(spark)}/streams/{label}-{uuid.uuid4().hex}"
+    base = own_path(spark, "streams", label)
     return f"{base}/out", f"{base}/state"
 
 
@@ -61,19 +59,16 @@ def segments(events: DataFrame, target: int = 256) -> DataFrame:
 
 
 def first_sights(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, reused): whether a user had the same props before. State is the digests of a user's distinct
-    props."""
+    """(user_id, event_id, reused): whether a user had the same props before. State is one flag per user and digest of
+    props, so it grows by what is new and no batch reads what a user had before; within a batch events go by event_id."""
 
     def look(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = set(state.get[0]) if state.exists else set()
         rows = pd.concat(list(batches)).sort_values("event_id")
-        reused = []
-        for p in rows["digest"]:
-            reused.append(p in known)
-            known.add(p)
-        state.update((sorted(known),))
+        reused = [True] * len(rows)
+        reused[0] = state.exists
+        state.update((True,))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "reused": reused})
 
     digest = F.xxhash64(F.coalesce("props", F.lit(""))).alias("digest")
-    state = T.StructType([T.StructField("known", T.ArrayType(T.LongType()))])
-    return events.select("user_id", "event_id", digest).groupBy("user_id").applyInPandasWithState(look, "user_id bigint, event_id bigint, reused boolean", state, "append", "NoTimeout")
+    keyed = events.select("user_id", "event_id", digest).groupBy("user_id", "digest")
+    return keyed.applyInPandasWithState(look, "user_id bigint, event_id bigint, reused boolean", "seen boolean", "append", "NoTimeout")

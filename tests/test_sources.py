@@ -10,13 +10,14 @@ from tallyloom.streaming import events as e
 
 
 def test_manifest(spark, tmp_path):
-    (tmp_path / "data").mkdir()
+    (tmp_path / "data/other").mkdir(parents=True)
     (tmp_path / "data/a.txt").write_bytes(b"hello")
+    (tmp_path / "data/other/a.txt").write_bytes(b"another file of that name")
     items = [{"id": "1", "path": "a.txt", "split": "train", "size_bytes": 5, "sha256": "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"}, {"id": "2", "path": "b.txt", "split": "test", "size_bytes": 1, "sha256": "x"}]
     (tmp_path / "m.json").write_text(json.dumps({"schema_version": 2, "items": items}))
     found = files.binary_files(spark, str(tmp_path / "data"))
-    assert files.verify_manifest(files.manifest(spark, str(tmp_path / "m.json"), ["train"]), found).count() == 0
-    assert [(r.id, r.problem) for r in files.verify_manifest(files.manifest(spark, str(tmp_path / "m.json")), found).collect()] == [("2", "missing")]
+    assert files.verify_manifest(files.manifest(spark, str(tmp_path / "m.json"), ["train"]), found, str(tmp_path / "data")).count() == 0
+    assert [(r.id, r.problem) for r in files.verify_manifest(files.manifest(spark, str(tmp_path / "m.json")), found, f"file://{tmp_path}/data/").collect()] == [("2", "missing")]
     (tmp_path / "m3.json").write_text(json.dumps({"schema_version": 3, "items": items}))
     with pytest.raises(Exception):
         files.manifest(spark, str(tmp_path / "m3.json")).collect()
@@ -46,6 +47,17 @@ def test_immutable_writes(spark, tmp_path):
         sinks.write_immutable(b, str(tmp_path / "t"))
     with pytest.raises(Exception):
         sinks.write_once(a, str(tmp_path / "t"))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/x.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception, match="x.parquet"):  # a damaged table is not taken for a missing one
+        sinks.write_immutable(a, str(tmp_path / "broken"))
+
+
+def test_manifest_parts_are_in_order(spark, tmp_path):
+    sinks.write_manifest(spark.range(5000).selectExpr("format_string('%05d', id) AS id", "id AS size_bytes"), str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*.json"))
+    ids = [json.loads(line)["id"] for p in parts for line in p.read_text().splitlines()]
+    assert ids == sorted(ids) and len(ids) == 5000
 
 
 def test_streams_over_several_files_equal_one_batch(spark, tmp_path):
