@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import value_ranks
@@ -19,27 +19,25 @@ def group_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def first_component(moments: list[list[float]]) -> np.ndarray:
-    """Weights of the rank-transformed scores: the first principal component of their correlation matrix.
+    """Weights of the rank-transformed scores: the first principal component of their correlation matrix, its loading
+    signs oriented to the declared directions.
 
-    The scores are oriented before, larger being better, so the component measures quality if its loadings share one
-    sign; it is then oriented to be positive. If they differ in sign, the component is a trade-off (say of ratio
-    against speed): one end of it is good in one score and bad in another, and turning single signs would let the two
-    scores of the trade-off outweigh the others. The loadings are then oriented to the declared directions at equal
-    size. Scores without variance take no part; without any, all count equally."""
+    The scores are turned before, larger being better, so every loading is made positive and keeps its size. Scores
+    without variance take no part; without any, all count equally."""
     c = np.nan_to_num(np.array(moments, dtype=float))
     live = np.diag(c) > 1e-12
     if not live.any():
         return np.ones(len(c))
     scale = np.where(live, np.sqrt(np.where(live, np.diag(c), 1)), 1)
     _, vectors = np.linalg.eigh((c / np.outer(scale, scale))[np.ix_(live, live)])
-    component = vectors[:, -1]
     weights = np.zeros(len(c))
-    weights[live] = np.abs(component) / scale[live] if (component > -1e-9).all() or (component < 1e-9).all() else 1.0
+    weights[live] = np.abs(vectors[:, -1]) / scale[live]
     return weights
 
 
 def fuse_scores(df: DataFrame, group: str, item: str, scores: dict[str, int]) -> DataFrame:
-    """(group, item, projection): the items' places on the first principal component of their rank-transformed scores.
+    """(group, item, projection, mean_rank): the items' places on the first principal component of their rank-transformed
+    scores, and beside it the plain mean of the ranks.
 
     ``scores`` maps a column to +1 (larger is better) or -1. Each score becomes its mid-rank within the group, divided
     by the number of items that have it, so range and distribution don't matter; null and non-positive scores are
@@ -61,7 +59,8 @@ def fuse_scores(df: DataFrame, group: str, item: str, scores: dict[str, int]) ->
     value = lambda a, b: moments[f"m{min(a, b)}_{max(a, b)}"]
     loadings = first_component([[np.nan if value(a, b) is None else value(a, b) for b in k] for a in k])
     projection = sum((F.col(f"_p{j}") * float(w) for j, w in enumerate(loadings)), F.lit(0.0))
-    return wide.select(F.col("_g").alias(group), F.col("_i").alias(item), projection.alias("projection"))
+    mean = sum((F.col(f"_p{j}") for j in k), F.lit(0.0)) / max(len(columns), 1)
+    return wide.select(F.col("_g").alias(group), F.col("_i").alias(item), projection.alias("projection"), mean.alias("mean_rank"))
 
 
 # Directions of the census scores.
@@ -74,9 +73,24 @@ def fused_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse_scores(current, "census_id", "codec", SCORES)
 
 
+def _first(by: str) -> Column:
+    """The item with the greatest value; equal values are settled by the codec."""
+    return F.min(F.struct((-F.round(by, 9)).alias("p"), "codec"))["codec"]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.struct((-F.round("projection", 9)).alias("p"), "codec"))
-    return fused_census(spark, sf_dir).groupBy("census_id").agg(first.alias("first")).select("census_id", "first.codec")
+    return fused_census(spark, sf_dir).groupBy("census_id").agg(_first("projection").alias("codec"))
+
+
+def p6_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first places by the plain mean of the ranks instead of the component."""
+    return fused_census(spark, sf_dir).groupBy("census_id").agg(_first("mean_rank").alias("codec"))
+
+
+def p6_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Censuses whose first place by the component isn't that by the mean of the ranks."""
+    both = fused_census(spark, sf_dir).groupBy("census_id").agg(_first("projection").alias("by_component"), _first("mean_rank").alias("by_mean"))
+    return both.filter("by_component <> by_mean")
 
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,18 +98,28 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fused_census(spark, sf_dir).withColumn("_key", F.struct((-F.round("projection", 9)).alias("p"), "codec"))
     fused = staged(fused, "fused")
     places = group_ranks(fused, ["census_id"], "_key")
-    return fused.join(places, ["census_id", "_key"]).select("census_id", "codec", F.round("projection", 9).alias("projection"), F.col("rank").cast("bigint").alias("place"))
+    return fused.join(places, ["census_id", "_key"]).select("census_id", "codec", F.round("projection", 6).alias("projection"), F.col("rank").cast("bigint").alias("place"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_ranking": p6_ranking}
-# The first place by the mean of the four mid-ranks; the first place is clear, so both agree.
-ORACLES = {
-    "p6_found": """
-WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY census_id, codec ORDER BY measured_at DESC) AS rn FROM codec_census) WHERE rn = 1 AND exact_roundtrip),
+QUERIES = {"p6_found": p6_found, "p6_ranking": p6_ranking, "p6_equal": p6_equal, "p6_differences": p6_differences}
+# The component by power iteration over the correlation matrix of the mid-ranks.
+_SQL = """
+WITH RECURSIVE c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY census_id, codec ORDER BY measured_at DESC) AS rn FROM codec_census) WHERE rn = 1 AND exact_roundtrip),
 s AS (SELECT census_id, codec, unnest([1, 2, 3, 4]) AS j, unnest([CASE WHEN compressed_percent > 0 THEN -compressed_percent END, CASE WHEN compression_mbps > 0 THEN compression_mbps END,
       CASE WHEN decompression_mbps > 0 THEN decompression_mbps END, CASE WHEN peak_memory_mib > 0 THEN -peak_memory_mib END]) AS v FROM c),
-r AS (SELECT census_id, codec, CASE WHEN v IS NULL THEN 0.5 ELSE (rank() OVER w + (count(*) OVER (PARTITION BY census_id, j, v) - 1) / 2.0 - 0.5) / count(v) OVER (PARTITION BY census_id, j) END AS p
+r AS (SELECT census_id, codec, j, CASE WHEN v IS NULL THEN 0.5 ELSE (rank() OVER w + (count(*) OVER (PARTITION BY census_id, j, v) - 1) / 2.0 - 0.5) / count(v) OVER (PARTITION BY census_id, j) END AS p
       FROM s WINDOW w AS (PARTITION BY census_id, j ORDER BY v NULLS LAST)),
-m AS (SELECT census_id, codec, avg(p) AS p FROM r GROUP BY census_id, codec)
-SELECT census_id, arg_max(codec, p) AS codec FROM m GROUP BY census_id""",
+x AS MATERIALIZED (SELECT census_id, codec, max(CASE WHEN j = 1 THEN p END)::double AS a, max(CASE WHEN j = 2 THEN p END)::double AS b, max(CASE WHEN j = 3 THEN p END)::double AS c, max(CASE WHEN j = 4 THEN p END)::double AS d FROM r GROUP BY census_id, codec),
+m AS MATERIALIZED (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(a, d) AS ad, corr(b, c) AS bc, corr(b, d) AS bd, corr(c, d) AS cd, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, stddev_pop(d) AS sd FROM x),
+i AS (SELECT 0 AS k, 1.0::double AS a, -0.9::double AS b, 0.8::double AS c, -0.7::double AS d UNION ALL
+  SELECT k + 1, a / n, b / n, c / n, d / n FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM
+    (SELECT k, a + ab * b + ac * c + ad * d AS a, ab * a + b + bc * c + bd * d AS b, ac * a + bc * b + c + cd * d AS c, ad * a + bd * b + cd * c + d AS d FROM i, m)) WHERE k < 500),
+f AS (SELECT census_id, codec, (x.a + x.b + x.c + x.d) / 4 AS mean_rank, abs(i.a) / sa * x.a + abs(i.b) / sb * x.b + abs(i.c) / sc * x.c + abs(i.d) / sd * x.d AS projection FROM x, m, i WHERE i.k = 500)
+"""
+_FIRST = "SELECT census_id, arg_min(codec, (-round({}, 9), codec)) AS {} FROM f GROUP BY census_id"
+ORACLES = {
+    "p6_found": _SQL + _FIRST.format("projection", "codec"),
+    "p6_equal": _SQL + _FIRST.format("mean_rank", "codec"),
+    "p6_differences": _SQL + f"SELECT * FROM ({_FIRST.format('projection', 'by_component')}) JOIN ({_FIRST.format('mean_rank', 'by_mean')}) USING (census_id) WHERE by_component <> by_mean",
+    "p6_ranking": _SQL + "SELECT census_id, codec, round(projection, 6) AS projection, row_number() OVER (PARTITION BY census_id ORDER BY round(projection, 9) DESC, codec) AS place FROM f",
 }
