@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged, table
-from .corpus_encoding import encode_corpus
+from .corpus_encoding import count_tokens
 
 SEED = 20_260_103
 SLICES = 4096  # hash slices by which documents are selected
@@ -143,7 +143,7 @@ def select_documents(sized: DataFrame, routes: DataFrame, seed: int = SEED) -> D
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
-    counted = encode_corpus(docs, "doc", "text").select(F.col("doc.doc_id").alias("key"), F.array("doc.source").alias("sources"), F.size("ids").cast("bigint").alias("tokens"))
+    counted = count_tokens(docs, "doc", "text").select(F.col("doc.doc_id").alias("key"), F.array("doc.source").alias("sources"), "tokens")
     return staged(counted, "sized-documents")
 
 
