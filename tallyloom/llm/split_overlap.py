@@ -11,36 +11,46 @@ from ..session import staged, table
 
 SHINGLE = 3  # words of a shingle
 SIMILAR = 0.7  # least Jaccard similarity of the shingle sets
-CUT_MASK = 3  # a cut before every fourth word on average
-LEAST_OVERLAP = 0.3  # least share of both records, in words, that lies in shared chunks
-LENGTH_BITS = 20  # of a packed chunk: its words, below the upper bits of its digest
-HOT_SHARE = 10_000  # a digest with more than one in so many of all chunks is hot; there are at most so many such digests
+CUT_MASK, MOST_WORDS = 3, 64  # a cut before every fourth word on average, and at the latest after so many
+LEAST_OVERLAP = 0.3  # share of both records, in words, in chunks that both have, from which on they surely meet
+LENGTH_BITS = 7  # of a packed chunk: its words, below the upper bits of its digest
+PROBED = 200  # classes that may look for each other by one key; with more the key is hot
+SHORT = 48  # words below which records have too few chunks to rely on
+HOT_SHARE = 10_000  # a key with more than one in so many of all occurrences meets its count by a broadcast; there are fewer than so many
+SALTS = 16
 
 
 def words_of(content: Column) -> Column:
     return F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), 0)
 
 
-def chunked(classes: DataFrame) -> DataFrame:
-    """Adds ``shingles`` (distinct hashes of SHINGLE consecutive words) and ``chunks`` to ``words``: the distinct chunks,
-    each packed into one number of its digest and its words.
+def chunks_of(words: Column) -> Column:
+    """The distinct chunks of a list of words, each packed into one number of its digest and its words.
 
     A rolling hash of two neighbouring words cuts before the second, so cuts depend on content only and an edit moves
     no cut but its own."""
-    h = classes.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    at = lambda i: F.element_at("hashes", i)
-    rolled = lambda i: F.call_function("shiftleft", at(i), F.lit(1)).bitwiseXOR(at(i + 1))
-    inner = F.when(F.size("words") > 1, F.sequence(F.lit(1), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = F.filter(inner, lambda i: F.shiftrightunsigned(rolled(i), 17).bitwiseAND(F.lit(CUT_MASK)) == 0)
-    h = h.withColumn("bounds", F.concat(F.array(F.lit(0)), cuts, F.array(F.size("words"))))
-    part = lambda j: F.slice("hashes", F.element_at("bounds", j) + 1, F.element_at("bounds", j + 1) - F.element_at("bounds", j))
-    low = (1 << LENGTH_BITS) - 1
-    n = lambda j: F.least(F.element_at("bounds", j + 1) - F.element_at("bounds", j), F.lit(low))
-    chunk = lambda j: F.xxhash64(part(j)).bitwiseAND(F.lit(~low)).bitwiseOR(n(j).cast("bigint"))
-    shingle = lambda i: F.xxhash64(F.slice("hashes", i, SHINGLE))
-    return h.withColumn("chunks", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), chunk))).withColumn(
-        "shingles", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), shingle))
-    ).drop("hashes", "bounds")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def cut(h: Column) -> Column:
+        rolled = lambda i: F.call_function("shiftleft", F.element_at(h, i), F.lit(1)).bitwiseXOR(F.element_at(h, i + 1))
+        inner = F.when(F.size(h) > 1, F.sequence(F.lit(1), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+        cuts = F.filter(inner, lambda i: F.shiftrightunsigned(rolled(i), 17).bitwiseAND(F.lit(CUT_MASK)) == 0)
+        bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.size(h)))
+        whole = F.arrays_zip(F.slice(bounds, F.lit(1), F.size(bounds) - 1).alias("a"), F.slice(bounds, F.lit(2), F.size(bounds) - 1).alias("b"))
+        starts = F.flatten(F.transform(whole, lambda x: F.sequence(x["a"], F.greatest(x["b"] - 1, x["a"]), F.lit(MOST_WORDS))))
+        parts = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(h))).alias("b"))
+        low = (1 << LENGTH_BITS) - 1
+        chunk = lambda x: F.xxhash64(F.slice(h, x["a"] + 1, x["b"] - x["a"])).bitwiseAND(F.lit(~low)).bitwiseOR((x["b"] - x["a"]).cast("bigint"))
+        return F.array_distinct(F.transform(parts, chunk))
+
+    return F.transform(F.array(hashes), cut)[0]
+
+
+def shingles_of(words: Column) -> Column:
+    """The distinct hashes of SHINGLE consecutive words; ``words`` has no fewer."""
+    at = lambda h, i: [F.element_at(h, i + k) for k in range(SHINGLE)]
+    of = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - SHINGLE + 1), lambda i: F.xxhash64(*at(h, i))))
+    return F.transform(F.array(words), of)[0]
 
 
 def chunk_words(chunk: Column) -> Column:
@@ -51,7 +61,112 @@ def total_words(chunks: Column) -> Column:
     return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + chunk_words(c))
 
 
-def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rarest_keys(held: DataFrame, classes: DataFrame, least: float, weight: Column, label: str) -> DataFrame:
+    """(cls, k, f, before, hot, total, n, in_train, in_other) of the keys of each class that both sides hold, as far as
+    they come first in it: how many classes hold the key, and the weight of the class's keys before it and of its hot ones.
+
+    ``held``: cls, in_train, in_other, k. ``classes``: cls, total, n, in_train, in_other. The keys of a class go from
+    those that one side only holds, which no pair shares, over the rare to the frequent ones. Two classes that have keys
+    of at least ``least`` of both totals in common share one that has, in both, no more than 1 - ``least`` of the total
+    before it; only these are kept. Very frequent keys meet their counts by a broadcast of at most HOT_SHARE rows, others
+    by a shuffle in which no key is hot."""
+    counts = held.groupBy("k").agg(F.count("*").alias("f"), F.bool_or("in_train").alias("t"), F.bool_or("in_other").alias("o"))
+    counts = staged(counts.filter("f > 1 AND t AND o").select("k", "f"), f"{label}-counts")
+    total = counts.agg(F.sum("f")).first()[0] or 0
+    heavy = F.broadcast(counts.filter(F.col("f") * HOT_SHARE > total))
+    keys = held.select("cls", "k")
+    met = keys.join(heavy, "k").unionByName(keys.join(heavy.select("k"), "k", "left_anti").join(counts.filter(F.col("f") * HOT_SHARE <= total), "k"))
+    placed = met.withColumn("w", weight.cast("bigint")).join(classes, "cls")
+    of_class = Window.partitionBy("cls")
+    rarer = of_class.orderBy("f", "k").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("total") - F.sum("w").over(of_class) + F.coalesce(F.sum("w").over(rarer), F.lit(0))
+    hot = F.coalesce(F.sum(F.when(F.col("f") > PROBED, F.col("w"))).over(of_class), F.lit(0))
+    placed = placed.withColumn("before", before).withColumn("hot", hot)
+    kept = placed.filter((F.col("before") <= (1 - least) * F.col("total") + 1e-9) | ((F.col("f") > PROBED) & (F.col("hot") >= least * F.col("total") - 1e-9)))
+    return staged(kept.drop("w"), f"{label}-rarest")
+
+
+def _first(rarest: DataFrame, least: float) -> DataFrame:
+    return rarest.filter(F.col("before") <= (1 - least) * F.col("total") + 1e-9)
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return (F.col(a) >= SIMILAR * F.col(b) - 1e-9) & (F.col(b) >= SIMILAR * F.col(a) - 1e-9)
+
+
+def _meet(probes: DataFrame) -> DataFrame:
+    """(train_cls, other_cls) of classes that share a probe and have sizes a similar pair can have."""
+    a = probes.filter("in_train").select("k", F.col("cls").alias("train_cls"), F.col("n").alias("n_a"))
+    b = probes.filter("in_other").select("k", F.col("cls").alias("other_cls"), F.col("n").alias("n_b"))
+    return a.join(b, "k").filter(_sizes_fit("n_a", "n_b") & (F.col("train_cls") != F.col("other_cls"))).select("train_cls", "other_cls").distinct()
+
+
+def expand(pairs: DataFrame, members: DataFrame, on: list[str], name: str, each: str) -> DataFrame:
+    """``pairs`` with each of its side's members as ``name``. A hot side is dealt over SALTS tasks by its members, each
+    of which meets a copy of the pair."""
+    dealt = members.select(*on, F.col(each).alias(name), F.pmod(F.xxhash64(each), F.lit(SALTS)).cast("int").alias("_salt"))
+    return pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(dealt, [*on, "_salt"]).drop("_salt", *on)
+
+
+def _hot_pairs(rarest: DataFrame) -> DataFrame:
+    """(train_cls, other_cls) of similar classes that share no shingle but hot ones.
+
+    In such a class the shingles that aren't hot are at most 1 - SIMILAR of all, or the pair couldn't be similar. Classes
+    with equal hot shingles are one profile, so a notice in any number of records is one profile, not a pair of each two.
+    Profiles are compared with each other by the same first keys; a pair of profiles and two sizes fixes the similarity,
+    so classes are taken together by profile and size and only true pairs are expanded."""
+    within = rarest.filter((F.col("f") > PROBED) & (F.col("hot") >= SIMILAR * F.col("total") - 1e-9))
+    of_class = within.groupBy("cls", "n", "in_train", "in_other").agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    of_class = staged(of_class.withColumn("profile", F.xxhash64("keys")), "p5-profiled")
+    profiles = of_class.groupBy("profile").agg(F.any_value("keys").alias("keys"), F.bool_or("in_train").alias("in_train"), F.bool_or("in_other").alias("in_other"))
+    profiles = staged(profiles.withColumn("n", F.size("keys")), "p5-profiles")
+    held = profiles.select(F.col("profile").alias("cls"), "in_train", "in_other", F.explode("keys").alias("k"))
+    known = profiles.select(F.col("profile").alias("cls"), F.col("n").cast("bigint").alias("total"), "n", "in_train", "in_other")
+    met = _meet(_first(rarest_keys(held, known, SIMILAR, F.lit(1), "p5-profile"), SIMILAR))
+    keys = lambda side: profiles.select(F.col("profile").alias(f"{side}_cls"), F.col("keys").alias(f"{side}_keys"))
+    unlike = met.join(keys("train"), "train_cls").join(keys("other"), "other_cls").select(F.col("train_cls").alias("p"), F.col("other_cls").alias("q"), F.size(F.array_intersect("train_keys", "other_keys")).alias("shared"))
+    alike = profiles.filter("in_train AND in_other").select(F.col("profile").alias("p"), F.col("profile").alias("q"), F.col("n").alias("shared"))
+    sized = of_class.groupBy("profile", "n").agg(F.bool_or("in_train").alias("in_train"), F.bool_or("in_other").alias("in_other"))
+    a = sized.filter("in_train").select(F.col("profile").alias("p"), F.col("n").alias("n_a"))
+    b = sized.filter("in_other").select(F.col("profile").alias("q"), F.col("n").alias("n_b"))
+    fits = F.col("shared") >= SIMILAR * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9
+    near = unlike.unionByName(alike).join(a, "p").join(b, "q").filter(fits).select("p", "n_a", "q", "n_b")
+    train = of_class.filter("in_train").select(F.col("profile").alias("p"), F.col("n").alias("n_a"), "cls")
+    other = of_class.filter("in_other").select(F.col("profile").alias("q"), F.col("n").alias("n_b"), "cls")
+    return expand(expand(near, train, ["p", "n_a"], "train_cls", "cls"), other, ["q", "n_b"], "other_cls", "cls").filter("train_cls <> other_cls").distinct()
+
+
+def record_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: cls, key, train) and (classes: cls, text, in_train, in_other, chunks, n, total): records of equal words
+    as one class, with its chunks, their words and the number of its shingles. Staged."""
+    r = records.select("key", "train", words_of(F.coalesce("content", F.lit(""))).alias("words")).filter(F.size("words") >= SHINGLE)
+    r = r.select("key", "train", F.concat_ws(" ", "words").alias("text")).withColumn("cls", F.unhex(F.md5("text")))
+    members = r.select("cls", "key", "train")
+    grouped = r.groupBy("cls").agg(F.any_value("text").alias("text"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_other"))
+    words = F.split("text", " ")
+    classes = grouped.withColumn("chunks", chunks_of(words)).withColumn("n", F.size(shingles_of(words))).withColumn("total", total_words(F.col("chunks")))
+    return members, staged(classes, "p5-classes")
+
+
+def candidates(classes: DataFrame, exact: bool) -> DataFrame:
+    """(train_cls, other_cls) of the classes to compare; see ``overlapping_classes``."""
+    words = F.split("text", " ")
+    held = classes.select("cls", "in_train", "in_other", F.explode("chunks").alias("k"))
+    known = classes.select("cls", "total", "n", "in_train", "in_other")
+    by_chunk = rarest_keys(held, known, LEAST_OVERLAP, chunk_words(F.col("k")), "p5-chunk")
+    met = _meet(_first(by_chunk, LEAST_OVERLAP).filter(F.col("f") <= PROBED))
+
+    unsure = classes
+    if not exact:
+        hot = by_chunk.filter((F.col("f") > PROBED) & (F.col("hot") >= LEAST_OVERLAP * F.col("total") - 1e-9)).select("cls").distinct().withColumn("_hot", F.lit(True))
+        unsure = classes.join(hot, "cls", "left").filter((F.col("n") <= SHORT / SIMILAR) | F.col("_hot"))
+    unsure = staged(unsure.select("cls", "in_train", "in_other", "n", shingles_of(words).alias("shingles")), "p5-unsure")
+    held = unsure.select("cls", "in_train", "in_other", F.explode("shingles").alias("k"))
+    by_shingle = rarest_keys(held, unsure.select("cls", F.col("n").cast("bigint").alias("total"), "n", "in_train", "in_other"), SIMILAR, F.lit(1), "p5-shingle")
+    return met.unionByName(_meet(_first(by_shingle, SIMILAR).filter(F.col("f") <= PROBED))).unionByName(_hot_pairs(by_shingle)).distinct()
+
+
+def overlapping_classes(records: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal content and their near-same pairs across the two sides.
 
     ``records``: key, train (boolean), content. Returns (members: cls, key, train) and (pairs: train_cls, other_cls,
@@ -60,42 +175,21 @@ def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     have no shingles and are in no pair.
 
     Copies collapse into classes before anything is compared. A record's chunks are a set, weighted by their words, as
-    its shingles are a set. Chunk digests are counted; each class looks for partners
-    only by its rarest chunks, those that hold more than 1 - LEAST_OVERLAP of its words: two records that share at
-    least LEAST_OVERLAP of the longer one must share one of these. So chunks of notices that many records hold
-    generate no pairs unless they fill most of a record. Sizes that rule the similarity out are dropped in the join.
-    Shared chunk lengths are then summed over all chunks of a candidate, and what overlaps enough on both sides is
-    compared exactly by shingles. Hot digests meet their counts by a broadcast of at most HOT_SHARE rows, others by a
-    shuffle in which no key is hot.
-    """
-    r = records.select("key", "train", words_of(F.coalesce("content", F.lit(""))).alias("words")).filter(F.size("words") >= SHINGLE)
-    r = r.withColumn("cls", F.md5(F.concat_ws(" ", "words")))
-    members = r.select("cls", "key", "train")
-    classes = r.groupBy("cls").agg(F.any_value("words").alias("words"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_other"))
-    classes = chunked(classes).withColumn("n_words", total_words(F.col("chunks")))
-    classes = staged(classes.select("cls", "in_train", "in_other", "n_words", "chunks", "shingles"), "p5-classes")
+    its shingles are a set. Each class looks for partners by its rarest chunks (``rarest_keys``), and never by a hot
+    one, so the joined rows are at most PROBED times the chunks. What may share hot chunks only, and records of fewer
+    than SHORT words, look for partners by their rarest shingles instead, which misses no similar pair; of these, too,
+    no hot one is a probe (``_hot_pairs`` has the rest). Shared chunk lengths are summed into overlap fractions for every
+    candidate, and shingles decide.
 
-    held = classes.select("cls", "in_train", "in_other", "n_words", F.size("shingles").alias("n"), F.explode("chunks").alias("d"))
-    held = staged(held.withColumn("len", chunk_words(F.col("d"))), "p5-chunks")
-    counts = staged(held.groupBy("d").agg(F.count("*").alias("f")), "p5-counts")
-    total = counts.agg(F.sum("f")).first()[0] or 0
-    hot = F.broadcast(counts.filter(F.col("f") * HOT_SHARE > total).withColumnRenamed("f", "hot_f"))
-    split = held.join(hot, "d", "left")
-    counted = split.filter("hot_f IS NOT NULL").withColumnRenamed("hot_f", "f").unionByName(split.filter("hot_f IS NULL").drop("hot_f").join(counts, "d"))
-    rarest_first = Window.partitionBy("cls").orderBy("f", "d").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("len").over(rarest_first), F.lit(0))
-    probes = counted.withColumn("before", before).filter(F.col("before") <= (1 - LEAST_OVERLAP) * F.col("n_words") + 1e-9)
-
-    a = probes.filter("in_train").select("d", F.col("cls").alias("train_cls"), F.col("n").alias("n_a"))
-    b = probes.filter("in_other").select("d", F.col("cls").alias("other_cls"), F.col("n").alias("n_b"))
-    sizes = (F.col("n_a") >= SIMILAR * F.col("n_b") - 1e-9) & (F.col("n_b") >= SIMILAR * F.col("n_a") - 1e-9)
-    met = a.join(b, (a.d == b.d) & sizes & (F.col("train_cls") != F.col("other_cls"))).select("train_cls", "other_cls").distinct()
-
-    side = lambda x, name: classes.select(F.col("cls").alias(name), F.col("chunks").alias(f"{x}_chunks"), F.col("shingles").alias(f"{x}_shingles"), F.col("n_words").alias(f"{x}_words"))
+    The chunk way is exact for pairs with LEAST_OVERLAP of both in equal chunks, which short similar records may not
+    reach; with ``exact`` all classes look by shingles as well, which finds every similar pair."""
+    members, classes = record_classes(records)
+    met = candidates(classes, exact)
+    side = lambda x, name: classes.select(F.col("cls").alias(name), F.col("chunks").alias(f"{x}_chunks"), F.col("text").alias(f"{x}_text"), F.col("total").alias(f"{x}_words"))
     both = met.join(side("a", "train_cls"), "train_cls").join(side("b", "other_cls"), "other_cls")
     shared = total_words(F.array_intersect("a_chunks", "b_chunks"))
     both = both.withColumn("overlap_train", shared / F.col("a_words")).withColumn("overlap_other", shared / F.col("b_words"))
-    both = both.filter(f"overlap_train >= {LEAST_OVERLAP} AND overlap_other >= {LEAST_OVERLAP}")
+    both = both.withColumn("a_shingles", shingles_of(F.split("a_text", " "))).withColumn("b_shingles", shingles_of(F.split("b_text", " ")))
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     near = both.withColumn("similarity", common / (F.size("a_shingles") + F.size("b_shingles") - common)).filter(F.col("similarity") >= SIMILAR - 1e-12)
     one = F.lit(1.0)
@@ -117,25 +211,33 @@ def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("train", F.col("split") == "train")
 
 
-def _digest_pairs(records: DataFrame) -> DataFrame:
-    d = records.filter("digest IS NOT NULL")
-    return d.filter("train").select("digest", F.col("key").alias("train_key")).join(d.filter("NOT train").select("digest", F.col("key").alias("other_key")), "digest").select("train_key", "other_key")
+def _record_pairs(pairs: DataFrame, members: DataFrame, train: str, other: str, on: str) -> DataFrame:
+    """(train_key, other_key): every record of one side with every one of the other."""
+    first = expand(pairs, members.filter("train").withColumnRenamed(on, train), [train], "train_key", "key")
+    return expand(first, members.filter("NOT train").withColumnRenamed(on, other), [other], "other_key", "key")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of records; records of equal content or digest are expanded, as the result is one row per pair."""
+def _pairs(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
     records = split_records(spark, sf_dir)
-    members, pairs = overlapping_classes(records)
-    near = (
-        pairs.select("train_cls", "other_cls")
-        .join(members.filter("train").select(F.col("cls").alias("train_cls"), F.col("key").alias("train_key")), "train_cls")
-        .join(members.filter("NOT train").select(F.col("cls").alias("other_cls"), F.col("key").alias("other_key")), "other_cls")
-        .select("train_key", "other_key")
-    )
-    every = near.unionByName(_digest_pairs(records)).filter("train_key <> other_key")
+    members, pairs = overlapping_classes(records, exact)
+    near = _record_pairs(pairs.select("train_cls", "other_cls"), members, "train_cls", "other_cls", "cls")
+    digests = records.filter("digest IS NOT NULL").select("digest", "key", "train")
+    both = digests.groupBy("digest").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("o")).filter("t AND o")
+    same = _record_pairs(both.select(F.col("digest").alias("train_digest"), F.col("digest").alias("other_digest")), digests, "train_digest", "other_digest", "digest")
+    every = near.unionByName(same).filter("train_key <> other_key")
     return every.select(F.least("train_key", "other_key").alias("record_a"), F.greatest("train_key", "other_key").alias("record_b")).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records; records of equal content or digest are expanded, as the result is one row per pair."""
+    return _pairs(spark, sf_dir, False)
+
+
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, with all records looking for partners by shingles as well as by chunks."""
+    return _pairs(spark, sf_dir, True)
+
+
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per split and dataset: records outside training, and how many of them also occur in training by
     content or by digest. Counted by class; no pairs are expanded."""
@@ -163,8 +265,8 @@ m AS (SELECT a.k AS ka, b.k AS kb, count(*) AS m FROM g a JOIN g b USING (g) WHE
 p AS (SELECT ka, kb FROM m JOIN n na ON na.k = ka JOIN n nb ON nb.k = kb WHERE m >= 0.7 * (na.n + nb.n - m)
       UNION SELECT a.k, b.k FROM q a JOIN q b USING (d) WHERE d <> '' AND a.s = 'train' AND b.s <> 'train')
 """
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits}
+QUERIES = {"p5_found": p5_found, "p5_exact": p5_exact, "p5_splits": p5_splits}
 ORACLES = {
-    "p5_found": _SQL + "SELECT DISTINCT least(ka, kb) AS record_a, greatest(ka, kb) AS record_b FROM p",
+    **dict.fromkeys(("p5_found", "p5_exact"), _SQL + "SELECT DISTINCT least(ka, kb) AS record_a, greatest(ka, kb) AS record_b FROM p"),
     "p5_splits": _SQL + "SELECT origin, s AS split, dataset, count(*) AS n_records, count_if(k IN (SELECT kb FROM p)) AS n_overlapping FROM q WHERE s <> 'train' GROUP BY ALL",
 }

@@ -7,8 +7,8 @@ def shingles(words):
     return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
 
 
-def pairs(spark, records):
-    members, found = s.overlapping_classes(spark.createDataFrame(records, "key string, train boolean, content string"))
+def pairs(spark, records, exact=False):
+    members, found = s.overlapping_classes(spark.createDataFrame(records, "key string, train boolean, content string"), exact)
     m = {}
     for r in members.collect():
         m.setdefault(r.cls, []).append((r.key, r.train))
@@ -33,6 +33,64 @@ def test_against_brute_force(spark):
     want = {(a, b) for a, ta, _ in records for b, tb, _ in records if ta and not tb and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     got = pairs(spark, records)
     assert got <= want and len(got) >= 0.98 * len(want) > 20
+    assert pairs(spark, records, exact=True) == want
+
+
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) >= 0.7 * len(a | b)
+
+
+def test_short_records_and_the_exact_way(spark):
+    """Pairs near the limit: one word in twenty differs. Short ones are all found, longer ones at least nine in ten."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    records, want = [], {}
+    for n in (20, 40, 60, 80):
+        for i in range(120):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for k in range(n // 20):
+                b[20 * k + rng.randrange(20)] = word()
+            records += [(f"{n}-{i}-a", True, " ".join(a)), (f"{n}-{i}-b", False, " ".join(b))]
+            if similar(a, b):
+                want.setdefault(n, set()).add((f"{n}-{i}-a", f"{n}-{i}-b"))
+    got = pairs(spark, records)
+    for n, of_size in want.items():
+        assert len(got & of_size) >= (1.0 if n < s.SHORT else 0.9) * len(of_size) > 10, n
+    assert pairs(spark, records, exact=True) == set().union(*want.values())
+
+
+def with_notice(n_records, own, notice, seed=1):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(notice)]
+    return [(f"r{i}", i % 2 == 0, " ".join([word() for _ in range(own)] + shared)) for i in range(n_records)]
+
+
+def test_notices_make_no_pairs_of_each_two(spark):
+    """A notice of 40 and one of 75 words of 100 in every record: no candidates once its parts are hot."""
+    for own, notice in ((60, 40), (25, 75)):
+        for n in (1200, 2400):
+            df = spark.createDataFrame(with_notice(n, own, notice), "key string, train boolean, content string")
+            _, classes = s.record_classes(df)
+            assert s.candidates(classes, exact=False).count() <= n / 100  # equal words by chance
+            assert s.candidates(classes, exact=True).count() <= n / 100
+
+
+def test_what_shares_hot_text_only(spark):
+    """A notice that makes up most of each of very many records: all pairs are similar, some with a part of it changed."""
+    records = with_notice(440, 3, 60)
+    half = [(k, t, " ".join(c.split()[:3] + c.split()[3:33] + c.split()[36:])) if i % 4 == 1 else (k, t, c) for i, (k, t, c) in enumerate(records)]
+    sets = {k: c.split() for k, _, c in half}
+    want = {(a, b) for a, ta, _ in half for b, tb, _ in half if ta and not tb and similar(sets[a], sets[b])}
+    assert len(want) == 220 * 220 and pairs(spark, half) == want
+
+
+def test_long_runs_without_cuts(spark):
+    run = "same " * 3000
+    assert pairs(spark, [("a", True, run), ("b", False, run + "tail"), ("c", False, "other words here")]) == set()
+    assert pairs(spark, [("a", True, run + "x"), ("b", False, run * 2 + "x")]) == {("a", "b")}
 
 
 def test_edges(spark):
