@@ -4,8 +4,10 @@ A trigram at the end of a text that is frequent inside texts but almost never en
 are compared with each other, since a sentence that ends a note doesn't end a log line. Where the final trigram itself
 is too rare to judge (names, numbers, half words), words give way to their shape, one after the other, and the most
 specific forms with enough support decide; and a final word that hardly ever follows its two predecessors, while few
-others do, is a half word. Endings at a source's field limits are no evidence of a regular ending, so texts of a length
-that occurs far more often than its neighbours are left out of the counts of ends.
+others do, is a half word. What is enough is measured by the texts themselves: a form is judged if it occurs in as many
+places as SUPPORT texts have words on average, so small and large sources, and small and large corpora, are held to the
+same standard. Endings at a source's field limits are no evidence of a regular ending, so texts of a length that occurs
+far more often than its neighbours are left out of the counts of ends.
 """
 
 from __future__ import annotations
@@ -14,36 +16,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged, table
 
-SUPPORT = 300  # occurrences that a form needs to decide
+SUPPORT = 2.5  # texts' worth of words in which a form must occur to decide
 ENDS_AT_MOST = 0.004  # share of its occurrences at ends, one apart, up to which a form shows a cut
+CONTEXT = 300  # occurrences of two words that tell which words follow them
 COMMON, CLOSED = 0.01, 0.9  # few words can follow two others if followers of this share make up so much of all
 STRANGE = 0.002  # share of the occurrences of its predecessors below which a follower is a half word
 SPIKE, SPIKE_LEAST, SPIKE_NEAR = 5, 6, 25  # a limit: so many times its neighbours' mean, so many texts, so near
+SALTS = 16  # tasks over which a form or an ending of very many texts is dealt
 # What exports leave behind a break, and white space.
 MARKS = r"(\.\.\.|…|\ufffd+|\\(?:u[0-9a-fA-F]{0,3})?|\[truncated\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|\(continued\)|&#?[A-Za-z0-9]{0,5}|<truncated>)$"
 BLANKS = " \t\n\r\f\u000b\u0085\u00a0\u2028\u2029\u3000\ufeff\u200b"
 NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.][0-9]+)*"
-HAN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-# A token: an ideograph or kana, a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign.
-TOKEN = rf"[{HAN}]|[\p{{L}}\p{{M}}_&&[^{HAN}]][\p{{L}}\p{{M}}0_&&[^{HAN}]]*(?:-[\p{{L}}\p{{M}}0_&&[^{HAN}]]*)*|0[\p{{L}}0_]*(?:-[\p{{L}}0_]*)*|[\n\t]|\S"
+HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+# A token: a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign. Ideographs and kana
+# are words of their own and are set apart before.
+TOKEN = r"[\p{L}\p{M}_][\p{L}\p{M}0_]*(?:-[\p{L}\p{M}0_]*)*|0[\p{L}0_]*(?:-[\p{L}0_]*)*|[\n\t]|\S"
 WORD = r"^[\p{L}\p{M}_]"
-PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD}
+PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD, "han": HAN}
 
 # Forms of a trigram from the most to the least specific: among whose texts it is counted (its source's or all), and
 # which of its words are kept; the others become their shapes. What precedes the last word says more about a cut than
-# the last word itself, so forms that keep it come first.
-FORMS = [(among, form) for among, forms in (("source", "111 110"), ("''", "111 110"), ("source", "011 101 100 010"), ("''", "011 101 100 010"), ("source", "001 000")) for form in forms.split()]
+# the last word itself, so forms that keep it come first. The last two, without words or shapes, count all trigrams.
+FORMS = [(among, form) for among, forms in (("source", "111 110"), ("0", "111 110"), ("source", "011 101 100 010"), ("0", "011 101 100 010"), ("source", "001 000"), ("source", "___"), ("0", "___")) for form in forms.split()]
+BASE = {among: FORMS.index((among, "___")) for among in ("source", "0")}
 
 
 def _words(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(source, digest, n_chars, n_bytes, words): each distinct text of a source once, without what follows its end."""
+    """(source, digest, n_chars, n_bytes, words): each distinct text of a source once, without what follows its end.
+
+    A word is the hash of its spelling, whose last two bits are its shape: 1 for words, 2 for numbers; a sign, 0, is its
+    own shape. The source is hashed as well, so all that is counted later has a fixed width."""
     return spark.sql(
         """
-        WITH kept AS (SELECT coalesce(source, '') AS source, md5(text) AS digest, length(text) AS n_chars, octet_length(text) AS n_bytes, any_value(trim(TRAILING :blanks FROM text)) AS body
+        WITH kept AS (SELECT xxhash64(source) AS source, unhex(md5(text)) AS digest, length(text) AS n_chars, octet_length(text) AS n_bytes, any_value(trim(TRAILING :blanks FROM text)) AS body
             FROM {texts} WHERE trim(BOTH :blanks FROM text) <> '' GROUP BY ALL),
         marked AS (SELECT *, length(regexp_extract(right(body, 16), :marks, 0)) AS mark FROM kept),
-        bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(trim(TRAILING :blanks FROM left(body, length(body) - mark)), :number, '0') AS body FROM marked)
-        SELECT source, digest, n_chars, n_bytes, concat(array('^', '^'), regexp_extract_all(body, :token, 0)) AS words FROM bare WHERE body <> ''""",
+        bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(trim(TRAILING :blanks FROM left(body, length(body) - mark)), :number, '0') AS body FROM marked),
+        apart AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN body RLIKE :han THEN regexp_replace(body, :han, ' $0 ') ELSE body END AS body FROM bare WHERE body <> '')
+        SELECT source, digest, n_chars, n_bytes, transform(concat(array('^', '^'), regexp_extract_all(body, :token, 0)),
+            w -> (xxhash64(w) & ~3L) | CASE WHEN w RLIKE :word THEN 1L WHEN w LIKE '0%' THEN 2L ELSE 0L END) AS words FROM apart""",
         args=PATTERNS, texts=texts,
     )
 
@@ -59,65 +70,75 @@ def _limits(spark: SparkSession, words: DataFrame) -> DataFrame:
     )
 
 
+def _form_key(among: str, form: str) -> str:
+    kept = {"1": "{0}", "0": "CASE WHEN {0} & 3 > 0 THEN {0} & 3 ELSE {0} END", "_": "0"}
+    return f"xxhash64({among}, '{form}', " + ", ".join(kept[keep].format(x) for x, keep in zip("abc", form)) + ")"
+
+
 def find_truncated(texts: DataFrame) -> DataFrame:
-    """(digest, source, mark): md5 digests of the texts of ``texts`` (source, text) that were cut off.
+    """(digest, source): md5 digests of the texts of ``texts`` (source, text) that were cut off, and hashes of their sources.
 
     Null, empty and blank texts are never cut. Copies count once per source, and a null source is a source of its own.
-    Trigrams are counted with map-side combining before they fan out into forms, and every join is by a form's key
-    between tables with one row per key and side; the final trigrams, at most one per distinct text, are never
-    collected. A form that is the end of very many texts is one row of counts on one side, but a hot key on the other:
-    ends are therefore reduced to distinct final trigrams per source before they meet the counts. Fewer than SUPPORT
-    occurrences of every form of an ending, as in tiny tables, decide nothing: such texts count as whole.
+    Trigrams are counted with map-side combining before they fan out into forms, as rows of a fixed width, and every
+    join is by a form's key between tables with one row per key on one side; the final trigrams, at most one per distinct
+    text, are never collected. On the other side a form that keeps few words, or an ending of very many texts, may be a
+    hot key: these rows are dealt over SALTS tasks, to each of which the one row is copied. Too little support of every
+    form of an ending, as in tables of a few texts, decides nothing: such texts count as whole.
     """
     spark = texts.sparkSession
     words = staged(_words(spark, texts), "p10-words")
     limits = _limits(spark, words)
     free = spark.sql(
         """
-        SELECT w.source, w.digest, w.words, c.size IS NULL AND b.size IS NULL AS free FROM {words} w
+        SELECT w.source, w.words, c.size IS NULL AND b.size IS NULL AS free FROM {words} w
         LEFT JOIN {limits} c ON c.source = w.source AND c.unit = 'chars' AND c.size = w.n_chars
         LEFT JOIN {limits} b ON b.source = w.source AND b.unit = 'bytes' AND b.size = w.n_bytes""",
         words=words, limits=limits,
     )
-    shape = lambda c: f"CASE WHEN {c} RLIKE :word THEN '@' WHEN {c} LIKE '0%' THEN '0' ELSE {c} END"
     trigrams = spark.sql(
-        f"""
-        WITH placed AS (SELECT source, free, inline(transform(sequence(3, size(words)), i -> struct(words[i - 3] AS a, words[i - 2] AS b, words[i - 1] AS c, i = size(words) AS last))) FROM {{free}}),
-        counted AS (SELECT source, a, b, c, count_if(NOT last) AS inside, count_if(last AND free) AS ends, count_if(last) AS all_ends FROM placed GROUP BY source, a, b, c)
-        SELECT *, {shape('a')} AS sa, {shape('b')} AS sb, {shape('c')} AS sc FROM counted""",
-        args=PATTERNS, free=free,
+        """
+        WITH placed AS (SELECT source, free, inline(transform(sequence(3, size(words)), i -> struct(words[i - 3] AS a, words[i - 2] AS b, words[i - 1] AS c, i = size(words) AS last))) FROM {free})
+        SELECT source, a, b, c, count_if(NOT last) AS inside, count_if(last AND free) AS ends, count_if(last) AS all_ends FROM placed GROUP BY source, a, b, c""",
+        free=free,
     )
     trigrams = staged(trigrams, "p10-trigrams")
-    key = lambda among, form: f"xxhash64({among}, {among if among == 'source' else 1}, '{form}', " + ", ".join(x if keep == "1" else f"s{x}" for x, keep in zip("abc", form)) + ")"
-    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {key(*f)} AS k)" for level, f in enumerate(FORMS)) + "))"
-    counts = spark.sql(f"SELECT k, sum(inside) AS inside, sum(ends) AS ends FROM (SELECT inside, ends, {fan} FROM {{t}}) GROUP BY k", t=trigrams)
+    few = {level for level, (_, form) in enumerate(FORMS) if form.count("1") < 2}  # forms that may be hot
+    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {_form_key(*f)} AS k, {SALTS if level in few else 1} AS salts)" for level, f in enumerate(FORMS)) + "))"
+    counts = spark.sql(
+        f"""SELECT k, n_inside, n_ends, explode(sequence(0, salts - 1)) AS salt FROM
+        (SELECT k, salts, sum(inside) AS n_inside, sum(ends) AS n_ends FROM (SELECT inside, ends, {fan} FROM {{t}}) GROUP BY k, salts)""",
+        t=trigrams,
+    )
     context = "xxhash64(source, a, b)"
     followers = spark.sql(
         f"""
-        WITH f AS (SELECT {context} AS k, inside + ends AS m FROM {{t}}), n AS (SELECT k, sum(m) AS n FROM f GROUP BY k HAVING sum(m) >= {SUPPORT})
+        WITH f AS (SELECT {context} AS k, inside + ends AS m FROM {{t}}), n AS (SELECT k, sum(m) AS n FROM f GROUP BY k HAVING sum(m) >= {CONTEXT})
         SELECT k, any_value(n) AS n, sum(CASE WHEN m >= {COMMON} * n THEN m ELSE 0 END) AS common FROM f JOIN n USING (k) GROUP BY k""",
         t=trigrams,
     )
     # A final trigram is judged without its own end, which is one of the ends if that text's length is free; where it is
-    # not, none is taken off.
+    # not, none is taken off. A form is judged if it has as many occurrences as SUPPORT texts among the same have words.
+    bases = ", ".join(f"max(CASE WHEN level = {level} THEN {SUPPORT} * (n_inside + n_ends) / greatest(n_ends, 1) END) AS least_{'here' if among == 'source' else 'all'}" for among, level in BASE.items())
+    here = ", ".join(str(level) for level, (among, _) in enumerate(FORMS) if among == "source")
     judged = spark.sql(
         f"""
         WITH finals AS (SELECT source, a, b, c, inside, ends, {context} AS ctx, {fan} FROM {{t}} WHERE all_ends > 0),
-        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.inside AS n_inside, greatest(n.ends - least(f.ends, 1), 0) AS n_ends FROM finals f JOIN {{counts}} n ON n.k = f.k),
-        forms AS (SELECT source, a, b, c, first(ctx) AS ctx, first(inside) AS inside, first(ends) AS ends,
-            collect_list(struct(level, (n_ends - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends >= {SUPPORT} AS enough)) AS forms
+        dealt AS (SELECT *, CAST(pmod(xxhash64(source, a, b, c), salts) AS INT) AS salt FROM finals),
+        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.n_inside, greatest(n.n_ends - least(f.ends, 1), 0) AS n_ends FROM dealt f JOIN {{counts}} n ON n.k = f.k AND n.salt = f.salt),
+        forms AS (SELECT source, a, b, c, first(ctx) AS ctx, first(inside) AS inside, first(ends) AS ends, {bases},
+            collect_list(struct(level, (n_ends - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends AS n)) AS forms
           FROM met GROUP BY source, a, b, c),
-        best AS (SELECT source, a, b, c, ctx, inside, ends, array_min(filter(forms, f -> f.enough)) AS decides FROM forms)
-        SELECT source, a, b, c, coalesce(decides.share <= {ENDS_AT_MOST}, false)
-            OR coalesce(n.common >= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n, false) AS cut
-        FROM best LEFT JOIN {{followers}} n ON n.k = best.ctx""",
+        best AS (SELECT source, a, b, c, ctx, inside, ends, array_min(filter(forms, f -> f.level < {min(BASE.values())} AND f.n >= CASE WHEN f.level IN ({here}) THEN least_here ELSE least_all END)) AS decides FROM forms)
+        SELECT source, a, b, c FROM best LEFT JOIN {{followers}} n ON n.k = best.ctx
+        WHERE coalesce(decides.share <= {ENDS_AT_MOST}, false) OR coalesce(n.common >= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n, false)""",
         t=trigrams, counts=counts, followers=followers,
     )
     last = "element_at(words, -3) AS a, element_at(words, -2) AS b, element_at(words, -1) AS c"
     return spark.sql(
         f"""
-        WITH e AS (SELECT source, digest, {last} FROM {{words}})
-        SELECT /*+ SHUFFLE_HASH(j) */ e.digest, e.source FROM e JOIN {{judged}} j ON j.source = e.source AND j.a = e.a AND j.b = e.b AND j.c = e.c WHERE j.cut""",
+        WITH e AS (SELECT source, digest, {last}, CAST(pmod(xxhash64(digest), {SALTS}) AS INT) AS salt FROM {{words}}),
+        j AS (SELECT source, a, b, c, explode(sequence(0, {SALTS - 1})) AS salt FROM {{judged}})
+        SELECT e.digest, e.source FROM e JOIN j ON j.source = e.source AND j.a = e.a AND j.b = e.b AND j.c = e.c AND j.salt = e.salt""",
         words=words, judged=judged,
     )
 
@@ -125,7 +146,7 @@ def find_truncated(texts: DataFrame) -> DataFrame:
 def truncated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cut = find_truncated(docs.select("source", "text")).select("digest").distinct()
-    return spark.sql("SELECT d.doc_id, d.source FROM {docs} d LEFT SEMI JOIN {cut} c ON md5(d.text) = c.digest", docs=docs, cut=cut)
+    return spark.sql("SELECT d.doc_id, d.source FROM {docs} d LEFT SEMI JOIN {cut} c ON unhex(md5(d.text)) = c.digest", docs=docs, cut=cut)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
