@@ -7,7 +7,8 @@ specific forms with enough support decide; and a final word that hardly ever fol
 others do, is a half word. What is enough is measured by the texts themselves: a form is judged if it occurs in as many
 places as SUPPORT texts have words on average, so small and large sources, and small and large corpora, are held to the
 same standard. Endings at a source's field limits are no evidence of a regular ending, so texts of a length that occurs
-far more often than its neighbours are left out of the counts of ends.
+far more often than its neighbours are left out of the counts of ends; and as most of them are cut, less is asked of them:
+their form must end texts no more often than trigrams do on average, with a fifth of the support.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged, table
 
-SUPPORT = 2.5  # texts' worth of words in which a form must occur to decide
+SUPPORT, AT_LIMIT = 2.5, 0.5  # texts' worth of words in which a form must occur to decide, and for texts at a limit
 ENDS_AT_MOST = 0.004  # share of its occurrences at ends, one apart, up to which a form shows a cut
 CONTEXT = 300  # occurrences of two words that tell which words follow them
 COMMON, CLOSED = 0.01, 0.9  # few words can follow two others if followers of this share make up so much of all
 STRANGE = 0.002  # share of the occurrences of its predecessors below which a follower is a half word
-SPIKE, SPIKE_LEAST, SPIKE_NEAR = 5, 6, 25  # a limit: so many times its neighbours' mean, so many texts, so near
+SPIKE, SPIKE_LEAST, SPIKE_NEAR = 5, 4, 25  # a limit: so many times its neighbours' mean, so many texts, so near
 SALTS = 16  # tasks over which a form or an ending of very many texts is dealt
 # What exports leave behind a break, and white space.
 MARKS = r"(\.\.\.|…|\ufffd+|\\(?:u[0-9a-fA-F]{0,3})?|\[truncated\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|\(continued\)|&#?[A-Za-z0-9]{0,5}|<truncated>)$"
@@ -87,10 +88,10 @@ def find_truncated(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     words = staged(_words(spark, texts), "p10-words")
-    limits = _limits(spark, words)
+    limits = staged(_limits(spark, words), "p10-limits")
     free = spark.sql(
         """
-        SELECT w.source, w.words, c.size IS NULL AND b.size IS NULL AS free FROM {words} w
+        SELECT w.source, w.digest, w.words, c.size IS NULL AND b.size IS NULL AS free FROM {words} w
         LEFT JOIN {limits} c ON c.source = w.source AND c.unit = 'chars' AND c.size = w.n_chars
         LEFT JOIN {limits} b ON b.source = w.source AND b.unit = 'bytes' AND b.size = w.n_bytes""",
         words=words, limits=limits,
@@ -116,30 +117,33 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         SELECT k, any_value(n) AS n, sum(CASE WHEN m >= {COMMON} * n THEN m ELSE 0 END) AS common FROM f JOIN n USING (k) GROUP BY k""",
         t=trigrams,
     )
-    # A final trigram is judged without its own end, which is one of the ends if that text's length is free; where it is
-    # not, none is taken off. A form is judged if it has as many occurrences as SUPPORT texts among the same have words.
-    bases = ", ".join(f"max(CASE WHEN level = {level} THEN {SUPPORT} * (n_inside + n_ends) / greatest(n_ends, 1) END) AS least_{'here' if among == 'source' else 'all'}" for among, level in BASE.items())
+    # A final trigram is judged without its own end, which is one of the ends if that text's length is free. A form is
+    # judged if it has as many occurrences as SUPPORT texts among the same have words; bases are these texts' lengths.
+    bases = ", ".join(f"max(CASE WHEN level = {level} THEN (n_inside + n_ends) / greatest(n_ends, 1) END) AS {'here' if among == 'source' else 'everywhere'}" for among, level in BASE.items())
     here = ", ".join(str(level) for level, (among, _) in enumerate(FORMS) if among == "source")
+    decides = lambda support: f"array_min(filter(forms, f -> f.level < {min(BASE.values())} AND f.n >= {support} * CASE WHEN f.level IN ({here}) THEN here ELSE everywhere END))"
     judged = spark.sql(
         f"""
         WITH finals AS (SELECT source, a, b, c, inside, ends, {context} AS ctx, {fan} FROM {{t}} WHERE all_ends > 0),
         dealt AS (SELECT *, CAST(pmod(xxhash64(source, a, b, c), salts) AS INT) AS salt FROM finals),
-        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.n_inside, greatest(n.n_ends - least(f.ends, 1), 0) AS n_ends FROM dealt f JOIN {{counts}} n ON n.k = f.k AND n.salt = f.salt),
+        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.n_inside, n.n_ends FROM dealt f JOIN {{counts}} n ON n.k = f.k AND n.salt = f.salt),
         forms AS (SELECT source, a, b, c, first(ctx) AS ctx, first(inside) AS inside, first(ends) AS ends, {bases},
-            collect_list(struct(level, (n_ends - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends AS n)) AS forms
+            collect_list(struct(level, (greatest(n_ends - least(ends, 1), 0) - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends AS n, n_ends / greatest(n_inside + n_ends, 1)::double AS rate)) AS forms
           FROM met GROUP BY source, a, b, c),
-        best AS (SELECT source, a, b, c, ctx, inside, ends, array_min(filter(forms, f -> f.level < {min(BASE.values())} AND f.n >= CASE WHEN f.level IN ({here}) THEN least_here ELSE least_all END)) AS decides FROM forms)
-        SELECT source, a, b, c FROM best LEFT JOIN {{followers}} n ON n.k = best.ctx
-        WHERE coalesce(decides.share <= {ENDS_AT_MOST}, false) OR coalesce(n.common >= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n, false)""",
+        best AS (SELECT source, a, b, c, ctx, inside, ends, here, everywhere, {decides(SUPPORT)} AS decides, {decides(AT_LIMIT)} AS at_limit FROM forms),
+        both AS (SELECT source, a, b, c, coalesce(decides.share <= {ENDS_AT_MOST}, false) OR coalesce(n.common >= {CLOSED} * n.n AND inside + greatest(ends - 1, 0) <= {STRANGE} * n.n, false) AS cut,
+            coalesce(at_limit.rate * CASE WHEN at_limit.level IN ({here}) THEN here ELSE everywhere END <= 1, false) AS cut_at_limit
+          FROM best LEFT JOIN {{followers}} n ON n.k = best.ctx)
+        SELECT * FROM both WHERE cut OR cut_at_limit""",
         t=trigrams, counts=counts, followers=followers,
     )
     last = "element_at(words, -3) AS a, element_at(words, -2) AS b, element_at(words, -1) AS c"
     return spark.sql(
         f"""
-        WITH e AS (SELECT source, digest, {last}, CAST(pmod(xxhash64(digest), {SALTS}) AS INT) AS salt FROM {{words}}),
-        j AS (SELECT source, a, b, c, explode(sequence(0, {SALTS - 1})) AS salt FROM {{judged}})
-        SELECT e.digest, e.source FROM e JOIN j ON j.source = e.source AND j.a = e.a AND j.b = e.b AND j.c = e.c AND j.salt = e.salt""",
-        words=words, judged=judged,
+        WITH e AS (SELECT source, digest, free, {last}, CAST(pmod(xxhash64(digest), {SALTS}) AS INT) AS salt FROM {{free}}),
+        j AS (SELECT source, a, b, c, cut, cut_at_limit, explode(sequence(0, {SALTS - 1})) AS salt FROM {{judged}})
+        SELECT e.digest, e.source FROM e JOIN j ON j.source = e.source AND j.a = e.a AND j.b = e.b AND j.c = e.c AND j.salt = e.salt WHERE j.cut OR (j.cut_at_limit AND NOT e.free)""",
+        free=free, judged=judged,
     )
 
 
