@@ -18,7 +18,7 @@ def found(spark, rows):
 def md5(text):
     import hashlib
 
-    return hashlib.md5(text.encode()).hexdigest()
+    return hashlib.md5(text.encode()).digest()
 
 
 def test_cuts_inside_sentences(spark):
@@ -42,6 +42,22 @@ def test_a_common_length_is_no_regular_ending(spark):
     assert len(found(spark, rows) & cut) >= 0.9 * len(cut)
 
 
+def test_a_small_source_beside_a_large_one(spark):
+    """What is enough support follows the texts of a source, so 120 texts of their own kind decide as well."""
+    rng, whole = corpus()
+    small = [" ".join(f"Item {rng.choice(whole[:9]).split()[1]} was put on shelf {rng.randint(1, 99)} by the clerk." for _ in range(6)) for _ in range(120)]
+    cut = [w[: w.rindex("was put") + rng.randint(2, 14)] for w in small[:12]]
+    rows = [("large", w, "x") for w in whole] + [("small", w, "x") for w in small[12:] + cut]
+    got = found(spark, rows)
+    assert len(got & {md5(c) for c in cut}) >= 11 and len(got - {md5(c) for c in cut}) <= 0.01 * len(rows)
+
+
+def test_one_ending_of_very_many_texts(spark):
+    rng, whole = corpus()
+    rows = [("s", w + " Signed, the lab desk", "x") for w in whole]
+    assert found(spark, rows) == set()
+
+
 def test_edges(spark):
     assert found(spark, []) == set()
     assert found(spark, [(None, None, ""), ("s", "", ""), ("s", " \n\t", ""), ("s", "...", ""), (None, "one", ""), ("s", "x" * 100_000, ""), ("s", " " * 50_000 + "x", "")]) == set()
