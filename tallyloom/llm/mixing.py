@@ -12,6 +12,7 @@ from .corpus_encoding import count_tokens
 
 SEED = 20_260_103
 SLICES = 4096  # hash slices by which documents are selected
+BROADCAST_ROUTES, SALTS = 20_000, 64
 MOST_PATTERNS = 100_000  # membership patterns that the driver routes
 
 
@@ -121,13 +122,15 @@ def select_documents(sized: DataFrame, routes: DataFrame, seed: int = SEED) -> D
     A route of T tokens over a pattern that holds H takes every document floor(T / H) times and, of a seeded order, the
     first documents that fit the rest once more. The order is by hash: token sums of SLICES hash slices are compared
     with the rest first, and only the one slice in which it ends is ordered by document, so no group of documents is
-    ever sorted as a whole, however many a source holds. ``routes`` has a row per mix, pattern and source and is
-    broadcast (it comes from the driver). Where a pattern serves several sources of a mix, each has its own order.
+    ever sorted as a whole, however many a source holds. ``routes`` has a row per mix, pattern and source; up to
+    BROADCAST_ROUTES of them are broadcast, more meet the documents of their pattern dealt over SALTS tasks. Where a pattern serves several sources of a mix, each has its own order.
     """
     d = sized.select("key", "tokens", F.array_sort(F.array_distinct(F.array_compact("sources"))).alias("pattern")).filter("tokens > 0")
-    r = F.broadcast(routes.select("mix_id", "pattern", "source", F.expr("tokens div held").alias("rounds"), F.expr("tokens % held").alias("rest")))
+    r = routes.select("mix_id", "pattern", "source", F.expr("tokens div held").alias("rounds"), F.expr("tokens % held").alias("rest"))
+    r = F.broadcast(r) if r.count() <= BROADCAST_ROUTES else r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = d if "_salt" not in r.columns else d.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     h = F.xxhash64(F.lit(seed), "mix_id", "source", "key")
-    met = staged(d.join(r, "pattern").withColumn("h", h).withColumn("slice", F.pmod("h", F.lit(SLICES))), "mix-documents")
+    met = staged(d.join(r, [c for c in ("pattern", "_salt") if c in r.columns]).drop("_salt").withColumn("h", h).withColumn("slice", F.pmod("h", F.lit(SLICES))), "mix-documents")
     slices = met.groupBy("mix_id", "pattern", "source", "slice").agg(F.sum("tokens").alias("in_slice"))
     upto = F.sum("in_slice").over(Window.partitionBy("mix_id", "pattern", "source").orderBy("slice"))
     slices = slices.withColumn("slice_before", upto - F.col("in_slice"))
@@ -167,5 +170,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("mix_id")))
 
 
-QUERIES = {"p9_found": p9_found, "p9_plan": p9_plan, "p9_selection": p9_selection, "p9_shares": p9_shares}
+def p9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where texts that occur in several sources go: each distinct text once, a member of all sources that hold it, and
+    for each mix, pattern of sources and source the tokens routed there."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
+    texts = docs.groupBy(F.md5("text").alias("key")).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.any_value("text").alias("text"))
+    sized = count_tokens(texts.select(F.struct("key", "sources").alias("doc"), "text"), "doc", "text").select("doc.key", "doc.sources", "tokens")
+    routes = plan_mixes(staged(sized, "sized-texts"), table(spark, sf_dir, "mix_targets"))[1]
+    return routes.select("mix_id", F.array_join("pattern", "+").alias("pattern"), "source", "held", "tokens")
+
+
+QUERIES = {"p9_overlap": p9_overlap, "p9_found": p9_found, "p9_plan": p9_plan, "p9_selection": p9_selection, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}

@@ -34,6 +34,15 @@ def test_selection_keeps_to_plan_and_repeats(spark):
     assert [r.key for r in m.select_documents(docs(spark, rows), routes).orderBy("source", "key").collect()] == [r.key for r in sorted(picked, key=lambda r: (r.source, r.key))]
 
 
+def test_many_routes_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, ["big"] if i % 3 else ["big", "small"], 10, "x") for i in range(600)]
+    targets = spark.createDataFrame([("m", "big", 0.5, 1, 0.3), ("m", "small", 0.5, 4, 0.3)], TARGETS)
+    _, routes = m.plan_mixes(docs(spark, rows), targets)
+    want = sorted(tuple(r) for r in m.select_documents(docs(spark, rows), routes).collect())
+    monkeypatch.setattr(m, "BROADCAST_ROUTES", 0)
+    assert sorted(tuple(r) for r in m.select_documents(docs(spark, rows), routes).collect()) == want and want
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("m", "a", 0.5, None, None), ("m", None, None, 1, 1.0)], TARGETS)
     plan, routes = m.plan_mixes(docs(spark, []), targets)

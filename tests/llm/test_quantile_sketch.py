@@ -11,11 +11,31 @@ def test_codes_keep_the_order_and_the_value(spark):
     values = sorted({0, 1, -1, 2, 255, 256, 511, 512, 513, 2**53, 2**62, -(2**62), 2**63 - 1, *(rng.randint(-(2 ** rng.randint(1, 62)), 2 ** rng.randint(1, 62)) for _ in range(500))})
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", q.encode(F.col("v")).alias("c")).orderBy("v").collect()
     codes = [r.c for r in rows]
-    assert codes == sorted(codes) and 0 <= codes[0] and codes[-1] < 1 << q.BITS
+    assert codes == sorted(codes) and 0 <= codes[0] and codes[-1] < 1 << q.WHOLE_BITS
     for r in rows:
         assert abs(q.decode(r.c) - r.v) <= abs(r.v) / 512 + 1
 
 
+def test_codes_of_doubles(spark):
+    rng = random.Random(8)
+    values = sorted({0.0, 0.1, 0.9, -0.1, 1.0, 2.0, 0.5, 1e-300, -1e300, 1.7e308, 5e-324, float("inf"), *(rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300) for _ in range(500)), *(2.0**e for e in range(-1020, 1023, 37))})
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", q.encode_double(F.col("v")).alias("c")).orderBy("v").collect()
+    codes = [r.c for r in rows]
+    assert codes == sorted(codes) and 0 <= codes[0] and codes[-1] < 1 << q.DOUBLE_BITS
+    for r in rows[:-1]:
+        assert abs(q.decode(r.c, q.DOUBLE_BITS) - r.v) <= abs(r.v) / 512 + 1e-307, r
+
+
+def test_percentiles_of_fractions(spark):
+    rng = random.Random(9)
+    data = [rng.expovariate(3) for _ in range(5000)] + [float("nan")]
+    df = spark.createDataFrame([("a", v) for v in data] + [("b", None), ("c", 0.1), ("c", 0.9)], "g string, v double")
+    got = {r.g: r for r in q.quantiles(q.build_sketch(df, ["g"], "v"), ["g"], [0.5, 0.995, 0.999]).collect()}
+    assert set(got) == {"a", "c"} and got["a"].n == 5000 and abs(got["c"].p99_9 - 0.9) < 0.01
+    s = np.sort(data[:-1])
+    assert abs(np.searchsorted(s, got["a"].p50) / 5000 - 0.5) < 0.02 and np.searchsorted(s, got["a"].p99_5) / 5000 > 0.97
+
+
 def test_hash_is_the_engines(spark):
     for level, line, node in ((0, 0, 0), (3, 4, 77), (7, 2, 65_000)):
         want = spark.range(1).select(F.xxhash64(F.lit(q.SEED), F.lit(level), F.lit(line), F.lit(node).cast("bigint")).alias("h")).first().h

@@ -1,13 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import top_n as t
 
 
-def rows_of(spark, rows, n=3):
+def rows_of(spark, rows, n=3, by="heap"):
     df = spark.createDataFrame(rows, "g string, s long, id long, place string, item string")
-    return t.top_n(df, ["g"], [F.col("s"), F.col("id")], n, ["id", "s"])
+    return t.top_n(df, ["g"], [F.col("s"), F.col("id")], n, ["id", "s"], by)
 
 
 def test_against_sorting_with_hot_groups_and_ties(spark):
@@ -33,8 +34,13 @@ def test_heaps_are_built_before_the_shuffle(spark):
     assert "partial_collect_top_k" in plan
 
 
-def test_window_form_gives_the_same(spark, monkeypatch):
+def test_no_silent_change_of_the_method(spark, monkeypatch):
+    monkeypatch.setattr(t, "is_remote", lambda: True)
+    with pytest.raises(RuntimeError, match="by='window'"):
+        rows_of(spark, [("a", 1, 1, "", "")])
+
+
+def test_window_form_gives_the_same(spark):
     rows = [("a", i % 4, i, "", "") for i in range(50)]
     want = {tuple(r) for r in rows_of(spark, rows).collect()}
-    monkeypatch.setattr(t, "_heap", lambda *_: None)
-    assert {tuple(r) for r in rows_of(spark, rows).collect()} == want
+    assert {tuple(r) for r in rows_of(spark, rows, by="window").collect()} == want
