@@ -1,10 +1,11 @@
 """Flat related tables out of deeply nested records of varying shape.
 
 A bottom-up tree automaton gives every node of a parsed record a state from the states of its children: first the
-leaves, then the objects and arrays that hold them. The state of a section is its structural variant. A variant is
-routed to the table of its section and to the subtype named by its state, whatever wrapped it: an array, a lone object,
-text that holds encoded JSON, or an envelope around the whole record. Every row keeps the common supertype columns
-(record key, table, own key, parent's key, variant) and its scalar fields by name.
+leaves, then the objects and arrays that hold them. The state of an element is its structural variant. Going down again,
+the state and the place of an element route it to its typed subtype table, whatever wrapped it: an array, a lone object,
+text that holds encoded JSON, or an envelope around the whole record; a state without a route in its place goes to the
+untyped subtype of that place, so no element is lost. Every row keeps the common supertype columns (record key, table,
+own key, parent's key, subtype, variant) and its scalar fields by name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHILD = "array<struct<child_table:string,child_key:string,parent_key:string,variant:string,fields:map<string,string>>>"
+CHILD = "array<struct<child_table:string,child_key:string,parent_key:string,subtype:string,variant:string,fields:map<string,string>>>"
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,11 @@ class TreeAutomaton:
 
     transitions: list[Transition]
     root: str
-    max_decodings: int = 4
     seen: dict = field(default_factory=dict)
 
-    def annotate(self, value, decodings: int = 0) -> Node:
+    def annotate(self, value) -> Node:
+        """Text that holds encoded JSON, however often encoded, is annotated as what it holds; each decoding is shorter
+        than the text, so there are finitely many."""
         if value is None:
             return Node("null", None)
         if isinstance(value, bool):
@@ -60,20 +62,20 @@ class TreeAutomaton:
         if isinstance(value, (int, float)):
             return Node("number", value)
         if isinstance(value, str):
-            if decodings < self.max_decodings and value.lstrip()[:1] in ("{", "[", '"'):
+            if value.lstrip()[:1] in ("{", "[", '"'):
                 try:
                     inner = strict_json(value)
                 except ValueError:
                     inner = None
                 if isinstance(inner, (dict, list)) or (isinstance(inner, str) and inner.lstrip()[:1] in ("{", "[")):
-                    node = self.annotate(inner, decodings + 1)
+                    node = self.annotate(inner)
                     if node.members is not None:
                         return Node(node.state, node.value, True, node.members)
             return Node("text" if value.strip() else "blank", value)
         if isinstance(value, list):
-            members = [self.annotate(v, decodings) for v in value]
+            members = [self.annotate(v) for v in value]
             return Node(f"list({'|'.join(sorted({m.state for m in members}))})", value, False, members)
-        members = {k: self.annotate(v, decodings) for k, v in value.items()}
+        members = {k: self.annotate(v) for k, v in value.items()}
         return Node(self.object_state(members), value, False, members)
 
     def object_state(self, members: dict) -> str:
@@ -113,17 +115,48 @@ def _no_constant(name: str):
 SECTIONS = frozenset(["a1_context", "artifacts", "binaries", "gates", "tracks"])
 RECEIPT_AUTOMATON = [
     Transition("evidence", frozenset(["file", "line"])),
+    Transition("round_memory", frozenset(["arm", "peak_rss_bytes"])),
     Transition("round", frozenset(["arm"])),
     Transition("item", frozenset(["item_id"])),
     Transition("track", frozenset(["track"])),
     Transition("receipt", frozenset(["schema_version"]), SECTIONS | {"candidate_commit"}),
     Transition("receipt", frozenset(["candidate_commit"]), SECTIONS - {"a1_context"}),
+    Transition("gate_actual", frozenset(["name", "passed", "actual"])),
     Transition("gate", frozenset(["name", "passed"])),
     Transition("context", frozenset(), frozenset(["decision", "frozen_peak_rss_limit_mib"])),
     Transition("digest_entry", frozenset(["sha256"]), frozenset(["file", "path", "name"])),
 ]
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where child records are: under ``member`` of the record above, as rows of ``table``. ``routes`` gives the subtype
+    of each state that is typed here. Of a ``named`` place the members are the records, by name; ``needs`` is a member
+    without which an element is no record and whose name is the key."""
+
+    member: str
+    table: str
+    routes: tuple[tuple[str, str], ...]
+    inside: tuple[Place, ...] = ()
+    named: bool = False
+    needs: str | None = None
+
+    def subtype(self, state: str) -> str:
+        return dict(self.routes).get(state, f"{self.table}_untyped")
+
+
+DIGESTS = (("digest_map", "map"), ("digest_tree", "tree"), ("digest_entry", "entry"))
+RECEIPT_PLACES = (
+    Place("a1_context", "a1_context", (("context", "a1_context_typed"),), needs="decision"),
+    Place("artifacts", "artifacts", tuple((state, f"artifacts_{name}") for state, name in DIGESTS), named=True),
+    Place("binaries", "binaries", tuple((state, f"binaries_{name}") for state, name in DIGESTS), named=True),
+    Place("gates", "gates", (("gate", "gates_plain"), ("gate_actual", "gates_actual")), inside=(Place("evidence", "evidence", (("evidence", "evidence_typed"),)),)),
+    Place("tracks", "tracks", (("track", "tracks_typed"),), inside=(
+        Place("items", "items", (("item", "items_typed"),), inside=(
+            Place("rounds", "rounds", (("round", "rounds_plain"), ("round_memory", "rounds_memory"))),)),)),
+)
+
+
 def receipt_automaton() -> TreeAutomaton:
     return TreeAutomaton(RECEIPT_AUTOMATON, "receipt")
 
@@ -195,46 +228,47 @@ def find_root(node: Node, root: str) -> Node | None:
     return node
 
 
+def _route(place: Place, above: dict, parent: str, indexed: bool, out: list[dict]) -> None:
+    """Appends the child records of one place under a record with the members ``above`` and the key ``parent``."""
+    section = above.get(place.member)
+
+    def put(key: str, state: str, variant: str, fields) -> None:
+        out.append({"child_table": place.table, "child_key": key, "parent_key": parent, "subtype": place.subtype(state), "variant": variant, "fields": list(fields)})
+
+    if place.named:
+        named = {}
+        for name, digest, holder in _digests(section):
+            if digest is not None and digest != "":
+                named[name] = (digest, holder)
+        for name, (digest, holder) in named.items():
+            whole = holder is section or not isinstance(section.members, list)
+            put(name, section.state if whole else holder.state, section.state if whole else _variant(section, holder), [("digest", str(digest))])
+        return
+    for i, element in _elements(section):
+        members = element.members if isinstance(element.members, dict) else {}
+        if place.needs is not None:
+            if members.get(place.needs, Node("null", None)).state != "null":
+                put(place.needs, element.state, _variant(section, element), _scalars(element))
+            continue
+        key = f"{parent}/{i}" if indexed else str(i)
+        put(key, element.state, _variant(section, element), _scalars(element))
+        for inner in place.inside:
+            _route(inner, members, key, True, out)
+
+
 def receipt_children(body: str, automaton: TreeAutomaton) -> list[dict]:
     """The child records of one receipt body; ValueError if it is not valid JSON."""
     root = find_root(automaton.annotate(strict_json(body)), automaton.root)
     out: list[dict] = []
-    if root is None:
-        return out
-    top = root.members
-
-    def put(kind: str, key: str, parent: str, variant: str, fields) -> None:
-        out.append({"child_table": kind, "child_key": key, "parent_key": parent, "variant": variant, "fields": list(fields)})
-
-    for _, context in _elements(top.get("a1_context")):
-        if isinstance(context.members, dict) and context.members.get("decision", Node("null", None)).state != "null":
-            put("a1_context", "decision", "", _variant(top["a1_context"], context), _scalars(context))
-    for kind in ("artifacts", "binaries"):
-        section = top.get(kind)
-        names = {}
-        for name, digest, holder in _digests(section):
-            if digest is not None and digest != "":
-                names[name] = (digest, _variant(section, holder) if holder is not section else section.state)
-        for name, (digest, variant) in names.items():
-            put(kind, name, "", variant, [("digest", str(digest))])
-    for i, gate in _elements(top.get("gates")):
-        put("gates", str(i), "", _variant(top["gates"], gate), _scalars(gate))
-        held = gate.members.get("evidence") if isinstance(gate.members, dict) else None
-        for j, e in _elements(held):
-            put("evidence", f"{i}/{j}", str(i), _variant(held, e), _scalars(e))
-    for i, track in _elements(top.get("tracks")):
-        put("tracks", str(i), "", _variant(top["tracks"], track), _scalars(track))
-        items = track.members.get("items") if isinstance(track.members, dict) else None
-        for j, item in _elements(items):
-            put("items", f"{i}/{j}", str(i), _variant(items, item), _scalars(item))
-            rounds = item.members.get("rounds") if isinstance(item.members, dict) else None
-            for k, r in _elements(rounds):
-                put("rounds", f"{i}/{j}/{k}", f"{i}/{j}", _variant(rounds, r), _scalars(r))
+    if root is not None:
+        for place in RECEIPT_PLACES:
+            _route(place, root.members, "", False, out)
     return out
 
 
 def shred_receipts(deliveries: DataFrame, key: str, order: list[str], body: str) -> DataFrame:
-    """Child rows of the latest valid delivery of each key: (key, child_table, child_key, parent_key, variant, fields).
+    """Child rows of the latest valid delivery of each key: (key, child_table, child_key, parent_key, subtype, variant,
+    fields).
 
     One pass parses every body next to its scan. What crosses the shuffle is at most one parsed delivery per key and
     map task, since the latest is a mergeable maximum: a key with a third of all deliveries is no hot spot. Bodies that
@@ -246,7 +280,7 @@ def shred_receipts(deliveries: DataFrame, key: str, order: list[str], body: str)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = receipt_automaton()
-        item = pa.struct([("child_table", pa.string()), ("child_key", pa.string()), ("parent_key", pa.string()), ("variant", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
+        item = pa.struct([("child_table", pa.string()), ("child_key", pa.string()), ("parent_key", pa.string()), ("subtype", pa.string()), ("variant", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
         for b in batches:
             at, children = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
@@ -271,22 +305,35 @@ def byte_size(c: Column) -> Column:
     return (n.try_cast("double") * factor).try_cast("bigint")
 
 
-# Typed columns of each child table.
+# Typed columns of each subtype; its supertype, the child table, has those of all of its subtypes.
+DIGEST = {"digest": "string"}
+GATE, ROUND = {"name": "string", "passed": "boolean"}, {"arm": "string", "elapsed_ns": "bigint"}
 SUBTYPES = {
-    "a1_context": {"candidate_commit": "string", "frozen_peak_rss_limit_mib": "double", "decision": "string"},
-    "artifacts": {"digest": "string"},
-    "binaries": {"digest": "string"},
-    "gates": {"name": "string", "passed": "boolean", "actual": "double"},
-    "evidence": {"file": "string", "line": "bigint"},
-    "tracks": {"track": "string"},
-    "items": {"item_id": "string", "original_bytes": "bigint"},
-    "rounds": {"arm": "string", "elapsed_ns": "bigint", "peak_rss_bytes": "bytes"},
+    "a1_context": {"a1_context_typed": {"candidate_commit": "string", "frozen_peak_rss_limit_mib": "double", "decision": "string"}},
+    "artifacts": {f"artifacts_{name}": DIGEST for _, name in DIGESTS},
+    "binaries": {f"binaries_{name}": DIGEST for _, name in DIGESTS},
+    "gates": {"gates_plain": GATE, "gates_actual": {**GATE, "actual": "double"}},
+    "evidence": {"evidence_typed": {"file": "string", "line": "bigint"}},
+    "tracks": {"tracks_typed": {"track": "string"}},
+    "items": {"items_typed": {"item_id": "string", "original_bytes": "bigint"}},
+    "rounds": {"rounds_plain": ROUND, "rounds_memory": {**ROUND, "peak_rss_bytes": "bytes"}},
 }
 
 
-def typed_table(children: DataFrame, kind: str) -> DataFrame:
-    """The rows of one child table with its typed columns; a field of another type is null."""
+def _typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     f = lambda c: F.col("fields")[c]
-    typed = [(byte_size(f(c)) if t == "bytes" else f(c).try_cast(t)).alias(c) for c, t in SUBTYPES[kind].items()]
-    kept = [c for c in children.columns if c not in ("fields", "child_table")]
-    return children.filter(F.col("child_table") == kind).select(*kept, *typed)
+    typed = [(byte_size(f(c)) if t == "bytes" else f(c).try_cast(t)).alias(c) for c, t in columns.items()]
+    return rows.select(*[c for c in rows.columns if c not in ("fields", "child_table", "subtype")], *typed)
+
+
+def subtype_table(children: DataFrame, subtype: str) -> DataFrame:
+    """The rows that the automaton routed to one subtype, with its typed columns; a field of another type is null."""
+    columns = next(known[subtype] for known in SUBTYPES.values() if subtype in known)
+    return _typed(children.filter(F.col("subtype") == subtype), columns)
+
+
+def typed_table(children: DataFrame, kind: str) -> DataFrame:
+    """The supertype table of one kind of child: all of its subtypes, the untyped one included, with the typed columns of
+    any; null where the subtype has no such column."""
+    columns = {c: t for known in SUBTYPES[kind].values() for c, t in known.items()}
+    return _typed(children.filter(F.col("child_table") == kind), columns)
