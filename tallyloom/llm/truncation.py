@@ -31,7 +31,7 @@ NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.][0-9]+)*"
 HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 # A token: a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign. Ideographs and kana
 # are words of their own and are set apart before.
-TOKEN = r"[\p{L}\p{M}_][\p{L}\p{M}0_]*(?:-[\p{L}\p{M}0_]*)*|0[\p{L}0_]*(?:-[\p{L}0_]*)*|[\n\t]|\S"
+TOKEN = r"[a-zA-Z_]++(?![\p{L}\p{M}0_-])|[\p{L}\p{M}_][\p{L}\p{M}0_]*(?:-[\p{L}\p{M}0_]*)*|0[\p{L}0_]*(?:-[\p{L}0_]*)*|[\n\t]|\S"
 WORD = r"^[\p{L}\p{M}_]"
 PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD, "han": HAN}
 
@@ -53,7 +53,7 @@ def _words(spark: SparkSession, texts: DataFrame) -> DataFrame:
             FROM {texts} WHERE trim(BOTH :blanks FROM text) <> '' GROUP BY ALL),
         marked AS (SELECT *, length(regexp_extract(right(body, 16), :marks, 0)) AS mark FROM kept),
         bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(trim(TRAILING :blanks FROM left(body, length(body) - mark)), :number, '0') AS body FROM marked),
-        apart AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN body RLIKE :han THEN regexp_replace(body, :han, ' $0 ') ELSE body END AS body FROM bare WHERE body <> '')
+        apart AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN octet_length(body) > length(body) AND body RLIKE :han THEN regexp_replace(body, :han, ' $0 ') ELSE body END AS body FROM bare WHERE body <> '')
         SELECT source, digest, n_chars, n_bytes, transform(concat(array('^', '^'), regexp_extract_all(body, :token, 0)),
             w -> (xxhash64(w) & ~3L) | CASE WHEN w RLIKE :word THEN 1L WHEN w LIKE '0%' THEN 2L ELSE 0L END) AS words FROM apart""",
         args=PATTERNS, texts=texts,
