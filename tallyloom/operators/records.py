@@ -284,65 +284,6 @@ def byte_classes(text: str) -> dict[str, int]:
     return counts
 
 
-ORDERS = (0, 1, 2, 3)
-
-
-def mixture_losses(data: bytes, orders: tuple[int, ...] = ORDERS, adaptive: bool = True) -> tuple[list[float], list[float]]:
-    """(bits of every byte, credit of every expert) under a mixture of byte models with contexts of the given orders.
-
-    Each expert counts what followed its context, with a prior of a half; weights follow the experts' success, or stay
-    equal if not ``adaptive``. An expert's credit is the bits that its share of the probabilities stands for."""
-    import math
-
-    counts: list[dict] = [{} for _ in orders]
-    weights, losses, credit = [1 / len(orders)] * len(orders), [], [0.0] * len(orders)
-    for i, b in enumerate(data):
-        seen = [c.setdefault(data[i - o : i] if o else b"", {}) if i >= o else {} for o, c in zip(orders, counts)]
-        ps = [(s.get(b, 0) + 0.5) / (s.get(-1, 0) + 128) for s in seen]
-        p = sum(w * q for w, q in zip(weights, ps))
-        losses.append(-math.log2(p))
-        for k, (w, q) in enumerate(zip(weights, ps)):
-            credit[k] += losses[-1] * w * q / p
-        if adaptive:
-            weights = [0.98 * w * q / p + 0.02 / len(orders) for w, q in zip(weights, ps)]
-        for s in seen:
-            s[b] = s.get(b, 0) + 1
-            s[-1] = s.get(-1, 0) + 1
-    return losses, credit
-
-
-def mixture_rows(df: DataFrame, key: str, text: str, all_arms: bool = True) -> DataFrame:
-    """(key, arm, bits): the whole mixture, and with ``all_arms`` equal weights, each expert left out and its credit."""
-
-    def rows(t: str):
-        data = t.encode()
-        losses, credit = mixture_losses(data)
-        yield "full", sum(losses)
-        if not all_arms:
-            return
-        yield "frozen", sum(mixture_losses(data, adaptive=False)[0])
-        for o in ORDERS:
-            yield f"without-{o}", sum(mixture_losses(data, tuple(k for k in ORDERS if k != o))[0])
-            yield f"credit-{o}", credit[ORDERS.index(o)]
-
-    return per_text(df, key, text, "arm string, bits double", rows, spread=True)
-
-
-def class_losses(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class, n_bytes, bits): mixture loss by JSON class of the byte; the classes add up to the whole."""
-
-    def rows(t: str):
-        data = t.encode()
-        losses, _ = mixture_losses(data)
-        total: dict[str, list] = {}
-        for kind, i, j in class_runs(data):
-            n, bits = total.get(kind, (0, 0.0))
-            total[kind] = (n + j - i, bits + sum(losses[i:j]))
-        return [(k, n, bits) for k, (n, bits) in total.items()]
-
-    return per_text(df, key, text, "class string, n_bytes bigint, bits double", rows, spread=True)
-
-
 def pack_dictionary(text: str, cap: int) -> list[tuple[str, int]]:
     """(token, gain) taken greedily by gain while their bytes fit the cap; a token that doesn't fit is passed over."""
     from collections import Counter

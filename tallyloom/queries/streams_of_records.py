@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from ..operators import ordered
+from ..operators import mixtures, ordered
 from ..operators import records as r
 from ..operators import rules
 from ..session import staged, table
@@ -604,31 +604,48 @@ def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.source_dictionaries(docs(spark, sf_dir))
 
 
-def _mixtures(spark: SparkSession, sf_dir: str, all_arms: bool) -> DataFrame:
-    return r.mixture_rows(docs(spark, sf_dir).select(F.struct("doc_id", "source").alias("doc"), "text"), "doc", "text", all_arms)
+def _arms(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], weights: list[float] | None = None) -> DataFrame:
+    """(source, arm, bits)."""
+    rows = mixtures.arm_rows(docs(spark, sf_dir).select(F.struct("doc_id", "source").alias("doc"), "text"), "doc", "text", kinds, weights)
+    return rows.groupBy(F.col("doc.source").alias("source"), "arm").agg(F.round(F.sum("bits"), 3).alias("bits"))
 
 
 @book.frame("m07_arms")
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits of every arm by source: the full mixture, frozen weights, leave-one-out arms and credits."""
-    return _mixtures(spark, sf_dir, True).groupBy(F.col("doc.source").alias("source"), "arm").agg(F.round(F.sum("bits"), 3).alias("bits"))
+    """Bits of every arm by source: the full mixture, fixed equal weights, leave-one-out arms and credits."""
+    return _arms(spark, sf_dir, ("full", "frozen", "without", "credit"))
 
 
-book.queries["m06_refined_mixture"] = lambda spark, d: _mixtures(spark, d, False).groupBy(F.col("doc.source").alias("source")).agg(F.round(F.sum("bits"), 3).alias("bits"))
-book.queries["m08_context_mixture"] = lambda spark, d: _mixtures(spark, d, False).select("doc.doc_id", F.round("bits", 3).alias("bits"))
-book.queries["m10_frozen_weights"] = lambda spark, d: arms(spark, d).filter("arm = 'frozen'")
-book.queries["m15_expert_credit"] = lambda spark, d: arms(spark, d).filter("arm LIKE 'credit%'")
+book.queries["m06_refined_mixture"] = lambda spark, d: _arms(spark, d, ("full", "refined"))
+book.queries["m08_context_mixture"] = lambda spark, d: mixtures.arm_rows(docs(spark, d), "doc_id", "text", ("full",)).select("doc_id", F.round("bits", 3).alias("bits"))
+book.queries["m15_expert_credit"] = lambda spark, d: _arms(spark, d, ("credit",))
+
+
+@book.frame("m10_frozen_weights")
+def frozen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits by source under weights that were trained on all texts and then stay, beside equal ones."""
+    d = docs(spark, sf_dir)
+    trained = _arms(spark, sf_dir, ("frozen",), mixtures.trained_weights(d, "doc_id", "text")).withColumn("arm", F.lit("trained"))
+    return trained.unionByName(_arms(spark, sf_dir, ("frozen",)).withColumn("arm", F.lit("equal")))
+
+
+# Equal weights over orders 0 to 2, whose counts SQL can follow.
+_LAGS = "concat(lag(b, 2, '00') OVER w, lag(b, 1, '00') OVER w)"
+_PLACE = "row_number() OVER (PARTITION BY doc_id, {} ORDER BY pos)"
+_P = " + ".join(f"(CAST(n{o} AS DOUBLE) - CAST(0.5 AS DOUBLE)) / (s{o} + 127)" for o in range(3))
+bytes_sql("m10_low_orders", f"""SELECT doc_id, round(sum(-ln(({_P}) / 3) / ln(2)), 3) AS bits FROM (SELECT doc_id, {", ".join(f"{_PLACE.format(c + 'b')} AS n{o}, {_PLACE.format(c + '0')} AS s{o}" for o, c in enumerate(("", "right(c, 2), ", "c, ")))}
+    FROM (SELECT doc_id, pos, b, {_LAGS} AS c FROM <bytes> t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) l) r GROUP BY doc_id""".replace(", 0 ORDER", " ORDER"))
 
 
 @book.frame("m16_loss_by_class")
 def loss_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.class_losses(docs(spark, sf_dir), "doc_id", "text").groupBy("class").agg(F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("bits"), 3).alias("bits"))
+    return mixtures.class_losses(docs(spark, sf_dir), "doc_id", "text", r.class_runs).groupBy("class").agg(F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("bits"), 3).alias("bits"))
 
 
-@book.frame("m17_loss_closure")
+@book.frame("m17_loss_closure", "SELECT doc_id, CAST(NULL AS BIGINT) AS n_bytes FROM documents WHERE false")
 def loss_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose classes don't add up to their bytes: none."""
-    c = r.class_losses(docs(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
+    c = mixtures.class_losses(docs(spark, sf_dir), "doc_id", "text", r.class_runs).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
     return docs(spark, sf_dir).filter("text <> ''").join(c, "doc_id", "left").filter("NOT octet_length(text) <=> n_bytes").select("doc_id", "n_bytes")
 
 

@@ -69,14 +69,6 @@ def test_grammar():
     assert r.repair_grammar([]) == (0, 0) and r.repair_grammar([1, 2, 3]) == (0, 3)
 
 
-def test_mixture_is_a_distribution():
-    data = b"abracadabra" * 5
-    losses, credit = r.mixture_losses(data)
-    assert len(losses) == len(data) and abs(sum(losses) - sum(credit)) < 1e-6
-    assert sum(losses) < 8 * len(data)
-    assert r.mixture_losses(b"") == ([], [0.0] * 4)
-
-
 def residual_commands(data):
     """(zeros, bytes) of every command, from the runs of zeros and of other bytes."""
     out, literal = [], b""
