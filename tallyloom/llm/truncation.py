@@ -31,7 +31,7 @@ NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.][0-9]+)*"
 HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 # A token: a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign. Ideographs and kana
 # are words of their own and are set apart before.
-TOKEN = r"[a-zA-Z_]++(?![\p{L}\p{M}0_-])|[\p{L}\p{M}_][\p{L}\p{M}0_]*(?:-[\p{L}\p{M}0_]*)*|0[\p{L}0_]*(?:-[\p{L}0_]*)*|[\n\t]|\S"
+TOKEN = r"(?:[a-zA-Z_]++|[\p{L}\p{M}]++)(?:[a-zA-Z0_]++|-|[\p{L}\p{M}]++)*+|0(?:[a-zA-Z0_]++|-|\p{L}++)*+|[\n\t]|\S"
 WORD = r"^[\p{L}\p{M}_]"
 PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD, "han": HAN}
 
@@ -76,6 +76,12 @@ def _form_key(among: str, form: str) -> str:
     return f"xxhash64({among}, '{form}', " + ", ".join(kept[keep].format(x) for x, keep in zip("abc", form)) + ")"
 
 
+def _salts(form: str) -> str:
+    """Over how many tasks a form is dealt: forms that keep no words but signs are few, and may be those of very many texts."""
+    kept = [x for x, keep in zip("abc", form) if keep == "1"]
+    return f"CASE WHEN {' AND '.join(f'{x} & 3 = 0' for x in kept)} THEN {SALTS} ELSE 1 END" if kept else str(SALTS)
+
+
 def find_truncated(texts: DataFrame) -> DataFrame:
     """(digest, source): md5 digests of the texts of ``texts`` (source, text) that were cut off, and hashes of their sources.
 
@@ -98,13 +104,15 @@ def find_truncated(texts: DataFrame) -> DataFrame:
     )
     trigrams = spark.sql(
         """
-        WITH placed AS (SELECT source, free, inline(transform(sequence(3, size(words)), i -> struct(words[i - 3] AS a, words[i - 2] AS b, words[i - 1] AS c, i = size(words) AS last))) FROM {free})
-        SELECT source, a, b, c, count_if(NOT last) AS inside, count_if(last AND free) AS ends, count_if(last) AS all_ends FROM placed GROUP BY source, a, b, c""",
+        WITH every AS (SELECT source, inline(arrays_zip(slice(words, 1, size(words) - 2), slice(words, 2, size(words) - 2), slice(words, 3, size(words) - 2))) AS (a, b, c) FROM {free}),
+        placed AS (SELECT source, a, b, c, 1 AS n, 0 AS ends, 0 AS all_ends FROM every UNION ALL
+            SELECT source, element_at(words, -3), element_at(words, -2), element_at(words, -1), 0, CAST(free AS INT), 1 FROM {free})
+        SELECT source, a, b, c, sum(n) - sum(all_ends) AS inside, sum(ends) AS ends, sum(all_ends) AS all_ends FROM placed GROUP BY source, a, b, c""",
         free=free,
     )
     trigrams = staged(trigrams, "p10-trigrams")
-    few = {level for level, (_, form) in enumerate(FORMS) if form.count("1") < 2}  # forms that may be hot
-    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {_form_key(*f)} AS k, {SALTS if level in few else 1} AS salts)" for level, f in enumerate(FORMS)) + "))"
+    # The first form is the trigram itself, whose counts are at hand.
+    fan = "inline(array(" + ", ".join(f"struct({level} AS level, {_form_key(*f)} AS k, {_salts(f[1])} AS salts)" for level, f in enumerate(FORMS) if level) + "))"
     counts = spark.sql(
         f"""SELECT k, n_inside, n_ends, explode(sequence(0, salts - 1)) AS salt FROM
         (SELECT k, salts, sum(inside) AS n_inside, sum(ends) AS n_ends FROM (SELECT inside, ends, {fan} FROM {{t}}) GROUP BY k, salts)""",
@@ -126,7 +134,8 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         f"""
         WITH finals AS (SELECT source, a, b, c, inside, ends, {context} AS ctx, {fan} FROM {{t}} WHERE all_ends > 0),
         dealt AS (SELECT *, CAST(pmod(xxhash64(source, a, b, c), salts) AS INT) AS salt FROM finals),
-        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.n_inside, n.n_ends FROM dealt f JOIN {{counts}} n ON n.k = f.k AND n.salt = f.salt),
+        met AS (SELECT f.source, f.a, f.b, f.c, f.level, f.inside, f.ends, f.ctx, n.n_inside, n.n_ends FROM dealt f JOIN {{counts}} n ON n.k = f.k AND n.salt = f.salt
+          UNION ALL SELECT source, a, b, c, 0, inside, ends, {context}, inside, ends FROM {{t}} WHERE all_ends > 0),
         forms AS (SELECT source, a, b, c, first(ctx) AS ctx, first(inside) AS inside, first(ends) AS ends, {bases},
             collect_list(struct(level, (greatest(n_ends - least(ends, 1), 0) - 1) / greatest(n_inside + n_ends, 1)::double AS share, n_inside + n_ends AS n, n_ends / greatest(n_inside + n_ends, 1)::double AS rate)) AS forms
           FROM met GROUP BY source, a, b, c),
