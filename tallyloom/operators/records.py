@@ -18,6 +18,7 @@ import struct
 from collections.abc import Callable, Iterator
 from json.decoder import scanstring
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,27 +226,59 @@ def splice_residuals(df: DataFrame, key: str, text: str, largest: int = 1 << 20)
     return per_text(df, key, text, "rec_no int, prefix int, suffix int, spliced boolean, n_bytes int", rows)
 
 
-def move_to_front(codes: list[int]) -> list[int]:
-    """The rank of each code by how recently it was used; unused codes are in their own order behind those used."""
-    order = sorted(set(codes))
-    out = []
-    for c in codes:
-        i = order.index(c)
-        out.append(i)
-        order.insert(0, order.pop(i))
-    return out
+def move_to_front(codes: bytes) -> np.ndarray:
+    """The rank of each byte by how recently it was used; unused ones are in their own order behind those used.
+
+    A byte used before has as many others before it as were used since; all places are counted at once, value by value."""
+    data = np.frombuffer(codes, np.uint8)
+    known, first = np.unique(data, return_index=True)
+    place = np.arange(len(data))
+    before = np.empty(len(data), np.int64)  # where the same byte was last, or -1
+    last: dict[int, np.ndarray] = {}
+    for v in known.tolist():
+        upto = np.maximum.accumulate(np.where(data == v, place, -1))
+        last[v] = np.concatenate(([-1], upto[:-1]))
+        here = data == v
+        before[here] = last[v][here]
+    ranks = np.zeros(len(data), np.int64)
+    for upto in last.values():
+        ranks += upto > before
+    for v, at in zip(known.tolist(), first.tolist()):  # first uses: behind all used ones, and the unused that are less
+        ranks[at] += int(((first >= at) & (known < v)).sum())
+    return ranks
 
 
 def mtf_ranks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, rank_sum, zeros): move-to-front of the text's bytes."""
 
     def rows(t: str):
-        ranks = move_to_front(list(t.encode()))
-        yield len(ranks), sum(ranks), ranks.count(0)
+        ranks = move_to_front(t.encode())
+        yield len(ranks), int(ranks.sum()), int((ranks == 0).sum())
 
     return per_text(df, key, text, "n int, rank_sum bigint, zeros int", rows)
 
 
+GRAM, REACH = 8, 1 << 16
+
+
+def repeats(data: bytes) -> tuple[int, int, int | None]:
+    """(positions, seeds, covered) of the grams of GRAM bytes: how many there are, how many occurred up to REACH bytes
+    before, and how many bytes these cover; None without any."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return 0, 0, None
+    grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel()
+    order = np.argsort(grams, kind="stable")
+    again = np.flatnonzero((grams[order][1:] == grams[order][:-1]) & (np.diff(order) <= REACH)) + 1
+    seeds = np.sort(order[again])
+    return n, len(seeds), int(np.minimum(np.diff(seeds), GRAM).sum()) + GRAM if len(seeds) else None
+
+
+def repeat_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, positions, seeds, covered) of every text that has a gram."""
+    return per_text(df, key, text, "positions bigint, seeds bigint, covered bigint", lambda t: [x for x in [repeats(t.encode())] if x[0]], spread=True)
+
+
 CLASSES = ("structural", "field_name", "string_value", "number_value", "literal_value", "whitespace", "unclassified")
 
 
@@ -555,8 +588,6 @@ def pack_entries(entries: list[tuple[str, int]], base: int, max_entries: int = M
 
 def byte_totals(df: DataFrame, group: str, text: str) -> DataFrame:
     """(group, value, n): how often each byte occurs, summed in every task before the shuffle."""
-    import numpy as np
-
     def count(batches):
         totals: dict = {}
         for b in batches:

@@ -79,10 +79,10 @@ def roster_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.roster_violations(found, table(spark, sf_dir, "codecs").select("id"))
 
 
-@book.frame("s12_wiki_pages", "SELECT doc_id AS page_id, path AS title FROM documents WHERE source = 'wikitext-dump' AND text <> ''")
+@book.frame("s12_wiki_pages", "SELECT doc_id AS page_id, path AS title FROM documents WHERE contains(text, '[[') OR contains(text, '{{')")
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiki texts written as a MediaWiki XML dump and read back as articles."""
-    d = table(spark, sf_dir, "documents").filter("source = 'wikitext-dump' AND text <> ''")
+    d = table(spark, sf_dir, "documents").filter("contains(text, '[[') OR contains(text, '{{')")
     clean = F.regexp_replace("text", r"[^\t\n\r -\uD7FF\uE000-\uFFFD]", "?")
     pages = d.select(F.col("path").alias("title"), F.lit(0).alias("ns"), F.col("doc_id").alias("id"), F.array(F.struct(F.lit(1).alias("id"), F.concat(F.lit("x"), clean).alias("text"))).alias("revision"))
     path = own_path(spark, "sinks", "table")

@@ -83,31 +83,44 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 _CELLS_DUCK = f"""(SELECT doc_id, row_no, len(cells) AS arity, unnest(range(0, len(cells))) AS col_no, cells FROM (SELECT doc_id, row_no, string_split(line, d) AS cells FROM
-  (SELECT doc_id, d, unnest(range(0, len(p))) AS row_no, p[row_no + 1] AS line FROM (SELECT doc_id, {_DELIM_DUCK} AS d, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE text IS NOT NULL AND source = 'csv-export')) WHERE line <> ''))"""
+  (SELECT doc_id, d, unnest(range(0, len(p))) AS row_no, p[row_no + 1] AS line FROM (SELECT doc_id, {_DELIM_DUCK} AS d, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE text IS NOT NULL)) WHERE line <> ''))"""
 
 
 @book.frame("s07_delimited_scan", f"SELECT doc_id, arity::bigint AS arity, count(DISTINCT row_no) AS n_rows FROM {_CELLS_DUCK} GROUP BY ALL")
 def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(docs(spark, sf_dir).filter("source = 'csv-export'")).groupBy("doc_id", F.col("arity").cast("bigint").alias("arity")).agg(F.countDistinct("row_no").alias("n_rows"))
+    return _cells(docs(spark, sf_dir)).groupBy("doc_id", F.col("arity").cast("bigint").alias("arity")).agg(F.countDistinct("row_no").alias("n_rows"))
 
 
 @book.frame("r03_column_streams", f"SELECT doc_id, col_no::bigint AS col_no, count(*) AS n_values, sum(strlen(cells[col_no + 1]))::bigint AS n_bytes, count(DISTINCT cells[col_no + 1]) AS n_distinct FROM {_CELLS_DUCK} GROUP BY ALL")
 def column_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column-major streams of delimited texts by size."""
-    c = _cells(docs(spark, sf_dir).filter("source = 'csv-export'"))
+    c = _cells(docs(spark, sf_dir))
     return c.groupBy("doc_id", F.col("col_no").cast("bigint").alias("col_no")).agg(F.count("*").alias("n_values"), F.sum(F.octet_length("cell")).alias("n_bytes"), F.countDistinct("cell").alias("n_distinct"))
 
 
 _RUNS = "[ \\t,;|\\r\\n]+|[^ \\t,;|\\r\\n]+"
 
 
+def _tables(df: DataFrame) -> DataFrame:
+    """Texts that are delimited tables: two lines or more, four in five of which hold the text's delimiter."""
+    lines = F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1), lambda x: x != "")
+    found = df.filter("text IS NOT NULL").withColumn("_delimiter", _delimiter(F.col("text"))).withColumn("_lines", lines)
+    holding = F.size(F.filter("_lines", lambda x: F.contains(x, F.col("_delimiter"))))
+    return found.filter((F.size("_lines") >= 2) & (holding >= 0.8 * F.size("_lines"))).select(*df.columns)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are source code: some line defines, imports or returns something."""
+    return docs(spark, sf_dir).filter(F.col("text").rlike(r"(?m)^[ \t]*(def \w+\(|class \w+|import \w+|from \w+ import |return\b)"))
+
+
 @book.frame("s08_token_runs", f"SELECT doc_id, len(regexp_extract_all(text, '{_RUNS}'))::bigint AS n_runs, len(regexp_extract_all(text, '[ \\t,;|\\r\\n]+'))::bigint AS n_separators FROM documents WHERE text IS NOT NULL")
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(_RUNS), 0)).cast("bigint").alias("n_runs"), F.size(F.regexp_extract_all("text", F.lit("[ \\t,;|\\r\\n]+"), 0)).cast("bigint").alias("n_separators"))
 
 
 book.sql("s09_source_bundles", "SELECT bundle_id, count(*) AS files, CAST(sum(octet_length(text)) AS BIGINT) AS n_bytes, min(path) AS first_path, max(path) AS last_path, count(DISTINCT path) = count(*) AS unique_paths FROM {documents} WHERE text IS NOT NULL GROUP BY bundle_id", "SELECT bundle_id, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, min(path) AS first_path, max(path) AS last_path, count(DISTINCT path) = count(*) AS unique_paths FROM {documents} WHERE text IS NOT NULL GROUP BY bundle_id")
-book.sql("s10_wiki_bundle", "SELECT doc_id, regexp_extract(text, '[|] name = ([^|}}]+)', 1) AS title_line, octet_length(text) AS n_bytes FROM {documents} WHERE source = 'wikitext-dump' AND text IS NOT NULL", "SELECT doc_id, regexp_extract(text, '[|] name = ([^|}}]+)', 1) AS title_line, strlen(text) AS n_bytes FROM {documents} WHERE source = 'wikitext-dump' AND text IS NOT NULL")
+book.sql("s10_wiki_bundle", "SELECT doc_id, regexp_extract(text, '[|] name = ([^|}}]+)', 1) AS title_line, octet_length(text) AS n_bytes FROM {documents} WHERE contains(text, '[[') OR contains(text, concat(chr(123), chr(123)))", "SELECT doc_id, regexp_extract(text, '[|] name = ([^|}}]+)', 1) AS title_line, strlen(text) AS n_bytes FROM {documents} WHERE contains(text, '[[') OR contains(text, concat(chr(123), chr(123)))")
 
 
 @book.frame("s11_bundle_prefix", "SELECT doc_id, bundle_id, running_size::bigint AS running_size FROM (SELECT doc_id, bundle_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY bundle_id ORDER BY path, doc_id ROWS UNBOUNDED PRECEDING) AS running_size FROM documents) WHERE running_size <= 20000")
@@ -152,28 +165,28 @@ book.sql("f06_json_documents", "SELECT doc_id, substring(regexp_replace(substrin
 
 @book.frame("f07_numeric_lexemes", f"SELECT doc_id, count(*) AS n_cells, count_if(regexp_full_match(cells[col_no + 1], '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)')) AS n_numeric FROM {_CELLS_DUCK} GROUP BY doc_id")
 def numeric_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cells(docs(spark, sf_dir).filter("source = 'csv-export'"))
+    c = _cells(docs(spark, sf_dir))
     return c.groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("cell").rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$")).alias("n_numeric"))
 
 
 book.sql("f08_json_numbers", "SELECT event_id, CAST(value AS STRING) RLIKE '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$' AS json_number FROM {events}", "SELECT event_id, regexp_full_match(CAST(value AS VARCHAR), '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?') AS json_number FROM {events}")
 
 
-@book.frame("f09_flat_json_records", f"SELECT doc_id, count(*) AS n_records, count_if(json_valid(p[rec_no]) AND coalesce(json_type(CASE WHEN json_valid(p[rec_no]) THEN p[rec_no] END), '') = 'OBJECT') AS n_objects FROM {_LINES_DUCK.replace('FROM documents WHERE', 'FROM documents WHERE source = ' + chr(39) + 'service-log' + chr(39) + ' AND')} WHERE rec_no < n OR p[rec_no] <> '' GROUP BY doc_id")
+@book.frame("f09_flat_json_records", f"SELECT doc_id, count(*) AS n_records, count_if(json_valid(p[rec_no]) AND coalesce(json_type(CASE WHEN json_valid(p[rec_no]) THEN p[rec_no] END), '') = 'OBJECT') AS n_objects FROM {_LINES_DUCK} WHERE rec_no < n OR p[rec_no] <> '' GROUP BY doc_id")
 def flat_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = r.json_skeletons(docs(spark, sf_dir).filter("source = 'service-log'"), "doc_id", "text")
+    s = r.json_skeletons(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count("skeleton").alias("n_objects"))
 
 
 @book.frame("f10_rectangular", f"SELECT doc_id, min(arity) = max(arity) AND min(arity) > 0 AS rectangular, max(arity)::bigint AS widest FROM {_CELLS_DUCK} GROUP BY doc_id")
 def rectangular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cells(docs(spark, sf_dir).filter("source = 'csv-export'"))
+    c = _cells(docs(spark, sf_dir))
     return c.groupBy("doc_id").agg(((F.min("arity") == F.max("arity")) & (F.min("arity") > 0)).alias("rectangular"), F.max("arity").cast("bigint").alias("widest"))
 
 
 book.sql("f11_path_rules", "SELECT id, path FROM {corpus_items} WHERE (path LIKE '%.csv' OR path LIKE '%.txt' OR path LIKE '%.jsonl' OR path LIKE '%.json') AND path NOT LIKE 'holdout/%' AND path NOT LIKE '%/vendor/%'")
 book.sql("f12_safe_paths", "SELECT id, path LIKE '/%' OR path LIKE '%..%' OR path LIKE '%//%' OR path = '' AS unsafe FROM {corpus_items}")
-book.sql("f13_page_filter", "SELECT doc_id FROM {documents} WHERE source = 'wikitext-dump' AND text <> '' AND NOT lower(text) LIKE '#redirect%' AND regexp_extract(text, '^([A-Za-z]+):', 1) = ''")
+book.sql("f13_page_filter", "SELECT doc_id FROM {documents} WHERE text <> '' AND NOT lower(text) LIKE '#redirect%' AND regexp_extract(text, '^([A-Za-z]+):', 1) = ''")
 book.sql("f16_token_savings", "SELECT doc_id, token, n FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, explode(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}', 0)) AS token FROM {documents}) t GROUP BY doc_id, token) c WHERE n >= 2 AND n * (length(token) - 2) - length(token) - 1 > 0", "SELECT doc_id, token, n FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,63}}')) AS token FROM {documents}) t GROUP BY doc_id, token) c WHERE n >= 2 AND n * (length(token) - 2) - length(token) - 1 > 0")
 
 
@@ -239,14 +252,28 @@ bytes_sql(
 bytes_sql("m01_order3_loss", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(0.5 AS DOUBLE)) / (seen - 1 + CAST(128 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, c3, b ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, c3 ORDER BY pos) AS seen FROM (SELECT doc_id, pos, b, concat(lag(b, 3, '') OVER w, lag(b, 2, '') OVER w, lag(b, 1, '') OVER w) AS c3 FROM <bytes> t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) l) r GROUP BY doc_id")
 bytes_sql("o10_dense_lane_cost", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(1 AS DOUBLE)) / (pos + CAST(256 AS DOUBLE))) / ln(2)), 3) AS bits FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS nth FROM <bytes> t) r GROUP BY doc_id")
 bytes_sql("w16_hot_regions", "SELECT doc_id, region, n_digits FROM (SELECT doc_id, region, n_digits, row_number() OVER (PARTITION BY doc_id ORDER BY n_digits DESC, region) AS place FROM (SELECT doc_id, CAST(floor(pos / 64.0) AS BIGINT) AS region, count_if(b BETWEEN '30' AND '39') AS n_digits FROM <bytes> t GROUP BY doc_id, CAST(floor(pos / 64.0) AS BIGINT)) c) r WHERE place <= 3")
-_HEX8 = "WITH h AS (SELECT doc_id, hex(encode(text, 'UTF-8')) AS x FROM {texts} WHERE octet_length(text) >= 8), g AS (SELECT doc_id, posexplode(transform(sequence(0, CAST(length(x) / 2 AS INT) - 8), p -> substring(x, 2 * p + 1, 16))) AS (p, gram) FROM h)"
-_HEX8_DUCK = "WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM {documents} WHERE strlen(text) >= 8), g AS (SELECT doc_id, p, substring(x, 2 * p + 1, 16) AS gram FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 7)) AS p FROM h) e)"
-for _name, _rest in (
-    ("j16_match_seeds", ", s AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id, gram ORDER BY p) AS distance FROM g) SELECT doc_id, count(*) AS positions, count_if(distance <= 65536) AS seeds FROM s GROUP BY doc_id"),
-    ("o05_repeat_overlay", ", s AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id, gram ORDER BY p) AS distance FROM g), c AS (SELECT doc_id, p, least(8, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 8)) AS covers FROM s WHERE distance <= 65536) SELECT doc_id, CAST(sum(covers) AS BIGINT) AS covered_bytes FROM c GROUP BY doc_id"),
-    ("m12_match_coverage", ", s AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id, gram ORDER BY p) AS distance FROM g) SELECT doc_id, round(count_if(distance <= 65536) / CAST(count(*) AS DOUBLE), 9) AS coverage FROM s GROUP BY doc_id"),
-):
-    book.sql(_name, _HEX8 + _rest, _HEX8_DUCK + _rest)
+_HEX8_DUCK = "WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE strlen(text) >= 8), g AS (SELECT doc_id, p, substring(x, 2 * p + 1, 16) AS gram FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 7)) AS p FROM h) e), s AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id, gram ORDER BY p) AS distance FROM g)"
+
+
+def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.repeat_rows(docs(spark, sf_dir), "doc_id", "text")
+
+
+@book.frame("j16_match_seeds", _HEX8_DUCK + " SELECT doc_id, count(*) AS positions, count_if(distance <= 65536) AS seeds FROM s GROUP BY doc_id")
+def match_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir).select("doc_id", "positions", "seeds")
+
+
+@book.frame("o05_repeat_overlay", _HEX8_DUCK + ", c AS (SELECT doc_id, p, least(8, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 8)) AS covers FROM s WHERE distance <= 65536) SELECT doc_id, CAST(sum(covers) AS BIGINT) AS covered_bytes FROM c GROUP BY doc_id")
+def repeat_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir).filter("covered IS NOT NULL").select("doc_id", F.col("covered").alias("covered_bytes"))
+
+
+@book.frame("m12_match_coverage", _HEX8_DUCK + " SELECT doc_id, round(count_if(distance <= 65536) / CAST(count(*) AS DOUBLE), 9) AS coverage FROM s GROUP BY doc_id")
+def match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir).select("doc_id", F.round(F.col("seeds") / F.col("positions"), 9).alias("coverage"))
+
+
 book.sql("o02_digit_overlay", "SELECT doc_id, length(text) - length(regexp_replace(text, '[0-9]', '')) AS n_digits FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits FROM {documents} WHERE text IS NOT NULL")
 _ISO = "[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})?"
 book.sql("o03_timestamp_overlay", "SELECT doc_id, length(text) - length(regexp_replace(text, '" + _ISO + "', '')) AS n_bytes FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, length(text) - length(regexp_replace(text, '" + _ISO + "', '', 'g')) AS n_bytes FROM {documents} WHERE text IS NOT NULL")
@@ -313,19 +340,19 @@ book.queries["r08_slot_residuals"] = lambda spark, d: r.slot_references(docs(spa
 book.queries["w08_zero_runs"] = lambda spark, d: r.length_references(docs(spark, d), "doc_id", "text").groupBy("referenced").agg(F.count("*").alias("n"), F.sum("residual_bytes").alias("n_bytes"))
 
 # --- JSON.
-_LOG_LINES_DUCK = "(SELECT doc_id, i AS rec_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE source = 'service-log' AND text IS NOT NULL)) WHERE i < len(p) OR p[i] <> '')"
+_LOG_LINES_DUCK = "(SELECT doc_id, i AS rec_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)) WHERE i < len(p) OR p[i] <> '')"
 
 
 @book.frame("r01_json_channels", f"SELECT field, count(*) AS n_values FROM (SELECT unnest(json_keys(line)) AS field FROM (SELECT line FROM {_LOG_LINES_DUCK} WHERE json_valid(line)) WHERE json_type(line) = 'OBJECT') GROUP BY field")
 def json_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = r.shred_json(docs(spark, sf_dir).filter("source = 'service-log'"), "doc_id", "text").filter("field IS NOT NULL")
+    f = r.shred_json(docs(spark, sf_dir), "doc_id", "text").filter("field IS NOT NULL")
     return f.groupBy("field").agg(F.count("*").alias("n_values"))
 
 
 @book.frame("r01_round_trip")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose raw fields can't be found again in their line: none."""
-    d = docs(spark, sf_dir).filter("source = 'service-log'")
+    d = docs(spark, sf_dir)
     fields = r.shred_json(d, "doc_id", "text")
     lines = _lines(d).select("doc_id", F.col("rec_no").cast("int").alias("rec_no"), "record")
     return fields.join(lines, ["doc_id", "rec_no"]).filter("instr(record, raw_value) = 0").select("doc_id", "rec_no", "field")
@@ -333,12 +360,12 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("x10_raw_fields")
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.shred_json(docs(spark, sf_dir).filter("source = 'service-log'"), "doc_id", "text")
+    return r.shred_json(docs(spark, sf_dir), "doc_id", "text")
 
 
 @book.frame("x11_skeletons")
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = r.json_skeletons(docs(spark, sf_dir).filter("source = 'service-log'"), "doc_id", "text")
+    s = r.json_skeletons(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy(F.sha2("skeleton", 256).alias("skeleton"), "n_values").agg(F.count("*").alias("n_records"))
 
 
@@ -472,7 +499,7 @@ def side_channel_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def modes(t: str):
         data = t.encode()
-        forms = {"raw": data, "delta": bytes((b - a) % 256 for a, b in zip(b"\0" + data, data)), "mtf": bytes(r.move_to_front(list(data)))}
+        forms = {"raw": data, "delta": bytes((b - a) % 256 for a, b in zip(b"\0" + data, data)), "mtf": r.move_to_front(data).astype("u1").tobytes()}
         sizes = {k: len(zlib.compress(v, 6)) for k, v in forms.items()}
         best = min(sizes, key=lambda k: (sizes[k], k))
         yield best, sizes[best]
@@ -537,7 +564,7 @@ def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("r19_template_columns")
 def template_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = r.wiki_template_rows(docs(spark, sf_dir).filter("source = 'wikitext-dump'"), "doc_id", "text")
+    t = r.wiki_template_rows(docs(spark, sf_dir).filter("contains(text, '{{')"), "doc_id", "text")
     return t.groupBy("template", "parameter").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).alias("n_bytes"), F.max("depth").alias("deepest"))
 
 
@@ -546,21 +573,21 @@ book.queries["t06_schema_order"] = lambda spark, d: template_columns(spark, d).s
 
 @book.frame("r20_source_tokens")
 def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = r.python_token_rows(docs(spark, sf_dir).filter("source = 'source-bundle'"), "doc_id", "text")
+    t = r.python_token_rows(_sources(spark, sf_dir), "doc_id", "text")
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("spelling").alias("n_distinct"))
 
 
 @book.frame("r20_identifier_ranks")
 def identifier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon id and the move-to-front rank of every name, text by text."""
-    t = docs(spark, sf_dir).filter("source = 'source-bundle'")
+    t = _sources(spark, sf_dir)
     return r.per_text(t, "doc_id", "text", "position int, lexicon_id int, first boolean, rank int", r.identifier_ranks, spread=True)
 
 
 @book.frame("j15_scope_bindings")
 def scope_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names used in a function after the last definition above them: (doc_id, name, defined_at, uses)."""
-    t = r.python_token_rows(docs(spark, sf_dir).filter("source = 'source-bundle'"), "doc_id", "text")
+    t = r.python_token_rows(_sources(spark, sf_dir), "doc_id", "text")
     w = Window.partitionBy("doc_id").orderBy("position")
     named = t.withColumn("before", F.lag("spelling").over(w)).filter("kind = 'name'")
     scoped = named.withColumn("scope", F.max(F.when(F.col("before") == "def", F.col("position"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -581,7 +608,7 @@ def recipe_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.frame("r04_table_backend")
 def table_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct, columns or store for each delimited table, with the reason and the level."""
-    b = r.per_text(docs(spark, sf_dir).filter("source = 'csv-export'"), "doc_id", "text", "backend string, level int, reason string, n_bytes bigint", lambda t: [r.table_backend(t.encode())], spread=True)
+    b = r.per_text(_tables(docs(spark, sf_dir)), "doc_id", "text", "backend string, level int, reason string, n_bytes bigint", lambda t: [r.table_backend(t.encode())], spread=True)
     return b.groupBy("backend", "level", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
 
 

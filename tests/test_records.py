@@ -60,8 +60,30 @@ def test_classes():
 
 
 def test_move_to_front():
-    assert r.move_to_front([1, 1, 2, 1]) == [0, 0, 1, 1]
-    assert r.move_to_front([]) == []
+    assert r.move_to_front(bytes([1, 1, 2, 1])).tolist() == [0, 0, 1, 1]
+    assert r.move_to_front(b"").tolist() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=80) | st.lists(st.sampled_from([3, 9, 200]), max_size=60).map(bytes))
+def test_move_to_front_by_lists(data):
+    order, want = sorted(set(data)), []
+    for c in data:
+        want.append(order.index(c))
+        order.insert(0, order.pop(want[-1]))
+    assert r.move_to_front(data).tolist() == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=60).map(str.encode))
+def test_repeats_by_dictionary(data):
+    last, seeds = {}, []
+    for i in range(len(data) - 7):
+        if i - last.get(data[i : i + 8], -(1 << 20)) <= 1 << 16:
+            seeds.append(i)
+        last[data[i : i + 8]] = i
+    covered = {j for i in seeds for j in range(i, i + 8)}
+    assert r.repeats(data) == (max(0, len(data) - 7), len(seeds), len(covered) if seeds else None)
 
 
 def test_grammar():
