@@ -411,10 +411,10 @@ def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.shred_json(docs(spark, sf_dir), "doc_id", "text")
 
 
-@book.frame("x10_scalars", f"SELECT * FROM ({_FIELDS_DUCK}) WHERE field IS NULL OR raw_value[1] NOT IN ('{{', '[')")
+@book.frame("x10_scalars", f"SELECT * FROM ({_FIELDS_DUCK}) WHERE field IS NULL OR raw_value[1] NOT IN ('{{', '[', chr(34))")
 def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw values but for objects and arrays, whose white space SQL doesn't keep."""
-    return raw_fields(spark, sf_dir).filter("field IS NULL OR left(raw_value, 1) NOT IN ('{', '[')")
+    """The raw numbers, flags and nulls; SQL keeps neither the escapes of texts nor the white space of objects and arrays."""
+    return raw_fields(spark, sf_dir).filter("field IS NULL OR left(raw_value, 1) NOT IN ('{', '[', char(34))")
 
 
 @book.frame("x11_skeletons")
