@@ -440,19 +440,14 @@ def byte_class_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def codec_sizes(data: bytes) -> dict[str, int]:
-    """Complete bytes by each standard codec that is importable here."""
+    """Complete bytes by each codec."""
     out = {"store": len(data)}
     out |= {f"gzip-{level}": len(gzip.compress(data, level, mtime=0)) for level in (1, 6, 9)}
     out |= {f"bz2-{level}": len(bz2.compress(data, level)) for level in (1, 9)}
     out |= {f"lzma-{preset}": len(lzma.compress(data, preset=preset)) for preset in (0, 6, 9)}
-    try:
-        import zstandard
-
-        for level in (1, 3, 9, 19):
-            out[f"zstd-{level}"] = len(zstandard.ZstdCompressor(level=level).compress(data))
-    except ImportError:
-        pass
-    return out
+    out |= {f"zstd-{level}": _zstd(data, level) for level in (1, 3, 9, 19)}
+    out |= {f"brotli-{level}": len(pa.Codec("brotli", compression_level=level).compress(data, asbytes=True)) for level in (1, 9)}
+    return out | {"lz4-1": len(pa.Codec("lz4").compress(data, asbytes=True))}
 
 
 def text_codec_sizes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -467,21 +462,6 @@ def incompressible(data: bytes, ratio: float = 0.97) -> bool:
     return len(sample) > 0 and len(gzip.compress(sample, 1, mtime=0)) >= ratio * len(sample)
 
 
-def recipe(data: bytes) -> tuple[str, str, int]:
-    """(recipe, reason, bytes): store what hardly compresses, else the smallest of the codecs; ties by name."""
-    if not data:
-        return "store", "empty", 0
-    if incompressible(data):
-        return "store", "sample hardly compresses", len(data)
-    sizes = codec_sizes(data)
-    best = min(sizes, key=lambda k: (sizes[k], k))
-    return best, "smallest candidate", sizes[best]
-
-
-def recipe_choices(df: DataFrame, key: str, text: str) -> DataFrame:
-    return per_text(df, key, text, "recipe string, reason string, n_bytes bigint", lambda t: [recipe(t.encode())], spread=True)
-
-
 def gorilla_bits(values: list[float]) -> int:
     """Bits of a series of doubles by XOR with the value before, reusing the last window of leading and trailing zeros."""
     bits, before, window = 0, 0, None

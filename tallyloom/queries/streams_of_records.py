@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import struct
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..operators import mixtures, ordered
 from ..operators import records as r
-from ..operators import rules
+from ..operators import rules, scopes, selectors
 from ..session import staged, table
 from .sqlbook import Book
 
@@ -567,8 +570,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("w09_xor_windows")
 def xor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import json
-
     return r.per_text(_vectors(spark, sf_dir), "vec_id", "text", "bits int", lambda t: [(r.gorilla_bits(json.loads(t)),)])
 
 
@@ -580,8 +581,6 @@ def numeric_block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = run.select("l_suppkey", "l_extendedprice", F.expr("(n - 1) div 1024").alias("block"), "n")
     blocks = prices.groupBy(F.concat(F.lit("price-"), "l_suppkey", F.lit("-"), "block").alias("block_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_extendedprice"))), lambda s: s["l_extendedprice"])).alias("text"))
     both = blocks.unionByName(_vectors(spark, sf_dir).select(F.concat(F.lit("vector-"), "vec_id").alias("block_id"), "text"))
-    import json
-
     modes = r.per_text(both, "block_id", "text", "mode string, n_bytes int", lambda t: [r.block_mode(json.loads(t))])
     return modes.groupBy(F.split("block_id", "-")[0].alias("kind"), "mode").agg(F.count("*").alias("n_blocks"), F.sum("n_bytes").alias("n_bytes"))
 
@@ -647,14 +646,21 @@ def identifier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.per_text(t, "doc_id", "text", "position int, lexicon_id int, first boolean, rank int", r.identifier_ranks, spread=True)
 
 
+_USES = "position int, name string, scope int, parent int, use string, distance int, rank int"
+
+
 @book.frame("j15_scope_bindings")
 def scope_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names used in a function after the last definition above them: (doc_id, name, defined_at, uses)."""
-    t = r.python_token_rows(_sources(spark, sf_dir), "doc_id", "text")
-    w = Window.partitionBy("doc_id").orderBy("position")
-    named = t.withColumn("before", F.lag("spelling").over(w)).filter("kind = 'name'")
-    scoped = named.withColumn("scope", F.max(F.when(F.col("before") == "def", F.col("position"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return scoped.groupBy("doc_id", "scope", F.col("spelling").alias("name")).agg(F.min("position").alias("defined_at"), F.count("*").alias("uses"))
+    """The scope of every name, and how many scopes further out the nearest one is that binds it."""
+    return r.per_text(_sources(spark, sf_dir), "doc_id", "text", _USES, scopes.scope_uses, spread=True)
+
+
+@book.frame("r20_scoped_identifiers")
+def scoped_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the names' occurrences by scopes: whether new, near or further out, and the rank in the table that has it."""
+    u = scope_bindings(spark, sf_dir)
+    size = 1 + F.when(F.col("rank") >= 0, x.varint_size(F.col("rank").cast("bigint"))).otherwise(1) + F.when(F.col("distance") > 0, x.varint_size(F.col("distance").cast("bigint"))).otherwise(0)
+    return u.groupBy("doc_id").agg(F.count("*").alias("names"), F.countDistinct("scope").alias("scopes"), *[F.count_if(F.col("use") == k).alias(k) for k in ("binding", "resolved", "free")], F.sum(size).alias("n_bytes"))
 
 
 @book.frame("r22_codec_sizes")
@@ -663,9 +669,22 @@ def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.col("doc.source").alias("source"), "codec").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
 
 
-@book.frame("r21_recipe_choice")
-def recipe_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.recipe_choices(docs(spark, sf_dir), "doc_id", "text").groupBy("recipe", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
+@book.frame("r21_selectors")
+def all_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the four general selectors keeps of each text, and why."""
+    rows = r.per_text(docs(spark, sf_dir), "doc_id", "text", "selector string, recipe string, reason string, n_bytes bigint", lambda t: selectors.every_selector(t.encode()), spread=True)
+    return rows.groupBy("selector", "recipe", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@book.frame("r21_word_columns")
+def word_column_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for binary columns: order keys of suppliers as 32-bit words, in blocks of up to 4096."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    run = ordered.running_total(li, ["l_suppkey"], ["l_orderkey", "l_linenumber"], F.lit(1), "n")
+    blocks = run.groupBy("l_suppkey", F.expr("(n - 1) div 4096").alias("block")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_orderkey"))), lambda v: v["l_orderkey"])).alias("text"))
+    words = lambda t: struct.pack(f"<{t.count(',') + 1}I", *(v & 0xFFFFFFFF for v in json.loads(t)))
+    rows = r.per_text(blocks, "l_suppkey", "text", "selector string, recipe string, reason string, n_bytes bigint", lambda t: selectors.every_selector(words(t)), spread=True)
+    return rows.groupBy("selector", "recipe", "reason").agg(F.count("*").alias("n_blocks"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @book.frame("r04_table_backend")
@@ -675,7 +694,15 @@ def table_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("backend", "level", "reason").agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"))
 
 
-book.queries["r14_matrix_backend"] = lambda spark, d: r.recipe_choices(_vectors(spark, d), "vec_id", "text").groupBy("recipe").agg(F.count("*").alias("n_vectors"), F.sum("n_bytes").alias("n_bytes"))
+@book.frame("r14_matrix_backend")
+def matrix_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of each block of 256 vectors as a matrix of 16 steps to the unit, and as one of signs."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 256").alias("block"), F.col("embedding").cast("array<double>").alias("e"))
+    steps, signs = F.transform("e", lambda c: F.floor(c * 16).cast("string")), F.transform("e", lambda c: F.when(c < 0, "-").otherwise("+"))
+    named = v.select("vec_id", "block", F.inline(F.array(F.struct(F.lit("steps").alias("matrix"), steps.alias("cells")), F.struct(F.lit("signs").alias("matrix"), signs.alias("cells")))))
+    blocks = named.groupBy("matrix", "block").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "cells"))), lambda x: x["cells"])).alias("text"))
+    rows = r.per_text(blocks, "matrix", "text", "backend string, reason string, n_bytes bigint", lambda t: [selectors.matrix_backend(json.loads(t))], spread=True)
+    return rows.groupBy("matrix", "backend", "reason").agg(F.count("*").alias("n_blocks"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @book.frame("m11_pair_grammar")
@@ -841,8 +868,6 @@ book.sql("x15_integer_math", "SELECT trial_id, length(bin(original_bytes)) AS bi
 @book.frame("x16_exact_decimals", "SELECT p_partkey, (list_position([" + ", ".join(f"format('{{:.{k}f}}', p_retailprice)::double = p_retailprice" for k in range(18)) + "], true) - 1)::int AS digits FROM part")
 def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many digits after the point give each price back bit by bit."""
-    import json
-
     def digits(t: str):
         v = json.loads(t)
         yield (next((d for d in range(18) if float(f"{v:.{d}f}") == v), None),)

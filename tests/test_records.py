@@ -156,12 +156,6 @@ def test_numeric_blocks():
     assert r.gorilla_bits([1.0, 1.0, 1.0]) == 66
 
 
-def test_recipes():
-    import os
-
-    assert r.recipe(b"")[0] == "store" and r.recipe(os.urandom(4096))[0] == "store" and r.recipe(b"a" * 4096)[0] != "store"
-
-
 def test_texts_with_nulls_and_extremes(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200_000), (3, "x")], "doc_id long, text string")
     assert r.shred_json(df, "doc_id", "text").count() == 2
