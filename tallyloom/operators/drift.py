@@ -22,6 +22,7 @@ from .nested import strict_json
 # JSON types as bits, so that the types of a path in a file are one integer that merges by OR. Nulls have none.
 STRING, NUMBER, BOOLEAN, ARRAY = 1, 2, 4, 8
 LIST_SECTION = "summary"
+BROADCAST_FILES, SALTS = 50_000, 32
 
 
 def _kind(v) -> int:
@@ -122,29 +123,37 @@ def field_changes(paths: DataFrame) -> DataFrame:
     without documents that parse has no fields; the first file of a lane has no changes. Where several paths that came
     and went share a signature, names decide (edit distance, then name), and a path takes part in one rename only.
     """
-    stats = paths.groupBy("lane", "file_no", "path").agg(F.bit_or("kinds").alias("kinds"))
+    stats = staged(paths.groupBy("lane", "file_no", "path").agg(F.bit_or("kinds").alias("kinds")), "p2-stats")
     in_lane = Window.partitionBy("lane").orderBy("file_no")
     files = stats.filter(F.col("path") == "").select("lane", "file_no", F.lag("file_no").over(in_lane).alias("prior_no"), F.lead("file_no").over(in_lane).alias("next_no"))
+    files = staged(files, "p2-files")
+    # Rows of one file meet one row about it: by a broadcast of a checked size, else dealt over SALTS tasks.
+    few = files.count() <= BROADCAST_FILES
+
+    def with_files(rows: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(files), ["lane", "file_no"])
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+        return dealt.join(files.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lane", "file_no", "_salt"]).drop("_salt")
 
     # Each file's fields beside those of the file before it.
-    placed = stats.filter(F.col("path") != "").join(files, ["lane", "file_no"])
+    placed = with_files(stats.filter(F.col("path") != ""))
     now = placed.filter(F.col("prior_no").isNotNull()).select("lane", "file_no", "path", F.col("kinds").alias("new_kinds"), F.lit(None).cast("int").alias("old_kinds"))
     before = placed.filter(F.col("next_no").isNotNull()).select("lane", F.col("next_no").alias("file_no"), "path", F.lit(None).cast("int").alias("new_kinds"), F.col("kinds").alias("old_kinds"))
     beside = now.unionByName(before).groupBy("lane", "file_no", "path").agg(F.max("new_kinds").alias("new_kinds"), F.max("old_kinds").alias("old_kinds"))
     old, new = F.col("old_kinds"), F.col("new_kinds")
     change = F.when(old.isNull(), "added").when(new.isNull(), "removed").when((old != 0) & (new != 0) & (old.bitwiseAND(new) == 0), "type")
-    changes = beside.select("lane", "file_no", "path", change.alias("kind")).filter(F.col("kind").isNotNull())
+    changes = staged(beside.select("lane", "file_no", "path", change.alias("kind")).filter(F.col("kind").isNotNull()), "p2-kinds")
 
     # Runs that both files hold.
-    runs = paths.filter((F.col("path") == "") & F.col("run_id").isNotNull()).select("lane", "file_no", "run_id").join(files, ["lane", "file_no"])
+    runs = with_files(paths.filter((F.col("path") == "") & F.col("run_id").isNotNull()).select("lane", "file_no", "run_id"))
     now_runs = runs.filter(F.col("prior_no").isNotNull()).select("lane", "file_no", "run_id", F.lit(1).alias("side"))
     before_runs = runs.filter(F.col("next_no").isNotNull()).select("lane", F.col("next_no").alias("file_no"), "run_id", F.lit(2).alias("side"))
     shared = now_runs.unionByName(before_runs).groupBy("lane", "file_no", "run_id").agg(F.bit_or("side").alias("sides")).filter("sides = 3").select("lane", F.col("file_no").alias("change_no"), "run_id")
 
     # Signatures of the values of paths that came or went.
     moved = (
-        changes.filter((F.col("kind") != "type") & _section(F.col("path")).isNotNull())
-        .join(files, ["lane", "file_no"])
+        with_files(changes.filter((F.col("kind") != "type") & _section(F.col("path")).isNotNull()))
         .select("lane", F.when(F.col("kind") == "added", F.col("file_no")).otherwise(F.col("prior_no")).alias("file_no"), "path", F.col("file_no").alias("change_no"), "kind")
     )
     values = (
@@ -161,7 +170,7 @@ def field_changes(paths: DataFrame) -> DataFrame:
     alike = came.join(went, ["lane", "change_no", "section", "n", "x", "s"]).withColumn("far", F.levenshtein("field_path", "prior_path"))
     best = lambda a, b: F.row_number().over(Window.partitionBy("lane", "change_no", a).orderBy("far", b))
     renames = alike.withColumn("i", best("field_path", "prior_path")).withColumn("j", best("prior_path", "field_path")).filter("i = 1 AND j = 1")
-    renames = renames.select("lane", F.col("change_no").alias("file_no"), "field_path", "prior_path")
+    renames = staged(renames.select("lane", F.col("change_no").alias("file_no"), "field_path", "prior_path"), "p2-renames")
 
     taken = renames.select("lane", "file_no", F.explode(F.array(F.struct(F.lit("added").alias("kind"), F.col("field_path").alias("path")), F.struct(F.lit("removed").alias("kind"), F.col("prior_path").alias("path")))).alias("t")).select("lane", "file_no", "t.*")
     rest = changes.join(taken, ["lane", "file_no", "kind", "path"], "left_anti")
