@@ -140,7 +140,7 @@ def record_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: cls, key, train) and (classes: cls, text, in_train, in_other, chunks, n, total): records of equal words
     as one class, with its chunks, their words and the number of its shingles. Staged."""
     r = records.select("key", "train", words_of(F.coalesce("content", F.lit(""))).alias("words")).filter(F.size("words") >= SHINGLE)
-    r = r.select("key", "train", F.concat_ws(" ", "words").alias("text")).withColumn("cls", F.unhex(F.md5("text")))
+    r = staged(r.select("key", "train", F.concat_ws(" ", "words").alias("text")).withColumn("cls", F.unhex(F.md5("text"))), "p5-records")
     members = r.select("cls", "key", "train")
     grouped = r.groupBy("cls").agg(F.any_value("text").alias("text"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_other"))
     words = F.split("text", " ")
