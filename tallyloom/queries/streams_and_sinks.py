@@ -98,13 +98,40 @@ def overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@book.frame("k08_scorecard")
+_BEST = "CASE WHEN compressed_percent = min(compressed_percent) OVER () THEN 'win: smallest' WHEN expanded_items > 0 THEN 'mixed: some items grow' ELSE 'loss: larger' END"
+_CARD = f"""(SELECT codec_id, items, compressed_percent, compression_mbps, CASE WHEN o LIKE 'win%' THEN '✅ ' WHEN o LIKE 'mixed%' THEN '⚠️ ' ELSE '❌ ' END || o AS outcome, row_number() OVER (ORDER BY compressed_percent, codec_id) AS place FROM (SELECT *, {_BEST} AS o FROM {DERIVED['summary'][1]}))"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = summary(spark, sf_dir)
+    least = s.agg(F.min("compressed_percent").alias("_least"))
+    kind = F.when(F.col("compressed_percent") == F.col("_least"), "win: smallest").when(F.col("expanded_items") > 0, "mixed: some items grow").otherwise("loss: larger")
+    return s.crossJoin(least).select("codec_id", "items", "compressed_percent", "compression_mbps", reports.outcome(kind).alias("outcome"))
+
+
+@book.frame("k08_scorecard", f"""SELECT 1 AS line_no, '| codec_id | items | compressed_percent | compression_mbps | outcome |' AS line UNION ALL SELECT 2, '|' || repeat(' --- |', 5) UNION ALL
+  SELECT place + 2, '| ' || concat_ws(' | ', codec_id, items, printf('%.2f', compressed_percent), printf('%.2f', compression_mbps), outcome) || ' |' FROM {_CARD}""")
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered scoreboard, one row per line."""
-    lines = reports.markdown_table(summary(spark, sf_dir).orderBy("compressed_percent", "codec_id")).splitlines()
-    return spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, line string")
+    return reports.markdown_lines(_scored(spark, sf_dir), ["compressed_percent", "codec_id"])
+
+
+@book.frame("k08_chart", f"""WITH c AS (SELECT * FROM {_CARD}), n AS (SELECT count(*) AS n, max(compressed_percent) AS m FROM c)
+  SELECT 1 AS line_no, printf('<svg xmlns="http://www.w3.org/2000/svg" width="860" height="%d"><title>Percent of the original size</title>', (n + 2) * 20) AS line FROM n UNION ALL
+  SELECT place + 1, printf('<g><text x="0" y="%d">%s</text><rect x="180" y="%d" width="%.2f" height="16"/><text x="%.2f" y="%d">%s</text></g>', place * 20 + 14, codec_id, place * 20, round(compressed_percent / m * 600, 2), round(compressed_percent / m * 600, 2) + 184, place * 20 + 14, printf('%.2f', compressed_percent)) FROM c, n UNION ALL
+  SELECT n + 2, '</svg>' FROM n""")
+def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoreboard as an SVG bar chart, one row per line."""
+    return reports.svg_lines(summary(spark, sf_dir), "codec_id", "compressed_percent", ["compressed_percent", "codec_id"], "Percent of the original size")
 
 
+@book.frame("k04_gate_report", f"""WITH g AS (SELECT codec_id, unnest(['compressed_percent', 'compression_mbps']) AS name, unnest([coalesce(compressed_percent <= 60, false), coalesce(compression_mbps >= 5, false)]) AS passed,
+    unnest([compressed_percent, compression_mbps]) AS actual, unnest([60.0::double, 5.0::double]) AS required FROM {DERIVED['summary'][1]})
+  SELECT 1 AS line_no, CASE WHEN bool_and(passed) THEN '**PASS**' ELSE '**FAIL**' END AS line FROM g UNION ALL SELECT 2, '' UNION ALL SELECT 3, '| codec_id | name | passed | actual | required |' UNION ALL SELECT 4, '|' || repeat(' --- |', 5) UNION ALL
+  SELECT 4 + row_number() OVER (ORDER BY codec_id, name), '| ' || concat_ws(' | ', codec_id, name, CASE WHEN passed THEN '✅ pass' ELSE '❌ fail' END, printf('%.2f', actual), printf('%.2f', required)) || ' |' FROM g""")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = gates.threshold_checks(summary(spark, sf_dir), "codec_id", {"compressed_percent": ("most", 60), "compression_mbps": ("least", 5)})
+    return reports.gate_lines(checks, ["codec_id", "name"])
 
 
 @book.frame("g02_ordered_segments", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM events")

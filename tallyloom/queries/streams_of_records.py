@@ -12,7 +12,8 @@ from ..functions import scalars as x
 from ..operators import mixtures, ordered
 from ..operators import records as r
 from ..operators import rules, scopes, selectors
-from ..session import staged, table
+from ..session import own_path, staged, table
+from ..sources import files
 from .sqlbook import Book
 
 book = Book()
@@ -25,8 +26,26 @@ book.sql("s02_conventional_manifest", "SELECT split, count(*) AS items, CAST(sum
 
 @book.frame("s03_binary_scan")
 def binary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "codecs", "mix_targets")])
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    """All files of the folder by size and digest."""
+    return files.binary_files(spark, sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "n_bytes", "sha256")
+
+
+@book.frame("s01_verified_files", "SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS problem WHERE false")
+def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the folder's files, written and read back, whose files are not there or have another size or digest."""
+    found = files.binary_files(spark, sf_dir)
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    items = found.select(F.lit(2).alias("schema_version"), F.array(F.struct(name.alias("id"), name.alias("path"), F.lit("train").alias("split"), F.col("n_bytes").alias("size_bytes"), "sha256")).alias("items"))
+    path = own_path(spark, "sinks", "manifest")
+    items.write.json(path)
+    return files.verify_manifest(files.manifest(spark, path, ["train"]), found, found.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1)).first()[0])
+
+
+def _archived(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The texts as members of archives of their bundles, each of up to 4,096 consecutive ids, named by path and id."""
+    part = F.concat_ws("-", "bundle_id", F.expr("doc_id div 4096"))
+    member = F.concat("path", F.lit("-"), "doc_id", F.lit(".txt"))
+    return files.packed_archives(docs(spark, sf_dir).select(part.alias("archive"), member.alias("member"), F.col("text").cast("binary").alias("content")), kind)
 
 
 _LINES_DUCK = "(SELECT doc_id, unnest(range(1, len(p) + 1)) AS rec_no, len(p) AS n, p FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))"
@@ -133,8 +152,40 @@ def bundle_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.prefix_under_cap(d, ["bundle_id"], ["path", "doc_id"], "n_bytes", 20_000).select("doc_id", "bundle_id", "running_size")
 
 
+@book.frame("s11_tar_prefix", "SELECT bundle_id, member, running_size::bigint AS running_size FROM (SELECT bundle_id, path || '-' || doc_id || '.txt' AS member, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY bundle_id ORDER BY path || '-' || doc_id || '.txt' ROWS UNBOUNDED PRECEDING) AS running_size FROM documents) WHERE running_size <= 20000")
+def tar_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe text members of the bundles' tar archives in path order until the first one that exceeds the byte cap."""
+    members = files.safe_members(files.tar_members(_archived(spark, sf_dir, "tar")), ["txt"])
+    sized = members.select(F.regexp_replace("archive", "-[0-9]+$", "").alias("bundle_id"), "member", F.octet_length("content").cast("bigint").alias("n_bytes"))
+    return ordered.prefix_under_cap(sized, ["bundle_id"], ["member"], "n_bytes", 20_000).select("bundle_id", "member", "running_size")
+
+
+@book.frame("s15_zip_prefix", f"SELECT doc_id, max(upto)::bigint AS n_bytes FROM (SELECT doc_id, sum(strlen(p[rec_no]) + 1) OVER (PARTITION BY doc_id ORDER BY rec_no) AS upto FROM {_LINES_DUCK} WHERE rec_no < n) WHERE upto <= 400 GROUP BY doc_id")
+def zip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the whole records within a cap of every gzip member of the bundles' zip archives."""
+    head = F.substring("content", 1, 400)
+    m = files.zip_members(_archived(spark, sf_dir, "zip+gzip"), "[.]txt[.]gz$")
+    cut = m.select(F.regexp_extract("member", "-([0-9]+)[.]txt$", 1).cast("bigint").alias("doc_id"), F.decode(head, "ISO-8859-1").alias("head"))
+    return cut.select("doc_id", F.length(F.regexp_extract("head", "(?s)^(.*\\n)", 1)).cast("bigint").alias("n_bytes")).filter("n_bytes > 0")
+
+
 _RANGES = "(SELECT 'a' AS family, 0 AS first_id, 499 AS last_id UNION ALL SELECT 'b', 700, 899 UNION ALL SELECT 'c', 90000000, 90000009)"
 book.sql("s13_range_scan", "SELECT r.family, count(e.event_id) AS n, count(e.event_id) = max(r.last_id - r.first_id + 1) AS complete, CAST(sum(octet_length(e.props)) AS BIGINT) AS n_bytes FROM " + _RANGES + " r LEFT JOIN {events} e ON e.event_id BETWEEN r.first_id AND r.last_id GROUP BY r.family", "SELECT r.family, count(e.event_id) AS n, count(e.event_id) = max(r.last_id - r.first_id + 1) AS complete, CAST(sum(strlen(e.props)) AS BIGINT) AS n_bytes FROM " + _RANGES + " r LEFT JOIN {events} e ON e.event_id BETWEEN r.first_id AND r.last_id GROUP BY r.family")
+@book.frame("s13_zip_ranges", "SELECT r.family, count(e.event_id) AS n, coalesce(count(e.event_id) = max(r.last_id - r.first_id + 1), false) AS complete, CAST(sum(strlen(e.props)) AS BIGINT) AS n_bytes FROM " + _RANGES + " r LEFT JOIN events e ON e.event_id BETWEEN r.first_id AND r.last_id GROUP BY r.family")
+def zip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of record ids of the JSON lines in zip archives, with their completeness; a record whose id isn't that of
+    its line is an error."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.to_json(F.struct("event_id", "props")).alias("line")))), lambda v: v["line"]), "\n")
+    parts = table(spark, sf_dir, "events").select("event_id", "props", F.expr("event_id div 8192").alias("part")).groupBy("part").agg(lines.alias("lines"), F.min("event_id").alias("first_id"))
+    packed = files.packed_archives(parts.select(F.col("part").cast("string").alias("archive"), F.concat(F.lit("events-"), "first_id", F.lit(".jsonl")).alias("member"), F.col("lines").cast("binary").alias("content")), "zip")
+    m = files.zip_members(packed, "[.]jsonl$").select(F.regexp_extract("member", "-([0-9]+)[.]", 1).cast("bigint").alias("first_id"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("at", "line"))
+    rows = m.select("first_id", "at", F.from_json("line", "event_id bigint, props string").alias("r")).select("first_id", "at", "r.*")
+    checked = rows.filter(F.assert_true(F.col("event_id") == F.col("first_id") + F.col("at")).isNull())
+    ranges = spark.createDataFrame([("a", 0, 499), ("b", 700, 899), ("c", 90000000, 90000009)], "family string, first bigint, last bigint")
+    met = F.broadcast(ranges).join(checked, F.col("event_id").between(F.col("first"), F.col("last")), "left")
+    return met.groupBy("family").agg(F.count("event_id").alias("n"), F.coalesce(F.count("event_id") == F.max(F.col("last") - F.col("first") + 1), F.lit(False)).alias("complete"), F.sum(F.octet_length("props")).alias("n_bytes"))
+
+
 book.sql("s14_range_disjoint", "SELECT a.family AS family_a, b.family AS family_b FROM " + _RANGES + " a JOIN " + _RANGES + " b ON a.first_id < b.first_id AND b.first_id <= a.last_id")
 
 

@@ -29,8 +29,24 @@ def test_tar_members(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             t.addfile(info, io.BytesIO(data))
-    got = {(r.member, r.content) for r in files.tar_members(spark, str(tmp_path / "a.tar"), ["py"], ["skip"]).collect()}
-    assert got == {("src/a.py", "x"), ("src/d.py", None)}
+    found = files.safe_members(files.tar_members(files.archives(spark, str(tmp_path / "a.tar"))), ["py"], ["skip"])
+    assert {(r.member, r.text) for r in found.select("member", files.utf8(found.content).alias("text")).collect()} == {("src/a.py", "x"), ("src/d.py", None)}
+
+
+def test_archives_round_trip(spark):
+    rows = [("a", f"d/{i}.txt", b"%d" % i * i) for i in range(20)] + [("b", "x", b""), ("b", "y", None)]
+    members = spark.createDataFrame(rows, "archive string, member string, content binary")
+    want = sorted((a, m, c or b"") for a, m, c in rows)
+    for kind, scan in (("tar", files.tar_members), ("zip", files.zip_members), ("zip+gzip", files.zip_members)):
+        assert sorted((r.archive, r.member, bytes(r.content)) for r in scan(files.packed_archives(members, kind)).collect()) == want, kind
+    assert files.zip_members(files.packed_archives(members, "zip"), "1[.]txt$").count() == 2
+    assert files.tar_members(files.packed_archives(members.limit(0), "tar")).count() == 0
+
+
+def test_paths_that_collide_are_not_kept(spark):
+    rows = [("a", m, b"") for m in ("x/A", "x/a", "x/b", "/abs", "x//y", "./z", "x\\y", "..")] + [("b", "x/A", b"")]
+    got = {(r.archive, r.member) for r in files.safe_members(spark.createDataFrame(rows, "archive string, member string, content binary")).collect()}
+    assert got == {("a", "x/b"), ("b", "x/A")}
 
 
 def test_wiki_dump(spark, tmp_path):

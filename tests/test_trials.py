@@ -38,7 +38,23 @@ def test_checks_and_reports(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", None)], "k string, v double")
     checks = gates.threshold_checks(df, "k", {"v": ("least", 5)})
     assert {(r.k, r.passed) for r in checks.collect()} == {("a", True), ("b", False)}
-    assert reports.gate_report(checks).startswith("**FAIL**") and reports.cell("a|b") == "a\\|b"
-    with pytest.raises(ValueError):
-        reports.markdown_table(spark.range(2000))
+    lines = [r.line for r in reports.gate_lines(checks, ["k", "name"]).orderBy("line_no").collect()]
+    assert lines == ["**FAIL**", "", "| k | name | passed | actual | required |", "| --- | --- | --- | --- | --- |", "| a | v | ✅ pass | 5.00 | 5.00 |", "| b | v | ❌ fail |  | 5.00 |"]
+    assert [r.line for r in reports.gate_lines(checks.filter("k = 'a'"), ["k"]).orderBy("line_no").collect()][0] == "**PASS**"
+    assert [r.line for r in reports.gate_lines(checks.limit(0), ["k"]).orderBy("line_no").collect()][0] == "**FAIL**"
+    many = reports.markdown_lines(spark.range(2500), ["id"]).orderBy("line_no").collect()
+    assert len(many) == 2502 and [r.line_no for r in many] == list(range(1, 2503)) and many[-1].line == "| 2499 |"
     assert gates.roster_violations(df.select("k"), df.select("k").filter("k = 'a'")).collect()[0].side == "unexpected"
+
+
+def test_markers_escapes_and_charts(spark):
+    df = spark.createDataFrame([("win: a|b", 2.0), ("Loss", 1.0), ("odd\\", None), (None, -1.0)], "k string, v double")
+    got = [r.o for r in df.select(reports.outcome(F.col("k")).alias("o")).collect()]
+    assert got == ["✅ win: a\\|b", "❌ Loss", "— odd\\\\", None]
+    lines = [r.line for r in reports.svg_lines(df.fillna({"k": "<&>"}), "k", "v", ["k"], "t").orderBy("line_no").collect()]
+    assert len(lines) == 6 and lines[0].startswith("<svg") and lines[-1] == "</svg>" and "&lt;&amp;&gt;" in lines[1]
+    import xml.etree.ElementTree as ET
+
+    widths = [float(r.get("width")) for r in ET.fromstring("\n".join(lines)).iter("{http://www.w3.org/2000/svg}rect")]
+    assert sorted(widths) == [0.0, 0.0, 300.0, 600.0]
+    assert [r.line for r in reports.svg_lines(df.limit(0), "k", "v", ["k"], "t").orderBy("line_no").collect()][-1] == "</svg>"
