@@ -512,6 +512,39 @@ def typed_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 book.sql("m13_field_conditioned", "SELECT event_type, k, n, round(-ln(n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)) / ln(2), 6) AS bits FROM (SELECT event_type, get_json_object(props, '$.k') AS k, count(*) AS n FROM {events} GROUP BY event_type, get_json_object(props, '$.k')) c", "SELECT event_type, k, n, round(-ln(n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)) / ln(2), 6) AS bits FROM (SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM {events} GROUP BY ALL) c")
 
+# Lanes by template and slot: numbers of up to 18 digits and ISO times, each against the value before it in its lane.
+_VALUE = "[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}|[0-9]+"
+_LANE_VALUES = f"""WITH v AS (SELECT doc_id, pos, <replace>(line, '{_VALUE}', '0'<g>) AS shape, slot, v FROM (SELECT doc_id, pos, line, <each> FROM <lines> l) e WHERE slot < 64),
+c AS (SELECT *, CASE WHEN length(v) = 19 AND v LIKE '%:%' THEN CASE WHEN TRY_CAST(replace(v, 'T', ' ') AS <stamp>) IS NOT NULL THEN 'time' ELSE 'other' END WHEN length(v) <= 18 THEN 'id' ELSE 'other' END AS class FROM v),
+n AS (SELECT *, CASE class WHEN 'id' THEN CAST(v AS BIGINT) WHEN 'time' THEN <seconds> END AS num FROM c),
+b AS (SELECT *, lag(class) OVER w AS before, num - lag(num) OVER w AS d FROM n WINDOW w AS (PARTITION BY doc_id, shape, slot ORDER BY pos))
+SELECT class, count(*) AS n, count_if(before = class) AS hits, count_if(before IS NULL) AS armed, count_if(before <> class) AS re_armed,
+  CAST(sum(CASE WHEN before = class AND d IS NOT NULL THEN greatest(1, ceil(length(bin(CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END)) / CAST(7 AS DOUBLE))) ELSE 0 END) AS BIGINT) AS delta_bytes FROM b GROUP BY class"""
+
+
+def _lane_sql(text: str, **parts: str) -> str:
+    for name, part in parts.items():
+        text = text.replace(f"<{name}>", part)
+    return text
+
+
+book.sql(
+    "o07_template_lanes",
+    _lane_sql(_LANE_VALUES, replace="regexp_replace", g="", lines=_LINE_ROWS, each=f"posexplode(regexp_extract_all(line, '{_VALUE}', 0)) AS (slot, v)", stamp="TIMESTAMP_NTZ", seconds="timestampdiff(SECOND, TIMESTAMP_NTZ '2000-01-01 00:00:00', TRY_CAST(replace(v, 'T', ' ') AS TIMESTAMP_NTZ))"),
+    _lane_sql(_LANE_VALUES, replace="regexp_replace", g=", 'g'", lines=_LINE_ROWS_DUCK, each=f"unnest(range(len(regexp_extract_all(line, '{_VALUE}')))) AS slot, unnest(regexp_extract_all(line, '{_VALUE}')) AS v", stamp="TIMESTAMP", seconds="CAST(epoch(TRY_CAST(replace(v, 'T', ' ') AS TIMESTAMP)) - 946684800 AS BIGINT)"),
+)
+@book.frame("m13_field_order1", """WITH v AS (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events), c AS (SELECT event_type, unnest(range(1, length(k) + 1)) AS i, k FROM v),
+  p AS (SELECT event_type, CASE WHEN i > 1 THEN k[i - 1] ELSE '' END AS before, k[i] AS ch, count(*) AS n FROM c GROUP BY ALL)
+  SELECT event_type, sum(n)::bigint AS n, abs(round(sum(-n * ln(n / total) / ln(2)), 3)) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY event_type, before)::double AS total FROM p) GROUP BY event_type""")
+def field_order1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideal bits of a field's characters after the one before, for each kind of record; counted before anything is ordered."""
+    k = F.get_json_object("props", "$.k")
+    chars = table(spark, sf_dir, "events").select("event_type", F.explode(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.struct(F.when(i > 1, F.substring(k, i - 1, F.lit(1))).otherwise("").alias("before"), F.substring(k, i, F.lit(1)).alias("ch")))).alias("c"))
+    p = chars.groupBy("event_type", "c.before", "c.ch").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("event_type", "before")).cast("double")
+    return p.withColumn("bits", -F.col("n") * F.log2(F.col("n") / total)).groupBy("event_type").agg(F.sum("n").alias("n"), F.abs(F.round(F.sum("bits"), 3)).alias("bits"))
+
+
 # --- Deltas and numeric codes.
 _D32 = "SELECT l_suppkey, l_orderkey, l_linenumber, ((l_orderkey - lag(l_orderkey, 1, 0) OVER w) % 4294967296 + 4294967296) % 4294967296 AS delta FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)"
 
@@ -637,6 +670,35 @@ def numeric_block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Bundles, neighbourhoods, grammars and codecs.
+def _lanes(rows: DataFrame, path: str, unique: str, more: dict) -> DataFrame:
+    """By lane: how many paths, the bytes of their front coding in path order, and further sums over the rows."""
+    run = ordered.with_previous(rows, ["lane"], [path, unique], {path: "before", unique: "id_before"})
+    prefix = x.common_prefix(F.col(path), F.coalesce("before", F.lit("")))
+    run = run.withColumn("prefix", prefix.cast("bigint")).withColumn("rest", F.octet_length(path) - F.octet_length(F.left(F.col(path), F.col("prefix").cast("int"))))
+    coded = x.varint_size(F.octet_length(F.left(F.col(path), F.col("prefix").cast("int"))).cast("bigint")) + x.varint_size(F.col("rest").cast("bigint")) + F.col("rest")
+    return run.groupBy("lane").agg(F.count("*").alias("files"), F.sum(coded).cast("bigint").alias("path_bytes"), *[F.sum(c).cast("bigint").alias(name) for name, c in more.items()])
+
+
+_V = "greatest(1, ceil(length(bin({})) / 7.0))::bigint"
+_FRONT_DUCK = "len(list_filter(range(1, least(length({p}), length(before)) + 1), lambda i: substring({p}, 1, i) = substring(before, 1, i)))"
+
+
+@book.frame("r16_source_lanes", f"""SELECT lane, count(*) AS files, sum({_V.format('k')} + {_V.format('strlen(path) - k')} + strlen(path) - k)::bigint AS path_bytes, sum(size_bytes)::bigint AS n_bytes FROM
+  (SELECT *, {_FRONT_DUCK.format(p='path')} AS k FROM (SELECT lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) AS lane, path, size_bytes, lag(path, 1, '') OVER (PARTITION BY lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) ORDER BY path, id) AS before FROM corpus_items)) GROUP BY lane""")
+def source_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files dealt to a lane per extension, with front-coded paths."""
+    lane = F.lower(F.regexp_extract("path", "[.]([A-Za-z0-9]+)$", 1)).alias("lane")
+    return _lanes(table(spark, sf_dir, "corpus_items").select(lane, "path", "id", "size_bytes"), "path", "id", {"n_bytes": F.col("size_bytes")})
+
+
+@book.frame("r17_page_lanes", f"""SELECT lane, count(*) AS files, sum({_V.format('k')} + {_V.format('strlen(path) - k')} + strlen(path) - k)::bigint AS path_bytes, sum({_V.format('CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END')})::bigint AS id_bytes, sum(n)::bigint AS n_bytes FROM
+  (SELECT *, {_FRONT_DUCK.format(p='path')} AS k FROM (SELECT regexp_extract(path, '^([^/]+)/', 1) AS lane, path, coalesce(strlen(text), 0) AS n, lag(path, 1, '') OVER w AS before, doc_id - lag(doc_id, 1, CAST(0 AS BIGINT)) OVER w AS d FROM documents WINDOW w AS (PARTITION BY regexp_extract(path, '^([^/]+)/', 1) ORDER BY path, doc_id))) GROUP BY lane""")
+def page_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages dealt to a lane per kind, with front-coded titles and differences of their ids."""
+    rows = docs(spark, sf_dir).select(F.regexp_extract("path", "^([^/]+)/", 1).alias("lane"), "path", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    return _lanes(rows, "path", "doc_id", {"id_bytes": x.varint_size(x.zigzag(F.col("doc_id") - F.coalesce("id_before", F.lit(0)))), "n_bytes": F.col("n")})
+
+
 book.sql("r16_extension_lanes", "SELECT regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) AS lane, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM {corpus_items} GROUP BY regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)")
 book.sql("r17_wiki_lanes", "SELECT regexp_extract(path, '^([^/]+)/', 1) AS lane, count(*) AS pages, CAST(max(doc_id) - min(doc_id) AS BIGINT) AS id_span FROM {documents} GROUP BY regexp_extract(path, '^([^/]+)/', 1)")
 # Windows of 48 bytes: at 0 for texts no longer than that, else evenly spaced, at most 16 of them.
@@ -764,7 +826,11 @@ def pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 tokens_sql("m05_token_dictionary", "SELECT doc_id, count_if(nth > 1) AS hits, CAST(sum(CASE WHEN nth = 1 THEN length(token) ELSE 0 END) AS BIGINT) AS literal_bytes FROM (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS nth FROM <tokens> t) r GROUP BY doc_id")
 tokens_sql("w13_token_code_length", "SELECT doc_id, round(sum(-ln((nth - 1 + CAST(0.5 AS DOUBLE)) / (pos + CAST(0.5 AS DOUBLE) * kinds)) / ln(2)), 3) AS bits FROM (SELECT t.doc_id, t.pos, k.kinds, row_number() OVER (PARTITION BY t.doc_id, t.token ORDER BY t.pos) AS nth FROM <tokens> t JOIN (SELECT doc_id, count(DISTINCT token) AS kinds FROM <tokens> t2 GROUP BY doc_id) k ON k.doc_id = t.doc_id) r GROUP BY doc_id")
-tokens_sql("t04_bytewise_order", "SELECT token, row_number() OVER (PARTITION BY substring(token, 1, 1) ORDER BY token) AS place FROM (SELECT DISTINCT token FROM <tokens> t) d")
+@book.frame("t04_bytewise_order", "SELECT token, row_number() OVER (PARTITION BY substring(token, 1, 1) ORDER BY token) AS place FROM (SELECT DISTINCT token FROM <tokens> t) d".replace("<tokens>", _TOKENS_DUCK.replace("{{", "{").replace("}}", "}").replace("{documents}", "documents")))
+def bytewise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each token's place among those of its first letter."""
+    found = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,63}"), 0)).alias("token")).distinct()
+    return ordered.running_total(found.withColumn("first", F.substring("token", 1, 1)), ["first"], ["token"], F.lit(1), "place").select("token", "place")
 
 
 _PACKED_DUCK = r"""WITH t AS (SELECT source, unnest(CASE WHEN source = 'wikitext-dump' THEN regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''\-]{2,63}') ELSE regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,63}') END) AS token FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
@@ -910,7 +976,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("text", x.size_bytes(F.col("text")).alias("n_bytes"))
 
 
-book.sql("x03_namespaces", "SELECT doc_id, lower(regexp_extract(path, '^([^/]{{1,64}})/', 1)) AS namespace FROM {documents}")
+book.sql("x03_namespaces", "SELECT doc_id, lower(trim(regexp_extract(text, '^([^:\n]{{1,64}}):', 1))) AS namespace FROM {documents} WHERE text IS NOT NULL")
 book.sql("x08_case_collisions", "SELECT lower(codec) AS folded, count(DISTINCT codec) AS spellings FROM {codec_census} GROUP BY lower(codec) HAVING count(DISTINCT codec) > 1")
 tokens_sql("x09_identifiers", "SELECT doc_id, count(*) AS n, min(token) AS first_token, max(length(token)) AS longest FROM <tokens> t GROUP BY doc_id")
 book.sql("x15_integer_math", "SELECT trial_id, length(bin(original_bytes)) AS bits, CAST(floor(sqrt(CAST(original_bytes AS DOUBLE))) AS BIGINT) AS root, least(greatest(repetition, 0), 5) AS clamped FROM (SELECT DISTINCT trial_id, original_bytes, repetition FROM {trials} WHERE original_bytes > 0) t")
