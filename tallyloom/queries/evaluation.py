@@ -169,6 +169,12 @@ def metric_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments.join(ordered.exact_quantiles(v, ["codec_id", "metric"], "value", {"median": 0.5}), ["codec_id", "metric"])
 
 
+@book.frame("a07_point_medians", f"SELECT codec_id, round(median(value), 6) AS median FROM (SELECT codec_id, repetition, sum(original_bytes) / 1e6::double / (sum(compression_ns) / 1e9::double) AS value FROM {C} WHERE roundtrip_ok AND repetition > 0 AND compression_ns > 0 GROUP BY codec_id, repetition) GROUP BY codec_id")
+def point_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The medians that the bootstrap intervals are about."""
+    return bootstrap_ci(spark, sf_dir).select("codec_id", F.round("median", 6).alias("median"))
+
+
 @book.frame("a07_bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of the median over repetitions of each codec's throughput."""

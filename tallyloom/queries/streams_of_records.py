@@ -628,7 +628,14 @@ def lane_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@book.frame("w04_move_to_front")
+# The rank of a byte is the number of others since its last use; of a new one, of those used and of the unused that are less.
+_MTF_DUCK = """WITH h AS (SELECT doc_id, list_transform(range(strlen(text)), lambda i: substring(hex(encode(text)), 2 * i + 1, 2)) AS w FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM h), q AS (SELECT doc_id, w, i, lag(i) OVER (PARTITION BY doc_id, w[i] ORDER BY i) AS before FROM p),
+r AS (SELECT doc_id, CASE WHEN before IS NOT NULL THEN len(list_distinct(w[before + 1 : i - 1])) ELSE len(list_distinct(w[1 : i - 1])) + len(list_filter(list_distinct(w), lambda c: c < w[i] AND NOT list_contains(w[1 : i - 1], c))) END AS rank FROM q)
+SELECT doc_id, count(*)::int AS n, sum(rank)::bigint AS rank_sum, count(*) FILTER (WHERE rank = 0)::int AS zeros FROM r GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, 0 FROM documents WHERE text = ''"""
+
+
+@book.frame("w04_move_to_front", _MTF_DUCK)
 def move_to_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.mtf_ranks(docs(spark, sf_dir), "doc_id", "text")
 
@@ -1016,16 +1023,30 @@ def smoke_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("id", "kind", x.splitmix64(F.col("id")).alias("seed"), x.repeat_to(F.concat_ws(" ", "kind", F.col("id").cast("string")), 256).alias("content"))
 
 
-@book.frame("s19_synthetic_ndjson")
+def _splitmix_duck(i: str) -> str:
+    """The generator's value at an index, in integers of 128 bits."""
+    z = f"(({i} + 1)::UHUGEINT * 11400714819323198485 % 18446744073709551616)::UBIGINT"
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        z = f"(xor({z}, {z} >> {shift})::UHUGEINT * {factor} % 18446744073709551616)::UBIGINT" if shift == 30 else f"(xor(z1, z1 >> {shift})::UHUGEINT * {factor} % 18446744073709551616)::UBIGINT"
+        if shift == 30:
+            first = z
+    return f"(SELECT id, xor(z2, z2 >> 31) AS u FROM (SELECT id, {z} AS z2 FROM (SELECT id, {first} AS z1 FROM (SELECT unnest(range(2000)) AS id))))".replace(i, "id")
+
+
+# Residues of the signed value, as it is taken from a signed column.
+_SIGNED = "((CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END) % {0} + {0}) % {0}"
+
+
+@book.frame("s19_synthetic_ndjson", f"""SELECT id, '{{"template":' || {_SIGNED.format(8)} || ',"session":' || {_SIGNED.format(31)} || ',"value":' || {_SIGNED.format(997)} || ',"ts":' || id * 10 || '}}' AS record FROM {_splitmix_duck('id')}""")
 def synthetic_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = spark.range(0, 2000).withColumn("r", x.splitmix64(F.col("id")))
     return i.select("id", F.to_json(F.struct(F.pmod("r", F.lit(8)).alias("template"), F.pmod("r", F.lit(31)).alias("session"), F.pmod("r", F.lit(997)).alias("value"), (F.col("id") * 10).alias("ts"))).alias("record"))
 
 
-@book.frame("s20_incompressible")
+@book.frame("s20_incompressible", "SELECT id, " + " || ".join(f"sha256('{k}:' || id)" for k in range(8)) + " AS block FROM (SELECT unnest(range(256)) AS id)")
 def incompressible_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = spark.range(0, 256)
-    return i.select("id", F.concat(*[F.sha2(F.concat_ws(":", F.lit(str(k)), F.col("id").cast("string")), 512) for k in range(4)]).alias("block"))
+    return i.select("id", F.concat(*[F.sha2(F.concat_ws(":", F.lit(str(k)), F.col("id").cast("string")), 256) for k in range(8)]).alias("block"))
 
 
 QUERIES, ORACLES = book.queries, book.oracles
