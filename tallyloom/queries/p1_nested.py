@@ -119,3 +119,9 @@ for _kind in ("artifacts", "binaries"):
     ORACLES[f"p1_{_kind}"] = _SQL + f"SELECT receipt_no, name AS child_key, '' AS parent_key, {_variant}, digest FROM digests WHERE kind = '{_kind}' AND digest <> ''"
     for _form in ("map", "tree", "entry"):
         ORACLES[f"p1_{_kind}_{_form}"] = ORACLES[f"p1_{_kind}"] + f" AND form = '{_form}'"
+_SUBTYPE = {
+    "a1_context": "'a1_context_typed'", "evidence": "'evidence_typed'", "tracks": "'tracks_typed'", "items": "'items_typed'",
+    "gates": "CASE WHEN variant LIKE '%gate_actual' THEN 'gates_actual' ELSE 'gates_plain' END", "rounds": "CASE WHEN variant LIKE '%round_memory' THEN 'rounds_memory' ELSE 'rounds_plain' END",
+    **{k: f"'{k}_' || regexp_extract(variant, '[a-z]+$')" for k in ("artifacts", "binaries")},
+}
+ORACLES["p1_variants"] = "SELECT child_table, subtype, variant, count(*) AS n_rows FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS child_table, {sub} AS subtype, variant FROM ({ORACLES[f'p1_{k}']})" for k, sub in _SUBTYPE.items()) + ") GROUP BY ALL"

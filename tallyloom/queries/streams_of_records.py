@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import keyword
 import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -748,8 +749,9 @@ def schema_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.running_total(c, [], ["l1", "template", "l2", "parameter"], F.lit(1), "place").select("template", "parameter", "place")
 
 
-_SOURCE_TOKENS_DUCK = r"""(SELECT unnest(regexp_extract_all(text, '[ \t\r\n\f]+|#[^\n]*|"[^"\n]*"|''[^''\n]*''|0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?|[\pL_][\pL\pN_]*|[\s\S]')) AS w
+_SOURCE_LISTS_DUCK = r"""(SELECT doc_id, regexp_extract_all(text, '[ \t\r\n\f]+|#[^\n]*|"[^"\n]*"|''[^''\n]*''|0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?|[\pL_][\pL\pN_]*|[\s\S]') AS l
   FROM documents WHERE regexp_matches(text, '(?m)^[ \t]*(def \w+\(|class \w+|import \w+|from \w+ import |return\b)'))"""
+_SOURCE_TOKENS_DUCK = f"(SELECT unnest(l) AS w FROM {_SOURCE_LISTS_DUCK})"
 
 
 @book.frame("r20_source_tokens", r"""SELECT kind, count(*) AS n, count(DISTINCT w) AS n_distinct FROM (SELECT w, CASE WHEN regexp_matches(w, '^[ \t\r\n\f]+$|^#') THEN 'trivia' WHEN length(w) > 1 AND (w[1] = '"' OR w[1] = '''') THEN 'string'
@@ -759,7 +761,11 @@ def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("spelling").alias("n_distinct"))
 
 
-@book.frame("r20_identifier_ranks")
+@book.frame("r20_identifier_ranks", rf"""WITH t AS (SELECT doc_id, list_filter(l, lambda x: NOT regexp_matches(x, '^[ \t\r\n\f]+$|^#')) AS l FROM {_SOURCE_LISTS_DUCK}), p AS (SELECT doc_id, l, unnest(range(len(l))) AS position FROM t),
+n AS (SELECT doc_id, position, l[position + 1] AS name FROM p WHERE regexp_matches(l[position + 1], '^[\pL_]') AND l[position + 1] NOT IN ({", ".join(repr(k) for k in keyword.kwlist)})),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS i, list(name) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS w FROM n),
+q AS (SELECT *, lag(i) OVER (PARTITION BY doc_id, name ORDER BY i) AS before, min(i) OVER (PARTITION BY doc_id, name) AS first_i FROM w)
+SELECT doc_id, position::int AS position, (dense_rank() OVER (PARTITION BY doc_id ORDER BY first_i) - 1)::int AS lexicon_id, before IS NULL AS first, CASE WHEN before IS NULL THEN -1 ELSE len(list_distinct(w[before + 1 : i - 1])) END::int AS rank FROM q""")
 def identifier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon id and the move-to-front rank of every name, text by text."""
     t = _sources(spark, sf_dir)
@@ -960,6 +966,12 @@ def integer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 book.sql("x14_digests", "SELECT doc_id, sha2(text, 256) AS sha256, md5(text) AS md5, sha1(text) AS sha1 FROM {documents} WHERE text IS NOT NULL", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1 FROM {documents} WHERE text IS NOT NULL")
 
 
+@book.frame("x14_fnv1a", """SELECT id, (CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END)::bigint AS fnv1a FROM
+  (SELECT id, list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(strlen(id)), lambda i: ascii(substring(id, i + 1, 1))::UBIGINT)), lambda h, b: (xor(h, b)::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT) AS h FROM codecs)""")
+def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udf_hashes(spark, sf_dir).select("id", "fnv1a")
+
+
 @book.frame("x14_udf_hashes")
 def udf_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "codecs")
