@@ -472,7 +472,14 @@ def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_fields(spark, sf_dir).filter("field IS NULL OR left(raw_value, 1) NOT IN ('{', '[', char(34))")
 
 
-@book.frame("x11_skeletons")
+# Objects of these lines hold arrays and objects of one level only, which SQL's patterns can span.
+_VALUE_RE = r'("(?:[^"\\]|\\.)*"\s*:\s*)("(?:[^"\\]|\\.)*"|\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}|\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*")*\]|[^,{}\[\]\s"]+)'
+
+
+@book.frame("x11_skeletons", f"""WITH l AS (SELECT p[rec_no] AS line FROM {_LINES_DUCK} WHERE rec_no < n OR p[rec_no] <> ''),
+v AS (SELECT CASE WHEN json_valid(line) AND coalesce(json_type(CASE WHEN json_valid(line) THEN line END), '') = 'OBJECT' THEN line END AS line FROM l),
+k AS (SELECT regexp_replace(line, '{_VALUE_RE}', '\\1' || chr(0), 'g') AS s, CASE WHEN line IS NULL THEN 0 ELSE len(json_keys(line)) END AS n_values FROM v)
+SELECT sha256(s) AS skeleton, n_values::int AS n_values, count(*) AS n_records FROM k GROUP BY ALL""")
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.json_skeletons(docs(spark, sf_dir), "doc_id", "text")
     return s.groupBy(F.sha2("skeleton", 256).alias("skeleton"), "n_values").agg(F.count("*").alias("n_records"))
@@ -1027,14 +1034,6 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Generators.
 
 
-@book.frame("s18_smoke_corpus")
-def smoke_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic items of eight categories from their numbers alone."""
-    kinds = ["logs", "records", "table", "ramp", "text", "noise", "sparse", "mixed"]
-    i = spark.range(0, 64).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % 8 + 1).cast("int")))
-    return i.select("id", "kind", x.splitmix64(F.col("id")).alias("seed"), x.repeat_to(F.concat_ws(" ", "kind", F.col("id").cast("string")), 256).alias("content"))
-
-
 def _splitmix_duck(i: str) -> str:
     """The generator's value at an index, in integers of 128 bits."""
     z = f"(({i} + 1)::UHUGEINT * 11400714819323198485 % 18446744073709551616)::UBIGINT"
@@ -1045,6 +1044,17 @@ def _splitmix_duck(i: str) -> str:
     return f"(SELECT id, xor(z2, z2 >> 31) AS u FROM (SELECT id, {z} AS z2 FROM (SELECT id, {first} AS z1 FROM (SELECT unnest(range(2000)) AS id))))".replace(i, "id")
 
 
+_KINDS = ["logs", "records", "table", "ramp", "text", "noise", "sparse", "mixed"]
+
+
+@book.frame("s18_smoke_corpus", f"""SELECT id, kind, (CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END)::bigint AS seed, left(repeat(kind || ' ' || id, 256), 256) AS content
+  FROM (SELECT id, u, {_KINDS}[id % 8 + 1] AS kind FROM {_splitmix_duck('id')} WHERE id < 64)""")
+def smoke_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic items of eight categories from their numbers alone."""
+    i = spark.range(0, 64).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("id") % 8 + 1).cast("int")))
+    return i.select("id", "kind", x.splitmix64(F.col("id")).alias("seed"), x.repeat_to(F.concat_ws(" ", "kind", F.col("id").cast("string")), 256).alias("content"))
+
+
 # Residues of the signed value, as it is taken from a signed column.
 _SIGNED = "((CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END) % {0} + {0}) % {0}"
 
