@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged, table
@@ -79,18 +79,27 @@ def route_mix(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[int
     return {k: flow.room[e ^ 1] for k, e in arcs.items() if flow.room[e ^ 1] > 0}
 
 
+def membership(sources: Column, listed: list[str]) -> Column:
+    """A document's pattern: its sources, as far as any mix lists them."""
+    return F.array_sort(F.array_intersect(F.array_compact(F.coalesce(sources, F.array().cast("array<string>"))), F.array(*[F.lit(s) for s in listed]).cast("array<string>")))
+
+
+def listed_sources(targets: DataFrame) -> list[str]:
+    return sorted(r["source"] for r in targets.select("source").distinct().collect() if r["source"] is not None)
+
+
 def plan_mixes(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plan: mix_id, source, target_share, max_repeats, quota, capacity, tokens, share) and
     (routes: mix_id, pattern, source, tokens, before).
 
     ``sized``: sources (array), tokens per document. ``targets``: mix_id, source, target_share, max_repeats, size_ratio.
-    Documents are reduced to their membership patterns by one aggregate; only patterns (at most MOST_PATTERNS, which is
-    checked) and the target rows reach the driver. Documents without tokens or with a null source count for the size
+    Documents are reduced to their membership patterns among the listed sources by one aggregate; only patterns (at most
+    MOST_PATTERNS, which is checked) and the target rows reach the driver. Documents without tokens or with a null source count for the size
     only by their tokens and are in no source. A source listed twice in a mix counts by its last row; null targets and
     negative shares count as 0, null repeats as 1. A mix of an empty corpus is empty.
     """
     spark = sized.sparkSession
-    by_pattern = sized.groupBy(F.array_sort(F.array_distinct(F.array_compact("sources"))).alias("pattern")).agg(F.sum("tokens").alias("tokens"))
+    by_pattern = sized.groupBy(membership(F.col("sources"), listed_sources(targets)).alias("pattern")).agg(F.sum("tokens").alias("tokens"))
     found = by_pattern.limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -116,7 +125,7 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFra
     return a, b
 
 
-def select_documents(sized: DataFrame, routes: DataFrame, seed: int = SEED) -> DataFrame:
+def select_documents(sized: DataFrame, routes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(mix_id, source, key, tokens, repeats): the documents of each mix and how often each is taken.
 
     A route of T tokens over a pattern that holds H takes every document floor(T / H) times and, of a seeded order, the
@@ -125,7 +134,7 @@ def select_documents(sized: DataFrame, routes: DataFrame, seed: int = SEED) -> D
     ever sorted as a whole, however many a source holds. ``routes`` has a row per mix, pattern and source; up to
     BROADCAST_ROUTES of them are broadcast, more meet the documents of their pattern dealt over SALTS tasks. Where a pattern serves several sources of a mix, each has its own order.
     """
-    d = sized.select("key", "tokens", F.array_sort(F.array_distinct(F.array_compact("sources"))).alias("pattern")).filter("tokens > 0")
+    d = sized.select("key", "tokens", membership(F.col("sources"), listed_sources(targets)).alias("pattern")).filter("tokens > 0")
     r = routes.select("mix_id", "pattern", "source", F.expr("tokens div held").alias("rounds"), F.expr("tokens % held").alias("rest"))
     r = F.broadcast(r) if r.count() <= BROADCAST_ROUTES else r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = d if "_salt" not in r.columns else d.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
@@ -161,7 +170,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = sized_documents(spark, sf_dir)
-    return select_documents(sized, plan_mixes(sized, table(spark, sf_dir, "mix_targets"))[1]).withColumnRenamed("key", "doc_id")
+    targets = table(spark, sf_dir, "mix_targets")
+    return select_documents(sized, plan_mixes(sized, targets)[1], targets).withColumnRenamed("key", "doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
