@@ -55,7 +55,7 @@ def _words(spark: SparkSession, texts: DataFrame) -> DataFrame:
         bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(trim(TRAILING :blanks FROM left(body, length(body) - mark)), :number, '0') AS body FROM marked),
         apart AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN octet_length(body) > length(body) AND body RLIKE :han THEN regexp_replace(body, :han, ' $0 ') ELSE body END AS body FROM bare WHERE body <> '')
         SELECT source, digest, n_chars, n_bytes, transform(concat(array('^', '^'), regexp_extract_all(body, :token, 0)),
-            w -> (xxhash64(w) & ~3L) | CASE WHEN w RLIKE :word THEN 1L WHEN w LIKE '0%' THEN 2L ELSE 0L END) AS words FROM apart""",
+            w -> (xxhash64(w) & ~3L) | CASE WHEN startswith(w, '0') THEN 2L WHEN w < 'A' THEN 0L WHEN w < '[' OR (w >= '_' AND w < '`') OR (w >= 'a' AND w < '{{') THEN 1L WHEN w < '\\u0080' THEN 0L WHEN w RLIKE :word THEN 1L ELSE 0L END) AS words FROM apart""",
         args=PATTERNS, texts=texts,
     )
 
