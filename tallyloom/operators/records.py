@@ -386,54 +386,6 @@ def pack_dictionary(text: str, cap: int) -> list[tuple[str, int]]:
     return out
 
 
-MAGIC = b"TLF1"
-
-
-def pack_frame(data: bytes, segment: int = 256) -> bytes:
-    """A frame of segments, each stored or deflated: magic, count, then recipe, sizes, checksum and payload of each."""
-    import zlib
-
-    parts = [data[i : i + segment] for i in range(0, len(data), segment)]
-    out = [MAGIC, struct.pack("<I", len(parts))]
-    for p in parts:
-        z = zlib.compress(p, 6)
-        kind, payload = (1, z) if len(z) < len(p) else (0, p)
-        out.append(struct.pack("<BIII", kind, len(p), len(payload), zlib.crc32(p)) + payload)
-    return b"".join(out)
-
-
-def inspect_frame(frame: bytes) -> list[tuple[int, str, int, int, int]]:
-    """(segment, recipe, original, payload, checksum) of a frame without decoding it; ValueError if it is damaged."""
-    if frame[:4] != MAGIC or len(frame) < 8:
-        raise ValueError("no frame")
-    out, at = [], 8
-    for n in range(struct.unpack_from("<I", frame, 4)[0]):
-        if at + 13 > len(frame):
-            raise ValueError("frame ends early")
-        kind, original, payload, check = struct.unpack_from("<BIII", frame, at)
-        at += 13 + payload
-        if kind > 1 or at > len(frame):
-            raise ValueError("damaged segment")
-        out.append((n, ("store", "deflate")[kind], original, payload, check))
-    if at != len(frame):
-        raise ValueError("bytes after the frame")
-    return out
-
-
-def unpack_frame(frame: bytes) -> bytes:
-    import zlib
-
-    out, at = [], 8
-    for _, kind, original, payload, check in inspect_frame(frame):
-        at += 13
-        part = frame[at : at + payload] if kind == "store" else zlib.decompress(frame[at : at + payload])
-        at += payload
-        if len(part) != original or zlib.crc32(part) != check:
-            raise ValueError("checksum mismatch")
-        out.append(part)
-    return b"".join(out)
-
-
 def byte_class_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, class, n_bytes) for each class that occurs."""
     return per_text(df, key, text, "class string, n_bytes bigint", lambda t: [(k, n) for k, n in byte_classes(t).items() if n])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from ..operators import mixtures, ordered
+from ..operators import frames, mixtures, ordered
 from ..operators import records as r
 from ..operators import rules, scopes, selectors
 from ..session import own_path, staged, table
@@ -911,14 +911,31 @@ def loss_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("s22_frame_metadata")
 def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of framed texts by recipe, read from the frames' headers."""
-    rows = r.per_text(docs(spark, sf_dir), "doc_id", "text", "segment int, recipe string, original int, payload int, checksum bigint", lambda t: r.inspect_frame(r.pack_frame(t.encode())))
+    """Segments of the texts' frames by recipe, read along the frames' heads."""
+    rows = r.per_text(docs(spark, sf_dir), "doc_id", "text", "recipe string, original bigint, payload bigint", lambda t: [x[1:4] for x in frames.inspect_frame(frames.pack_frame(t.encode(), 512)).segments], spread=True)
     return rows.groupBy("recipe").agg(F.count("*").alias("n_segments"), F.sum("original").alias("original"), F.sum("payload").alias("payload"))
 
 
-book.queries["s23_stream_metadata"] = lambda spark, d: r.per_text(docs(spark, d), "doc_id", "text", "n_segments int, n_bytes int", lambda t: [(len(r.inspect_frame(f)), len(f)) for f in [r.pack_frame(t.encode(), 1024)]])
+@book.frame("s23_stream_metadata", "SELECT doc_id, 'adaptive' AS layout, 3 AS version, strlen(text)::bigint AS original, sha256(text) AS sha256, ceil(strlen(text) / 1024.0)::int AS n_segments FROM documents WHERE text IS NOT NULL")
+def stream_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the head of each text's frame says."""
+    schema = "layout string, version int, original bigint, sha256 string, n_segments int"
+    return r.per_text(docs(spark, sf_dir), "doc_id", "text", schema, lambda t: [(x.layout, x.version, x.original, x.sha256, len(x.segments)) for x in [frames.inspect_frame(frames.pack_frame(t.encode(), 1024))]], spread=True)
+
+
+@book.frame("k09_segmented_sink", "SELECT doc_id, sum(strlen(text))::bigint AS n_bytes, ceil(max(strlen(text)) / 512.0)::bigint AS n_segments, md5(max(text)) AS digest FROM documents WHERE text <> '' GROUP BY doc_id")
+def segmented_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text written as one row per segment, read back, decoded and put together."""
+    path = own_path(spark, "sinks", "segments")
+    frames.segment_rows(docs(spark, sf_dir), "doc_id", "text", 512).write.partitionBy("recipe").parquet(path)
+    rows = spark.read.schema("doc_id bigint, " + frames.SEGMENT_ROWS).parquet(path)
+    whole = frames.decoded_segments(rows).groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.array_sort(F.collect_list(F.struct("segment", "data"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: F.decode(x["data"], "ISO-8859-1")), "")
+    return whole.select("doc_id", F.length(text).cast("bigint").alias("n_bytes"), "n_segments", F.md5(F.encode(text, "ISO-8859-1")).alias("digest"))
+
+
 book.oracles["k09_segmented_frames"] = "SELECT true AS intact, count(*) AS n FROM documents WHERE text IS NOT NULL"
-book.queries["k09_segmented_frames"] = lambda spark, d: r.per_text(docs(spark, d), "doc_id", "text", "intact boolean", lambda t: [(r.unpack_frame(r.pack_frame(t.encode())) == t.encode(),)]).groupBy("intact").agg(F.count("*").alias("n"))
+book.queries["k09_segmented_frames"] = lambda spark, d: r.per_text(docs(spark, d), "doc_id", "text", "intact boolean", lambda t: [(frames.unpack_frame(frames.pack_frame(t.encode(), 512)) == t.encode(),)], spread=True).groupBy("intact").agg(F.count("*").alias("n"))
 
 
 @book.frame("a29_manifest_digest", "SELECT bundle_id, count(*) AS files, sum(('0x' || substr(md5(path || chr(10) || coalesce(text, '')), 1, 12))::bigint)::bigint AS digest FROM documents GROUP BY bundle_id")

@@ -37,23 +37,6 @@ def test_duplicate_keys_are_kept_in_order():
     assert r.top_level_fields("{}") == []
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=600), st.integers(1, 300))
-def test_frames_round_trip(data, segment):
-    frame = r.pack_frame(data, segment)
-    assert r.unpack_frame(frame) == data
-    assert sum(s[2] for s in r.inspect_frame(frame)) == len(data)
-
-
-def test_damaged_frames_are_refused():
-    frame = r.pack_frame(b"some bytes" * 50)
-    for cut in range(len(frame)):
-        with pytest.raises(ValueError):
-            r.inspect_frame(frame[:cut])
-    with pytest.raises(ValueError):
-        r.inspect_frame(frame + b"x")
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.text())
 def test_classes_cover_every_byte(text):
