@@ -27,13 +27,13 @@ SALTS = 16  # tasks over which a form or an ending of very many texts is dealt
 # What exports leave behind a break, and white space.
 MARKS = r"(\.\.\.|…|\ufffd+|\\(?:u[0-9a-fA-F]{0,3})?|\[truncated\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|\(continued\)|&#?[A-Za-z0-9]{0,5}|<truncated>)$"
 BLANKS = " \t\n\r\f\u000b\u0085\u00a0\u2028\u2029\u3000\ufeff\u200b"
-NUMBER = r"\b0x[0-9A-Fa-f]+|[0-9]+(?:[.][0-9]+)*"
+HEX, NUMBER = r"\b0x[0-9A-Fa-f]++", r"[0-9]++(?:[.][0-9]++)*+"
 HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 # A token: a word with its hyphened parts, a number (0) with its letters, a line or cell end, a sign. Ideographs and kana
 # are words of their own and are set apart before.
 TOKEN = r"(?:[a-zA-Z_]++|[\p{L}\p{M}]++)(?:[a-zA-Z0_]++|-|[\p{L}\p{M}]++)*+|0(?:[a-zA-Z0_]++|-|\p{L}++)*+|[\n\t]|\S"
 WORD = r"^[\p{L}\p{M}_]"
-PATTERNS = {"marks": MARKS, "blanks": BLANKS, "number": NUMBER, "token": TOKEN, "word": WORD, "han": HAN}
+PATTERNS = {"marks": MARKS, "blanks": BLANKS, "hex": HEX, "number": NUMBER, "token": TOKEN, "word": WORD, "han": HAN}
 
 # Forms of a trigram from the most to the least specific: among whose texts it is counted (its source's or all), and
 # which of its words are kept; the others become their shapes. What precedes the last word says more about a cut than
@@ -52,7 +52,8 @@ def _words(spark: SparkSession, texts: DataFrame) -> DataFrame:
         WITH kept AS (SELECT xxhash64(source) AS source, unhex(md5(text)) AS digest, length(text) AS n_chars, octet_length(text) AS n_bytes, any_value(trim(TRAILING :blanks FROM text)) AS body
             FROM {texts} WHERE trim(BOTH :blanks FROM text) <> '' GROUP BY ALL),
         marked AS (SELECT *, length(regexp_extract(right(body, 16), :marks, 0)) AS mark FROM kept),
-        bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(trim(TRAILING :blanks FROM left(body, length(body) - mark)), :number, '0') AS body FROM marked),
+        ended AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN mark > 0 THEN trim(TRAILING :blanks FROM left(body, length(body) - mark)) ELSE body END AS body FROM marked),
+        bare AS (SELECT source, digest, n_chars, n_bytes, regexp_replace(CASE WHEN contains(body, '0x') THEN regexp_replace(body, :hex, '0') ELSE body END, :number, '0') AS body FROM ended),
         apart AS (SELECT source, digest, n_chars, n_bytes, CASE WHEN octet_length(body) > length(body) AND body RLIKE :han THEN regexp_replace(body, :han, ' $0 ') ELSE body END AS body FROM bare WHERE body <> '')
         SELECT source, digest, n_chars, n_bytes, transform(concat(array('^', '^'), regexp_extract_all(body, :token, 0)),
             w -> (xxhash64(w) & ~3L) | CASE WHEN startswith(w, '0') THEN 2L WHEN w < 'A' THEN 0L WHEN w < '[' OR (w >= '_' AND w < '`') OR (w >= 'a' AND w < '{{') THEN 1L WHEN w < '\\u0080' THEN 0L WHEN w RLIKE :word THEN 1L ELSE 0L END) AS words FROM apart""",
