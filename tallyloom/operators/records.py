@@ -310,7 +310,7 @@ def mtf_ranks(df: DataFrame, key: str, text: str) -> DataFrame:
         ranks = move_to_front(t.encode())
         yield len(ranks), int(ranks.sum()), int((ranks == 0).sum())
 
-    return per_text(df, key, text, "n int, rank_sum bigint, zeros int", rows)
+    return per_text(df, key, text, "n int, rank_sum bigint, zeros int", rows, spread=True)
 
 
 GRAM, REACH = 8, 1 << 16
@@ -388,7 +388,16 @@ def pack_dictionary(text: str, cap: int) -> list[tuple[str, int]]:
 
 def byte_class_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, class, n_bytes) for each class that occurs."""
-    return per_text(df, key, text, "class string, n_bytes bigint", lambda t: [(k, n) for k, n in byte_classes(t).items() if n])
+    return per_text(df, key, text, "class string, n_bytes bigint", lambda t: [(k, n) for k, n in byte_classes(t).items() if n], spread=True)
+
+
+LZMA_WINDOWS = {0: 1 << 18, 6: 1 << 23, 9: 1 << 26}  # fixed values: the window of each preset
+
+
+def _lzma(data: bytes, preset: int) -> int:
+    """Bytes at a preset. The window is no larger than the data, which changes no size but saves clearing a large one."""
+    window = min(LZMA_WINDOWS[preset], max(4096, 1 << max(0, len(data) - 1).bit_length()))
+    return len(lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": window}]))
 
 
 def codec_sizes(data: bytes) -> dict[str, int]:
@@ -396,7 +405,7 @@ def codec_sizes(data: bytes) -> dict[str, int]:
     out = {"store": len(data)}
     out |= {f"gzip-{level}": len(gzip.compress(data, level, mtime=0)) for level in (1, 6, 9)}
     out |= {f"bz2-{level}": len(bz2.compress(data, level)) for level in (1, 9)}
-    out |= {f"lzma-{preset}": len(lzma.compress(data, preset=preset)) for preset in (0, 6, 9)}
+    out |= {f"lzma-{preset}": _lzma(data, preset) for preset in LZMA_WINDOWS}
     out |= {f"zstd-{level}": _zstd(data, level) for level in (1, 3, 9, 19)}
     out |= {f"brotli-{level}": len(pa.Codec("brotli", compression_level=level).compress(data, asbytes=True)) for level in (1, 9)}
     return out | {"lz4-1": len(pa.Codec("lz4").compress(data, asbytes=True))}

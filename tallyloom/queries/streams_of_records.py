@@ -501,7 +501,7 @@ def segment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         columnar = sum(len(zlib.compress("\n".join(v).encode(), 6)) for v in [rest, *columns.values()])
         yield ("columnar" if columnar < direct else "direct"), direct, columnar
 
-    s = r.per_text(docs(spark, sf_dir), "doc_id", "text", "mode string, direct int, columnar int", modes)
+    s = r.per_text(docs(spark, sf_dir), "doc_id", "text", "mode string, direct int, columnar int", modes, spread=True)
     return s.groupBy("mode").agg(F.count("*").alias("n_segments"), F.sum(F.least("direct", "columnar")).alias("n_bytes"))
 
 
@@ -660,7 +660,7 @@ def side_channel_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         best = min(sizes, key=lambda k: (sizes[k], k))
         yield best, sizes[best]
 
-    return r.per_text(docs(spark, sf_dir), "doc_id", "text", "mode string, n_bytes int", modes).groupBy("mode").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    return r.per_text(docs(spark, sf_dir), "doc_id", "text", "mode string, n_bytes int", modes, spread=True).groupBy("mode").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

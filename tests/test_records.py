@@ -139,6 +139,16 @@ def test_numeric_blocks():
     assert r.gorilla_bits([1.0, 1.0, 1.0]) == 66
 
 
+@pytest.mark.parametrize("size", [0, 1, 5000, 400_000])
+def test_windows_change_no_size(size):
+    import lzma
+    import random
+
+    data = bytes(random.Random(size).choices(b"abcdefgh ", k=size))
+    for preset in r.LZMA_WINDOWS:
+        assert r.codec_sizes(data)[f"lzma-{preset}"] == len(lzma.compress(data, preset=preset))
+
+
 def test_texts_with_nulls_and_extremes(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200_000), (3, "x")], "doc_id long, text string")
     assert r.shred_json(df, "doc_id", "text").count() == 2
