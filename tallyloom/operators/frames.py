@@ -50,7 +50,7 @@ LAYOUTS = {
     b"TBS1": Layout("table", (1,), (("4s", "magic"), ("B", "version"), ("B", "flags"), ("H", "skip"), ("Q", "segment_size"), ("Q", "record_slack"), ("Q", "original"), ("Q", "payload"), ("32s", "sha256"), ("32s", "payload_sha256"), ("I", "count")), (("Q", "original"), ("Q", "payload"))),
 }
 BACKEND = 6  # of a segmented adaptive frame
-CLAB = LAYOUTS[b"CLAB"]
+ADAPTIVE = LAYOUTS[b"CLAB"]
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,11 @@ def inspect_frame(frame: bytes) -> Frame:
     if head["version"] not in layout.versions or any(head[k] for k in head if k.startswith("skip")):
         raise ValueError(f"unknown version of {layout.name} frames")
     original, found = head["original"], []
-    if layout is CLAB and head["version"] in LEGACY:
+    if layout is ADAPTIVE and head["version"] in LEGACY:
         if original:
             found.append((0, f"legacy-backend-{head['backend']}", original, len(frame) - at, None, at))
         return Frame(layout.name, head["version"], original, len(frame), head["sha256"].hex(), tuple(found))
-    if layout is CLAB:
+    if layout is ADAPTIVE:
         if head["backend"] != BACKEND or at + 4 > len(frame):
             raise ValueError("no segments")
         count, at = struct.unpack_from(">I", frame, at)[0], at + 4
@@ -133,8 +133,8 @@ def segments_of(data: bytes, size: int = selectors.SEGMENT) -> Iterator[tuple[in
 def pack_frame(data: bytes, size: int = selectors.SEGMENT) -> bytes:
     """A segmented adaptive frame."""
     parts = list(segments_of(data, size))
-    body = [CLAB.write("segment", recipe=r, original=n, payload=len(p), checksum=c) + p for _, r, n, p, c in parts]
-    head = CLAB.write("head", magic=b"CLAB", version=SEGMENTED, backend=BACKEND, original=len(data), sha256=hashlib.sha256(data).digest())
+    body = [ADAPTIVE.write("segment", recipe=r, original=n, payload=len(p), checksum=c) + p for _, r, n, p, c in parts]
+    head = ADAPTIVE.write("head", magic=b"CLAB", version=SEGMENTED, backend=BACKEND, original=len(data), sha256=hashlib.sha256(data).digest())
     return b"".join([head, struct.pack(">I", len(parts)), *body])
 
 

@@ -881,6 +881,19 @@ book.queries["m08_context_mixture"] = lambda spark, d: mixtures.arm_rows(docs(sp
 book.queries["m15_expert_credit"] = lambda spark, d: _arms(spark, d, ("credit",))
 
 
+@book.frame("m14_quarter_losses")
+def quarter_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits by source and quarter of the texts under the adaptive mixture."""
+    rows = mixtures.quarter_rows(docs(spark, sf_dir).select(F.struct("doc_id", "source").alias("doc"), "text"), "doc", "text")
+    return rows.groupBy(F.col("doc.source").alias("source"), "quarter").agg(F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("bits"), 3).alias("bits"))
+
+
+@book.frame("m14_quarter_bytes", "SELECT source, q AS quarter, sum(strlen(text) * q // 4 - strlen(text) * (q - 1) // 4)::bigint AS n_bytes FROM documents, (SELECT unnest([1, 2, 3, 4]) AS q) WHERE text <> '' GROUP BY ALL")
+def quarter_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes behind the quarters' losses."""
+    return quarter_losses(spark, sf_dir).select("source", "quarter", "n_bytes")
+
+
 @book.frame("m10_frozen_weights")
 def frozen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits by source under weights that were trained on all texts and then stay, beside equal ones."""

@@ -53,7 +53,7 @@ def test_streams_and_older_frames():
     for broken in (whole[:-1], whole[:-1] + b"?", stream(b"JLS2", 9, []), b"NOPE" + whole[4:]):
         with pytest.raises(ValueError):
             f.inspect_frame(broken)
-    old = f.CLAB.write("head", magic=b"CLAB", version=1, backend=1, original=9, sha256=b"s" * 32) + b"payload"
+    old = f.ADAPTIVE.write("head", magic=b"CLAB", version=1, backend=1, original=9, sha256=b"s" * 32) + b"payload"
     assert f.inspect_frame(old).segments == ((0, "legacy-backend-1", 9, 7, None, len(old) - 7),)
 
 

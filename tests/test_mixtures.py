@@ -72,5 +72,7 @@ def test_rows_and_training(spark, monkeypatch):
     assert trained[3] < equal[3]
     classes = m.class_losses(df, "doc_id", "text", r.class_runs).groupBy("doc_id").sum("n_bytes").collect()
     assert {x[0]: x[1] for x in classes} == {3: 900, 4: 10}
+    quarters = {(x.doc_id, x.quarter): (x.n_bytes, x.bits) for x in m.quarter_rows(df.filter("doc_id = 3"), "doc_id", "text").collect()}
+    assert [quarters[3, k][0] for k in (1, 2, 3, 4)] == [225] * 4 and quarters[3, 4][1] < quarters[3, 1][1] / 3
     assert m.trained_weights(df.limit(0), "doc_id", "text") == [1 / len(m.EXPERTS)] * len(m.EXPERTS)
     assert m.arm_rows(df.limit(0), "doc_id", "text").count() == 0
