@@ -64,7 +64,7 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.frame("k07_checksums")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.checksums(spark, f"{sf_dir}/codecs.parquet")
+    return sinks.checksums(spark, sf_dir)
 
 
 @book.frame("k04_gate_checks", f"""SELECT codec_id, unnest(['compressed_percent', 'compression_mbps', 'decompression_mbps']) AS name, unnest([coalesce(compressed_percent <= 60, false), coalesce(compression_mbps >= 5, false), coalesce(decompression_mbps >= 50, false)]) AS passed,

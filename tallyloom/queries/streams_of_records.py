@@ -973,6 +973,12 @@ def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.learned_rules(rules.family_rows(texts.select("source", F.array_join("t.text", "\n").alias("text")), "source", "text"))
 
 
+@book.frame("m20_held_out")
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of frozen rules on the source that each of them has not seen, against what would have won."""
+    return learned_rules(spark, sf_dir).filter("holdout IS NOT NULL").groupBy("wins", "decision").agg(F.count("*").alias("n_sources"))
+
+
 book.sql("m20_frozen_rule", f"SELECT wins, size > 800 AS predicted, count(*) AS n FROM {_RULE_ROWS} r GROUP BY wins, size > 800")
 book.sql("m18_projected_gain", "SELECT source, count(*) AS n, CAST(sum(octet_length(text)) AS BIGINT) AS n_bytes, round(avg(octet_length(text)), 6) AS mean, round(avg(octet_length(text)) + 2 * stddev_pop(octet_length(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source", "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, round(avg(strlen(text)), 6) AS mean, round(avg(strlen(text)) + 2 * stddev_pop(strlen(text)) / sqrt(count(text)), 3) AS upper_bound FROM {documents} WHERE text IS NOT NULL GROUP BY source")
 
