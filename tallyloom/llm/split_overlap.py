@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import mix64
 from ..operators.differences import digest_text
 from ..session import staged, table
 
@@ -24,26 +29,72 @@ def words_of(content: Column) -> Column:
     return F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), 0)
 
 
-def chunks_of(words: Column) -> Column:
-    """The distinct chunks of a list of words, each packed into one number of its digest and its words.
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the runs values[start:end]: sums of values over powers of an odd base, from each run's start on, and the
+    runs' lengths, modulo 2**64. Equal runs have equal hashes wherever they stand."""
+    def powers_of(factor: int) -> np.ndarray:
+        powers = np.full(len(values) + 1, factor, np.uint64)
+        powers[0] = 1
+        return np.cumprod(powers, dtype=np.uint64)
 
-    A rolling hash of two neighbouring words cuts before the second, so cuts depend on content only and an edit moves
-    no cut but its own."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    upto = np.zeros(len(values) + 1, np.uint64)
+    upto[1:] = np.cumsum(values * powers_of(pow(base, -1, 1 << 64))[:-1], dtype=np.uint64)
+    powers = powers_of(base)
+    return mix64((upto[end] - upto[start]) * powers[start] + (end - start).astype(np.uint64))
 
-    def cut(h: Column) -> Column:
-        rolled = lambda i: F.call_function("shiftleft", F.element_at(h, i), F.lit(1)).bitwiseXOR(F.element_at(h, i + 1))
-        inner = F.when(F.size(h) > 1, F.sequence(F.lit(1), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-        cuts = F.filter(inner, lambda i: F.shiftrightunsigned(rolled(i), 17).bitwiseAND(F.lit(CUT_MASK)) == 0)
-        bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.size(h)))
-        whole = F.arrays_zip(F.slice(bounds, F.lit(1), F.size(bounds) - 1).alias("a"), F.slice(bounds, F.lit(2), F.size(bounds) - 1).alias("b"))
-        starts = F.flatten(F.transform(whole, lambda x: F.sequence(x["a"], F.greatest(x["b"] - 1, x["a"]), F.lit(MOST_WORDS))))
-        parts = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(h))).alias("b"))
-        low = (1 << LENGTH_BITS) - 1
-        chunk = lambda x: F.xxhash64(F.slice(h, x["a"] + 1, x["b"] - x["a"])).bitwiseAND(F.lit(~low)).bitwiseOR((x["b"] - x["a"]).cast("bigint"))
-        return F.array_distinct(F.transform(parts, chunk))
 
-    return F.transform(F.array(hashes), cut)[0]
+def _distinct(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (group, value) in order."""
+    order = np.lexsort((values, group))
+    group, values = group[order], values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (values[1:] != values[:-1])
+    return group[fresh], values[fresh]
+
+
+def chunk_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(chunks, n, total) of texts of words with single spaces between them: the distinct chunks of each, every one packed
+    into a number of its digest and its words; how many distinct shingles it has; and the words of its chunks.
+
+    A rolling hash of two neighbouring words cuts before the second, so cuts depend on content only and an edit moves
+    no cut but its own. A whole batch of texts is hashed and cut at once."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    space = data == 0x20
+    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(space) + 1)
+    ends = np.union1d(offsets[1:][np.diff(offsets) > 0], np.flatnonzero(space))
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    words = _sums(data.astype(np.uint64) + np.uint64(1), starts, ends, 0x2545F4914F6CDD1D)
+    at = np.arange(len(words))
+    cut = np.ones(len(words), bool)
+    cut[1:] = (text[1:] != text[:-1]) | (((words[:-1] << np.uint64(1) ^ words[1:]) >> np.uint64(17)) & np.uint64(CUT_MASK) == 0)
+    cut |= (at - np.maximum.accumulate(np.where(cut, at, 0))) % MOST_WORDS == 0
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(words))
+    low = np.uint64((1 << LENGTH_BITS) - 1)
+    packed = ((_sums(words, first, last, 0x9E3779B97F4A7C15) & ~low) | (last - first).astype(np.uint64)).view(np.int64)
+    of, chunks = _distinct(text[first], packed)
+    ends_of = np.searchsorted(of, np.arange(len(texts) + 1))
+    total = np.bincount(of, chunks & int(low), len(texts)).astype(np.int64)
+    whole = text[2:] == text[:-2] if len(words) > 2 else np.empty(0, bool)
+    shingles = mix64(words[:-2] * np.uint64(0xBF58476D1CE4E5B9) + words[1:-1] * np.uint64(0x94D049BB133111EB) + words[2:])[whole] if len(words) > 2 else np.empty(0, np.uint64)
+    of_shingle, _ = _distinct(text[:-2][whole] if len(words) > 2 else np.empty(0, np.int64), shingles)
+    n = np.bincount(of_shingle, minlength=len(texts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.array(chunks)), n, total
+
+
+def with_chunks(classes: DataFrame) -> DataFrame:
+    """``classes`` (cls, text, in_train, in_other) with the columns of ``chunk_texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                chunks, n, total = chunk_texts(b.column(1))
+                yield pa.RecordBatch.from_arrays([*b.columns, chunks, pa.array(n), pa.array(total)], ["cls", "text", "in_train", "in_other", "chunks", "n", "total"])
+
+    return classes.select("cls", "text", "in_train", "in_other").mapInArrow(run, "cls binary, text string, in_train boolean, in_other boolean, chunks array<bigint>, n int, total bigint")
 
 
 def shingles_of(words: Column) -> Column:
@@ -143,9 +194,7 @@ def record_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = staged(r.select("key", "train", F.concat_ws(" ", "words").alias("text")).withColumn("cls", F.unhex(F.md5("text"))), "p5-records")
     members = r.select("cls", "key", "train")
     grouped = r.groupBy("cls").agg(F.any_value("text").alias("text"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_other"))
-    words = F.split("text", " ")
-    classes = grouped.withColumn("chunks", chunks_of(words)).withColumn("n", F.size(shingles_of(words))).withColumn("total", total_words(F.col("chunks")))
-    return members, staged(classes, "p5-classes")
+    return members, staged(with_chunks(grouped), "p5-classes")
 
 
 def candidates(classes: DataFrame, exact: bool) -> DataFrame:
@@ -184,8 +233,11 @@ def overlapping_classes(records: DataFrame, exact: bool = False) -> tuple[DataFr
     The chunk way is exact for pairs with LEAST_OVERLAP of both in equal chunks, which short similar records may not
     reach; with ``exact`` all classes look by shingles as well, which finds every similar pair."""
     members, classes = record_classes(records)
-    met = candidates(classes, exact)
-    side = lambda x, name: classes.select(F.col("cls").alias(name), F.col("chunks").alias(f"{x}_chunks"), F.col("text").alias(f"{x}_text"), F.col("total").alias(f"{x}_words"))
+    met = staged(candidates(classes, exact), "p5-candidates")
+    # What takes part in a pair is mostly far less than all; its texts meet the pairs from a table of their own.
+    part = met.select(F.explode(F.array("train_cls", "other_cls")).alias("cls")).distinct()
+    compared = staged(classes.select("cls", "text", "chunks", "total").join(staged(part, "p5-part"), "cls", "left_semi"), "p5-compared")
+    side = lambda x, name: compared.select(F.col("cls").alias(name), F.col("chunks").alias(f"{x}_chunks"), F.col("text").alias(f"{x}_text"), F.col("total").alias(f"{x}_words"))
     both = met.join(side("a", "train_cls"), "train_cls").join(side("b", "other_cls"), "other_cls")
     shared = total_words(F.array_intersect("a_chunks", "b_chunks"))
     both = both.withColumn("overlap_train", shared / F.col("a_words")).withColumn("overlap_other", shared / F.col("b_words"))
